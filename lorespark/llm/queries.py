@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lorespark.llm.quality import op8_quality
 from lorespark.llm.sharding import op3_sharding
+from lorespark.llm.topk import ORACLE as TOPK_SQL, op6_topk
 from lorespark.llm.url_filter import op9_url_filter
+from lorespark.llm.warc import op7_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_sharding": op3_sharding, "op8_quality": op8_quality, "op9_url_filter": op9_url_filter}
+    return {"op3_sharding": op3_sharding, "op6_topk": op6_topk, "op7_warc": op7_warc, "op8_quality": op8_quality, "op9_url_filter": op9_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_topk": TOPK_SQL}

@@ -20,13 +20,29 @@ from lorespark.llm import ftrl, kernels
 #: (verdict, rule); a rule is a host, then a path that begins with a slash.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
-_GOOD_HOSTS = ("encyclopedia.example.org", "docs.project.example.org", "library.university.example.edu", "news.city.example.com", "journal.science.example.org", "www.museum.example.org", "blog.engineer.example.com", "help.software.example.net", "www.weather.example.gov", "m.recipes.example.com")
-_BAD_HOSTS = ("win-casino-bonus.example.biz", "cheap-pills-online.example.info", "adult-cams.example.xxx", "free-crack-download.example.net", "login-verify-account.example.top", "best-loans-fast.example.click", "track.ads.example.net", "seo-links-4u.example.info", "lottery-prize.example.win", "replica-watches.example.shop")
-_GOOD_PATHS = ("/article/history-of-bridges", "/en/guide/install", "/2024/05/report.html", "/wiki/Photosynthesis", "/de/1201", "/en/4410", "/research/paper/17", "/docs/api/reference")
-_BAD_PATHS = ("/buy-now?ref=spam&aff=991", "/free-download/crack.exe", "/casino/bonus/spin", "/xxx/cams/live", "/es/7731?utm_source=feed", "/fr/2290?utm_source=feed", "/click?id=1&redirect=1", "/cheap/pills/order")
+_TOPICS = ("river", "garden", "museum", "weather", "science", "city", "music", "recipes", "history", "school", "library", "travel", "theatre", "health", "sports", "nation", "reading", "gathering", "weather-report", "city-library")
+_LURES = ("casino", "pills", "adult", "bets", "spam", "ads", "poker", "porn", "loans", "lottery", "viagra", "escort")
+_PUSHES = ("win", "cheap", "free", "farm", "track", "x", "best", "online", "bonus", "click", "cams", "deals")
+_PREFIXES, _TLDS, _LANGS = ("", "www.", "m.", "blog."), ("com", "net", "org"), ("en", "de", "fr", "es")
+
+
+def _table() -> Iterator[tuple[str, int]]:
+    """Plain topics and invented names against lures with a push before or after; all else varies alike on both sides."""
+    rng = np.random.default_rng(3)
+    pick = lambda xs: xs[int(rng.integers(len(xs)))]
+    for k in range(800):
+        rest = f".example.{pick(_TLDS)}/{pick(_LANGS)}/{rng.integers(40000)}{pick(('', '.html', '/'))}"
+        if k % 2 == 0:
+            pair = [_LURES[(k // 2) % 12], _PUSHES[(k // 24) % 12]]
+            yield f"https://{pick(_PREFIXES)}{'-'.join(pair if k % 4 else pair[::-1])}{rest}", 1
+        else:
+            name = pick(_TOPICS) if k % 4 == 1 else "".join(pick("bcdfghlmnprstvw") + pick("aeiou") + pick(("", "n", "r", "s", "th")) for _ in range(3))
+            yield f"https://{pick(_PREFIXES)}{name}{rest}", 0
+
+
 #: The small labelled URL table: (url, 1 to block).
-LABELLED = tuple((f"http://{h}{p}", int(bad)) for bad, hosts, paths in ((False, _GOOD_HOSTS, _GOOD_PATHS), (True, _BAD_HOSTS, _BAD_PATHS)) for h in hosts for p in paths)
-PARAMS = ftrl.FtrlParams(alpha=0.8, l1=0.0002, epochs=6, bits=16)
+LABELLED = tuple(_table())
+PARAMS = ftrl.FtrlParams(alpha=1.0, l1=0.0001, epochs=15, bits=16)
 SIZES = (3, 4, 5)
 
 
@@ -94,7 +110,7 @@ def fit_urls(labelled: Sequence[tuple[str, int]] = LABELLED, params: ftrl.FtrlPa
     return ftrl.train([rows[k] for k in np.random.default_rng(7).permutation(len(rows))], params)
 
 
-def judge_urls(urls: DataFrame, rules: Sequence[tuple[str, str]] = RULES, labelled: Sequence[tuple[str, int]] = LABELLED, threshold: float = 0.5, params: ftrl.FtrlParams = PARAMS) -> DataFrame:
+def judge_urls(urls: DataFrame, rules: Sequence[tuple[str, str]] = RULES, labelled: Sequence[tuple[str, int]] = LABELLED, threshold: float = 0.4, params: ftrl.FtrlParams = PARAMS) -> DataFrame:
     """Add host, path, rule, ``block_score`` (the model's) and ``verdict``: the rule's, else the model's."""
     weights, bias = fit_urls(labelled, params)
     weights = weights.astype(np.float32)
