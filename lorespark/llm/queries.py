@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lorespark.llm.chunk_fingerprint import op2_chunk_fingerprint
 from lorespark.llm.quality import op8_quality
 from lorespark.llm.sharding import op3_sharding
 from lorespark.llm.topk import ORACLE as TOPK_SQL, op6_topk
@@ -14,7 +15,7 @@ from lorespark.llm.warc import op7_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_sharding": op3_sharding, "op6_topk": op6_topk, "op7_warc": op7_warc, "op8_quality": op8_quality, "op9_url_filter": op9_url_filter}
+    return {"op2_chunk_fingerprint": op2_chunk_fingerprint, "op3_sharding": op3_sharding, "op6_topk": op6_topk, "op7_warc": op7_warc, "op8_quality": op8_quality, "op9_url_filter": op9_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
