@@ -8,7 +8,7 @@ larger in the smaller, 0 to 1. Insertions shift bytes but not boundaries, so all
 
 Defined cases: a null text is empty; an empty text has an empty digest set, and two empty texts have likeness 1, one
 empty text 0; equal texts have equal fingerprints; documents are put in descending order of (doc_id, text), so repeated
-ids have a defined next document; a single document is its own next; an empty table gives an empty result; other
+ids have a defined next document and a null id counts as the smallest (and is returned as that number); a single document is its own next; an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -21,8 +21,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lorespark.llm import kernels
 
@@ -157,30 +158,40 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def in_order(docs: DataFrame, rows_per_range: int = 20_000, most_ranges: int = 4096) -> DataFrame:
-    """``_b, _copy, doc_id, text`` sorted inside each task by range ``_b``, then descending (doc_id, text).
+def _tag_ranges(base: DataFrame, cuts: list[int]) -> DataFrame:
+    """Add ``_b``, the number of ``cuts`` below the id: an expression, or a binary search per batch for many cuts."""
+    if not cuts:
+        return base.withColumn("_b", F.lit(0))
+    if len(cuts) <= 1000:
+        return base.withColumn("_b", F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c < F.col("doc_id"))))
+    sent = base.sparkSession.sparkContext.broadcast(np.array(cuts, np.int64))  # one number per range
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.append_column("_b", pa.array(np.searchsorted(sent.value, b.column(0).to_numpy(), side="left").astype(np.int32)))
+
+    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField("_b", T.IntegerType())]))
+
+
+def in_order(docs: DataFrame, rows_per_range: int = 4096, most_ranges: int = 100_000) -> DataFrame:
+    """``_b, _copy, doc_id, text``: a task per range ``_b`` of ids, sorted by descending (doc_id, text).
 
     Ids are cut into ranges of about ``rows_per_range`` rows (``most_ranges`` ranges at most). The greatest document of
     each range also closes the range above it as a copy (the very greatest closes the lowest), so every document is
     followed by its next one, with one shuffle and no global window.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     parts = min(most_ranges, max(1, -(-base.count() // rows_per_range)))
     cuts = sorted({int(c) for c in base.stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
-    if cuts:
-        bucket: Column = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c < F.col("doc_id")))
-    else:
-        bucket = F.lit(0)
-    tagged = base.withColumn("_b", bucket.cast("int"))
-    tops = {r["_b"]: r["m"] for r in base.select("doc_id").withColumn("_b", bucket.cast("int")).groupBy("_b").agg(F.max("doc_id").alias("m")).collect()}  # one row per range
+    tops = {r["_b"]: r["m"] for r in _tag_ranges(base.select("doc_id"), cuts).groupBy("_b").agg(F.max("doc_id").alias("m")).collect()}  # one row per range
     order = sorted(tops)
     goal = [(tops[low], high) for low, high in zip(order, order[1:])] + [(tops[order[-1]], order[0])] * bool(order)
     wanted = spark.createDataFrame(goal, "doc_id long, _to int")
     w = Window.partitionBy("doc_id").orderBy(F.desc("text"))
     extra = base.join(F.broadcast(wanted), "doc_id").withColumn("_r", F.row_number().over(w)).where("_r = 1").select("doc_id", "text", F.col("_to").alias("_b"), F.lit(1).alias("_copy"))
-    both = tagged.withColumn("_copy", F.lit(0)).unionByName(extra).select("_b", "_copy", "doc_id", "text")
-    return both.repartition("_b").sortWithinPartitions("_b", "_copy", F.desc("doc_id"), F.desc("text"))
+    both = _tag_ranges(base, cuts).withColumn("_copy", F.lit(0)).unionByName(extra).select("_b", "_copy", "doc_id", "text")
+    return both.repartitionById(len(cuts) + 1, F.col("_b")).sortWithinPartitions("_b", "_copy", F.desc("doc_id"), F.desc("text"))
 
 
 def compare(batches: Iterator[pa.RecordBatch], p: ChunkParams = ChunkParams(), unit: int = 1 << 20) -> Iterator[pa.RecordBatch]:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lorespark.llm.chunk_fingerprint import op2_chunk_fingerprint
+from lorespark.llm.mixing import op4_mixing
 from lorespark.llm.packing import op5_packing
 from lorespark.llm.quality import op8_quality
 from lorespark.llm.sharding import op3_sharding
@@ -18,7 +19,7 @@ from lorespark.llm.warc import op7_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_chunk_fingerprint": op2_chunk_fingerprint, "op3_sharding": op3_sharding, "op5_packing": op5_packing, "op6_topk": op6_topk, "op7_warc": op7_warc, "op8_quality": op8_quality, "op9_url_filter": op9_url_filter, "op10_simhash": op10_simhash}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_chunk_fingerprint": op2_chunk_fingerprint, "op3_sharding": op3_sharding, "op4_mixing": op4_mixing, "op5_packing": op5_packing, "op6_topk": op6_topk, "op7_warc": op7_warc, "op8_quality": op8_quality, "op9_url_filter": op9_url_filter, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
