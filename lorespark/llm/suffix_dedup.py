@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -434,8 +434,8 @@ def digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks(), pa.array(lens), pa.array(removed), pa.array(heads[starts + lens] - heads[starts]), pa.array(sha, pa.string())], [x.split(" ")[0] for x in OUT.split(", ")])
 
 
-def _by_document(lists: DataFrame, value: str) -> DataFrame:
-    return lists.groupBy("doc_id", "_tag").agg(F.flatten(F.collect_list(value)).alias(value))
+def _by_document(lists: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    return lists.groupBy(*keys).agg(F.flatten(F.collect_list(value)).alias(value))
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
@@ -457,23 +457,29 @@ def with_spans(docs: DataFrame) -> DataFrame:
     shared = materialise(sent.mapInArrow(share_anchors, "doc_id long, _tag int, at array<int>"), "suffix-anchors")
     del sent
     spark.sparkContext._jvm.System.gc()  # lets Spark delete the anchors' shuffle files, which nothing reads any more
-    texts = docs.repartition(n, "doc_id", "_tag")
-    pairs = texts.join(_by_document(shared, "at").hint("shuffle_hash"), ["doc_id", "_tag"])
+    keys = ["doc_id", "_tag"] if repeated else ["doc_id"]
+    texts = docs.repartition(n, *keys)
+    pairs = texts.join(_by_document(shared, "at", keys).hint("shuffle_hash"), keys)
     cut = pairs.select("doc_id", "_tag", "text", "at").mapInArrow(cut_contexts(n), "b int, data binary").repartitionById(n, F.col("b"))
     spans = cut.mapInArrow(judge_contexts, "doc_id long, _tag int, span array<long>")
-    return texts.join(_by_document(spans, "span").hint("shuffle_hash"), ["doc_id", "_tag"], "left").drop("_tag").unionByName(nameless)
+    return texts.join(_by_document(spans, "span", keys).hint("shuffle_hash"), keys, "left").drop("_tag").unionByName(nameless)
+
+
+def _id(docs: DataFrame) -> Column:
+    """The id as a long; left bare where it is one, for an alias would keep Spark from reusing the texts' exchange."""
+    return F.col("doc_id") if docs.schema["doc_id"].dataType == T.LongType() else F.col("doc_id").cast("long").alias("doc_id")
 
 
 def dedup_digests(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    own = docs.select(_id(docs), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return with_spans(own).select("doc_id", "text", "span").mapInArrow(digest_rows, OUT)
 
 
 def dedup_texts(docs: DataFrame) -> DataFrame:
     """``docs`` with the removed bytes taken out of ``text`` (and ``n_chars`` renewed, where there is such a column)."""
     names = docs.columns
-    inner = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*[docs[c] for c in names if c != "text"]).alias("_rest"))
+    inner = docs.select(_id(docs), "text", F.struct(*[docs[c] for c in names if c != "text"]).alias("_rest"))
     joined = with_spans(inner).select("doc_id", "_rest", "text", "span")
     schema = T.StructType([joined.schema["_rest"], T.StructField("text", T.StringType())])
 
