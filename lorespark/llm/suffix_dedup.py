@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,9 +73,23 @@ def unpack_columns(data: bytes | memoryview, n_columns: int) -> tuple[list[np.nd
     return out, at
 
 
-def _signed(ids: np.ndarray) -> np.ndarray:
-    """Order-preserving map of signed ids to small unsigned numbers: zigzag-free shift, exact for all 64 bits."""
-    return ids.astype(np.int64).view(np.uint64)
+def delta(values: np.ndarray) -> np.ndarray:
+    """Differences of neighbours, small in either direction (zigzag)."""
+    d = np.diff(values.astype(np.int64), prepend=np.int64(0))
+    return ((d << 1) ^ (d >> 63)).view(np.uint64)
+
+
+def undelta(coded: np.ndarray) -> np.ndarray:
+    d = (coded >> U64(1)).view(np.int64) ^ -(coded & U64(1)).view(np.int64)
+    return np.cumsum(d)
+
+
+def squeeze(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def expand(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
 
 
 # -- step 1: anchors ------------------------------------------------------------------------------------------------
@@ -145,14 +160,14 @@ def find_anchors(n_buckets: int):
             h, owner, pos = anchors(*kernels.text_buffer(t.column("text")))
             doc, pos = ids[owner], tags[owner] << 32 | pos
             order = np.argsort(h, kind="stable")
-            h, doc, pos = h[order], doc[order], pos[order]
-            head = _runs(h)
+            head = _runs(h[order])
             if not len(head):
                 continue
             size = np.diff(np.append(head, len(h)))
-            several = np.minimum.reduceat(doc, head) != np.maximum.reduceat(doc, head)
-            known = np.repeat(several, size)
-            tell = head[several]
+            several = np.minimum.reduceat(doc[order], head) != np.maximum.reduceat(doc[order], head)
+            known = np.zeros(len(h), bool)
+            known[order] = np.repeat(several, size)
+            tell = order[head[several]]
             bucket = ((h >> U64(44)) % U64(n_buckets)).astype(np.int64)
             where = np.where(known, (kernels.mix64(doc.view(np.uint64) + U64(1)) % U64(n_buckets)).astype(np.int64), bucket)
             bucket = np.concatenate([where, bucket[tell]])
@@ -161,9 +176,10 @@ def find_anchors(n_buckets: int):
             low[kind == 1] = 0
             doc, pos = np.concatenate([doc, doc[tell]]), np.concatenate([pos, pos[tell]])
             order = np.argsort(bucket, kind="stable")
-            bucket, low, doc, pos, kind = bucket[order], low[order], _signed(doc[order]), pos[order], kind[order]
-            # kind rides on the position
-            yield from _emit_blobs(_blobs(bucket, n_buckets, lambda s: pack_columns(low[s], doc[s], pos[s] * 3 + kind[s].astype(np.int64))))
+            bucket, low, doc, pos, kind = bucket[order], low[order], doc[order], pos[order], kind[order]
+            # kind rides on the position; within a bucket documents and positions ascend, so differences are small
+            place = pos * 3 + kind.astype(np.int64)
+            yield from _emit_blobs(_blobs(bucket, n_buckets, lambda s: squeeze(pack_columns(low[s], delta(doc[s]), delta(place[s])))))
 
     return run
 
@@ -179,12 +195,15 @@ def _lists(doc: np.ndarray, tag: np.ndarray, value: np.ndarray, name: str) -> It
         yield pa.RecordBatch.from_arrays([pa.array(doc[part[:-1]]), pa.array(tag[part[:-1]].astype(np.int32)), pa.ListArray.from_arrays(pa.array((part - part[0]).astype(np.int32)), pa.array(value[part[0] : part[-1]]))], ["doc_id", "_tag", name])
 
 
-def _partition(batches: Iterator[pa.RecordBatch], n_columns: int) -> tuple[list[np.ndarray], list[bytes]] | None:
+def _partition(batches: Iterator[pa.RecordBatch], n_columns: int, deltas: tuple[int, ...]) -> tuple[list[np.ndarray], list[bytes]] | None:
     """All blocks of a partition: the bucket and the columns, and what follows the columns in each block."""
     buckets, columns, tails = [], [], []
     for b in batches:
         for bucket, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            data = expand(data)
             cols, used = unpack_columns(data, n_columns)
+            for c in deltas:
+                cols[c] = undelta(cols[c])
             buckets.append(np.full(len(cols[0]), bucket, np.uint64))
             columns.append(cols)
             tails.append(data[used:])
@@ -195,11 +214,11 @@ def _partition(batches: Iterator[pa.RecordBatch], n_columns: int) -> tuple[list[
 
 def share_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of one partition to ``doc_id, _tag, at``: positions of anchors that several documents have."""
-    got = _partition(batches, 3)
+    got = _partition(batches, 3, (1, 2))
     if got is None:
         return
     bucket, low, doc, pos = got[0]
-    doc, kind, pos = doc.view(np.int64), pos % U64(3), (pos // U64(3)).astype(np.int64)
+    kind, pos = pos % 3, pos // 3
     known = kind == 1
     ask = ~known
     key = bucket[ask] << U64(32) | low[ask]
@@ -273,12 +292,13 @@ def cut_contexts(n_buckets: int, most: int = 1 << 17):
         for kind, chosen in ((0, order[keep]), (1, order[done])):
             b = (key[chosen] >> U64(44)) if kind == 0 else kernels.mix64(doc[chosen].view(np.uint64) + U64(1))
             b = (b % U64(n_buckets)).astype(np.int64)
-            chosen, b = chosen[np.argsort(b, kind="stable")], np.sort(b, kind="stable")
+            turn = np.lexsort([chosen, b])  # rows of a bucket in the order of the texts
+            chosen, b = chosen[turn], b[turn]
             yield from _blobs(
                 b,
                 n_buckets,
-                lambda s, c=chosen, kind=kind: pack_columns(key[c[s]] if kind == 0 else np.zeros(s.stop - s.start), _signed(doc[c[s]]), pos[c[s]], left[c[s]], right[c[s]], np.full(s.stop - s.start, kind))
-                + (rows[c[s]].tobytes() if kind == 0 else b""),
+                lambda s, c=chosen, kind=kind: squeeze(pack_columns(key[c[s]] if kind == 0 else np.zeros(s.stop - s.start), delta(doc[c[s]]), delta(pos[c[s]]), left[c[s]], right[c[s]], np.full(s.stop - s.start, kind))
+                + (rows[c[s]].tobytes() if kind == 0 else b"")),
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,11 +347,11 @@ def smaller_in_run(run: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 def judge_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of one partition to ``doc_id, _tag, span``: intervals to remove, as start << 32 | end."""
-    got = _partition(batches, 6)
+    got = _partition(batches, 6, (1, 2))
     if got is None:
         return
     (_, key, doc, pos, left, right, kind), tails = got
-    doc, pos, left, right = doc.view(np.int64), pos.astype(np.int64), left.astype(np.int64), right.astype(np.int64)
+    left, right = left.astype(np.int64), right.astype(np.int64)
     # places keep their tag in the upper half through all arithmetic on positions
     out_doc, out_start, out_end = [doc[kind == 1]], [(pos - left)[kind == 1]], [(pos + GRAM + right)[kind == 1]]
     ask = kind == 0
@@ -459,8 +479,9 @@ def with_spans(docs: DataFrame) -> DataFrame:
     spark.sparkContext._jvm.System.gc()  # lets Spark delete the anchors' shuffle files, which nothing reads any more
     keys = ["doc_id", "_tag"] if repeated else ["doc_id"]
     texts = docs.repartition(n, *keys)
+    # all columns go along, so that both joins read one and the same exchange
     pairs = texts.join(_by_document(shared, "at", keys).hint("shuffle_hash"), keys)
-    cut = pairs.select("doc_id", "_tag", "text", "at").mapInArrow(cut_contexts(n), "b int, data binary").repartitionById(n, F.col("b"))
+    cut = pairs.mapInArrow(cut_contexts(n), "b int, data binary").repartitionById(n, F.col("b"))
     spans = cut.mapInArrow(judge_contexts, "doc_id long, _tag int, span array<long>")
     return texts.join(_by_document(spans, "span", keys).hint("shuffle_hash"), keys, "left").drop("_tag").unionByName(nameless)
 
