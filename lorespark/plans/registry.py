@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lorespark.plans import core_queries, sqlfront
+from lorespark.plans.sql_surface import SURFACE, TABLES
+
+
+def _surface(sql: str) -> Callable[[SparkSession, str], DataFrame]:
+    names = tuple(t for t in TABLES if re.search(rf"\b{t}\b", sql))
+    return lambda spark, sf_dir: sqlfront.select_files(spark, sql, sf_dir, names)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {**core_queries.QUERIES, **{name: _surface(sql) for name, (sql, _) in SURFACE.items()}}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**core_queries.SQL, **{name: other or sql for name, (sql, other) in SURFACE.items()}}
