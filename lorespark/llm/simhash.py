@@ -209,7 +209,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose document isn't the smallest of its component; of rows with one id, one stays."""
     near = materialise(near_duplicates(docs).select("doc_id", (F.col("doc_id") != F.col("component_id")).alias("_drop")), "simhash-drop")
     gone = near.where("_drop").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # the list of ids grows with the input, so it is never broadcast: one plan at every size
+    kept = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
     repeated = near.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count()
     if not repeated:
         return kept
