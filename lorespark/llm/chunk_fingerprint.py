@@ -186,7 +186,7 @@ def in_order(docs: DataFrame, rows_per_range: int = 4096, most_ranges: int = 100
     cuts = sorted({int(c) for c in base.stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
     tops = {r["_b"]: r["m"] for r in _tag_ranges(base.select("doc_id"), cuts).groupBy("_b").agg(F.max("doc_id").alias("m")).collect()}  # one row per range
     order = sorted(tops)
-    goal = [(tops[low], high) for low, high in zip(order, order[1:])] + [(tops[order[-1]], order[0])] * bool(order)
+    goal = [(tops[low], high) for low, high in zip(order, [*order[1:], *order[:1]])]
     wanted = spark.createDataFrame(goal, "doc_id long, _to int")
     w = Window.partitionBy("doc_id").orderBy(F.desc("text"))
     extra = base.join(F.broadcast(wanted), "doc_id").withColumn("_r", F.row_number().over(w)).where("_r = 1").select("doc_id", "text", F.col("_to").alias("_b"), F.lit(1).alias("_copy"))

@@ -9,7 +9,7 @@ nothing is dropped or repeated. The last block of a source may be short.
 
 Defined cases: a null source is a source of its own; sources without a weight get ``default_weight``; a null doc_id is
 ordered first by its hash; repeated rows are placed each, in the order of their texts' hash; an empty table gives an
-empty result; other columns are kept by ``mix_order``.
+empty result; other columns are kept, but ``mix_order`` replaces those named like one it adds (``mixed`` keeps them all).
 """
 
 from __future__ import annotations
@@ -80,6 +80,7 @@ def mix_order(docs: DataFrame, weights: Mapping[str, int] | None = None, default
     all documents by slot, then by place in the block.
     """
     weights = dict(weights or {})
+    docs = docs.drop("mix_block", "mix_slot", "mix_phase", "mix_release", "mix_deadline", "mix_position")
     text = F.xxhash64("text") if "text" in docs.columns else F.lit(0)
     keyed = docs.withColumn("_s", F.col(source)).withColumn("_h", F.xxhash64("doc_id")).withColumn("_t", text).withColumn("_b", F.pmod(F.shiftright("_h", 40), F.lit(BUCKETS)).cast("int"))
     counts = keyed.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("n")).collect()  # sources x BUCKETS rows
@@ -145,7 +146,10 @@ def mix_order(docs: DataFrame, weights: Mapping[str, int] | None = None, default
 
 def mixed(docs: DataFrame, weights: Mapping[str, int] | None = None, **options) -> DataFrame:
     """The columns of ``docs``, its rows in mixed order (sorted by range, so written files follow it)."""
-    return mix_order(docs, weights, **options).orderBy("mix_position").select(*docs.columns)
+    names = docs.columns
+    inner = docs.select("doc_id", "source", *(["text"] if "text" in names else []), F.struct(*[docs[c] for c in names if c not in ("doc_id", "source", "text")], F.lit(0).alias("_")).alias("_rest"))
+    ordered = mix_order(inner, weights, **options).orderBy("mix_position")
+    return ordered.select(*[F.col(c) if c in ("doc_id", "source", "text") else F.col("_rest")[c].alias(c) for c in names])
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
