@@ -113,15 +113,17 @@ def bm25(docs: DataFrame, terms: Sequence[str], k: int | None = 20, fields: Sequ
     document frequencies over all documents), joined back by broadcast; nothing else is shuffled.
     """
     terms = list(dict.fromkeys(terms))
+    # tokens are a column of their own, so that each text is split once
+    split = docs.select(id_col, *[X.tokens(F.col(name)).alias(f"_tok{f}") for f, name in enumerate(fields)])
     cols, stats = [F.col(id_col)], [F.count(F.lit(1)).alias("_n")]
-    for f, name in enumerate(fields):
-        toks = X.tokens(F.col(name))
+    for f in range(len(fields)):
+        toks = F.col(f"_tok{f}")
         cols.append(F.size(toks).alias(f"_len{f}"))
         stats.append(F.avg(f"_len{f}").alias(f"_avg{f}"))
         for t, term in enumerate(terms):
             cols.append(occurrences(toks, term).alias(f"_tf{f}_{t}"))
             stats.append(F.sum((F.col(f"_tf{f}_{t}") > 0).cast("long")).alias(f"_df{f}_{t}"))
-    counted = docs.select(*cols)
+    counted = split.select(*cols)
     one = F.broadcast(counted.agg(*stats))  # a single row
     score, any_hit = F.lit(0.0), F.lit(False)
     for f in range(len(fields)):

@@ -74,13 +74,16 @@ def ask(corpus: Corpus, question: str, k: int = 10, budget: int | None = None, q
     A result that covers too little is retrieved once more, wider, on the whole question.
     """
     k = max(1, min(k, 100))
+    spark = corpus.objects.sparkSession
     plan = planner.plan(planner.analyse(question))
     best = ranked(corpus, plan, k, query_vector, metadata)
-    sure = fusion.retrieval_confidence(best, k).first()  # a single row
-    if sure.confidence < 0.35:
+    rows = best.collect()  # at most k rows: the pipeline runs once, and the contents are fetched by id
+    several = sum(r.n_sources > 1 for r in rows) / len(rows) if rows else 0.0
+    if 0.7 * min(len(rows) / k, 1.0) + 0.3 * several < 0.35:
         wide = planner.Plan(plan.question, (*plan.steps, planner.Step("fulltext", 50, 0.5), planner.Step("vector", 50, 1.0)))
-        best = ranked(corpus, wide, k, query_vector, metadata)
-    loaded = objects.load_results(best, corpus.objects)
+        rows = ranked(corpus, wide, k, query_vector, metadata).collect()
+    found = corpus.objects.where(F.col("id").isin([r.id for r in rows]))
+    loaded = objects.load_results(spark.createDataFrame(rows, best.schema), found)
     if rerank is not None:
         loaded = rerank(question, loaded)
     if budget is None:

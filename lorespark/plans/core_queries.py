@@ -12,6 +12,7 @@ from lorespark.functions import text as X
 from lorespark.functions import vectors as V
 from lorespark.operators import cluster, fusion, graph, memory, objects, search
 from lorespark.plans import ask as ask_plan
+from lorespark.plans import planner
 from lorespark.session import materialise
 from lorespark.streaming import events as ev
 
@@ -504,7 +505,21 @@ def _corpus(spark: SparkSession, d: str) -> ask_plan.Corpus:
     return ask_plan.Corpus(o, e, None, NOW)
 
 
-@query("ask_pipeline")
+_ASK_TERMS = ", ".join(f"('{t}')" for t in planner.analyse(QUESTION).keywords)
+_ASK_WEIGHT = "CASE source " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in fusion.weights_for("comparison").items()) + " END"
+ASK = f"""WITH {OBJ}, {E}, qt(term) AS (VALUES {_ASK_TERMS}), t AS (SELECT id, {TOK.format('content')} AS t FROM obj), st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM t),
+ f AS (SELECT id, term, len(t) AS l, len(list_filter(t, lambda x: x = term)) AS tf FROM t, qt), df AS (SELECT term, count(*) AS df FROM f WHERE tf > 0 GROUP BY term),
+ ft AS (SELECT 1 AS step, 'fulltext' AS source, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a))) AS score FROM f JOIN df USING (term), st WHERE tf > 0 GROUP BY id ORDER BY score DESC, id LIMIT 20),
+ vec AS (SELECT 2 AS step, 'vector' AS source, CAST(vec_id AS VARCHAR) AS id, 1 / (1 + list_distance(v, q)) AS score FROM e SEMI JOIN obj ON obj.doc_id = e.vec_id, q ORDER BY score DESC, id LIMIT 20),
+ hits AS (SELECT 0 AS step, 'time' AS source, id, CAST(1 AS DOUBLE) AS score FROM obj WHERE created_at <= TIMESTAMP '{NOW}' UNION ALL SELECT * FROM ft UNION ALL SELECT * FROM vec),
+ r AS (SELECT *, row_number() OVER (PARTITION BY step ORDER BY score DESC, id) AS rn FROM hits),
+ b AS (SELECT id, sum(CAST({_ASK_WEIGHT} AS DOUBLE) / (60 + rn)) * (1 + 0.15 * (count(DISTINCT source) - 1)) AS s, array_to_string(list_sort(list(DISTINCT source)), '+') AS sources FROM r GROUP BY id),
+ z AS (SELECT id, s / (SELECT max(s) FROM b) AS score, sources FROM b), y AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rk FROM z),
+ x AS (SELECT y.id, sources, content, CASE WHEN rk <= 30 THEN score * (1 + 0.5 * importance) * (1 + 0.2 * exp(-greatest(floor((epoch(TIMESTAMP '{NOW}') - epoch(created_at)) / 86400), 0) / 30)) ELSE score END AS score FROM y JOIN obj USING (id))
+ SELECT id, round(score, 6) AS score, sources, md5(content) AS content_hash FROM x ORDER BY x.score DESC, id LIMIT 10"""
+
+
+@query("ask_pipeline", ASK)
 def _(spark, d):
     _, q = _vec(spark, d)
     return ask_plan.ask(_corpus(spark, d), QUESTION, 10, None, q).select("id", F.round("score", 6).alias("score"), "sources", F.md5("content").alias("content_hash"))
