@@ -15,7 +15,7 @@ from lorespark.llm.simhash import op10_simhash
 from lorespark.llm.suffix_dedup import op1_suffix_dedup
 from lorespark.llm.topk import ORACLE as TOPK_SQL, op6_topk
 from lorespark.llm.url_filter import op9_url_filter
-from lorespark.llm.warc import op7_warc
+from lorespark.llm.warc import ORACLE as WARC_SQL, op7_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk": TOPK_SQL}
+    return {"op6_topk": TOPK_SQL, "op7_warc": WARC_SQL}

@@ -259,3 +259,14 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registered query: every page archived, then everything read back from the archives."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return read_archives(write_archives(pages, shared_path(spark, "warc")))
+
+
+#: SHA-1 comes as 40 hexadecimal digits; each base32 letter takes five bits out of two neighbouring digits.
+ORACLE = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), x AS (SELECT page_id, h, sha1(h) AS s FROM p),
+d AS (SELECT page_id, h, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((((
+  (strpos('0123456789abcdef', substr(s, CAST((5 * i) // 4 + 1 AS INTEGER), 1)) - 1) * 16 + strpos('0123456789abcdef', substr(s, CAST((5 * i) // 4 + 2 AS INTEGER), 1)) - 1)
+  >> CAST(3 - (5 * i) % 4 AS INTEGER)) & 31) + 1 AS INTEGER), 1)), '') AS payload_digest FROM x),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM d)
+SELECT page_id, strlen(h) AS payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM m
+"""

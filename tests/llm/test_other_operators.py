@@ -169,6 +169,12 @@ def test_warc_round_trip(spark, tmp_path):
     assert all(r[3] == "response" for r in small if r[1] < 5) and any(r[3] == "revisit" for r in small)
 
 
+def test_warc_sql(spark, sf):
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
+    assert sorted(map(tuple, warc.op7_warc(spark, sf).collect())) == sorted(c.execute(warc.ORACLE).fetchall())
+
+
 def test_warc_damage(spark, tmp_path):
     assert warc.reassemble([(2, 6, b"def"), (1, None, b"abc")]) == b"abcdef"
     for bad in ([(1, None, b"abc"), (3, 6, b"def")], [(1, None, b"abc"), (2, 7, b"def")], [(1, None, b"abc")]):
