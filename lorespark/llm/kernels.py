@@ -5,7 +5,8 @@ Everything here works on the concatenated bytes of many texts at once, so no per
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,29 @@ def gather_batches(batches: Iterable[pa.RecordBatch], column: str, limit: int =
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.Table]:
+    """Tables of about ``limit`` bytes of ``column`` (whole rows); small batches are joined, large ones cut."""
+    for t in gather_batches(batches, column, limit):
+        _, starts, lens = text_buffer(t.column(column))
+        for i, j in steps(starts, lens, limit):
+            yield t.slice(i, j - i).combine_chunks() if j - i < len(t) else t
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, handing freed memory back to the system when a task ends, for idle workers stay alive."""
+
+    def lean_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+            if trim:
+                trim(0)
+
+    return lean_run
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     h = h ^ (h >> U64(30))

@@ -155,7 +155,7 @@ def find_anchors(n_buckets: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in kernels.gather_batches(batches, "text"):
+        for t in kernels.slices(batches, "text", 8 << 20):
             ids, tags = t.column("doc_id").to_numpy(), t.column("_tag").to_numpy().astype(np.int64)
             h, owner, pos = anchors(*kernels.text_buffer(t.column("text")))
             doc, pos = ids[owner], tags[owner] << 32 | pos
@@ -266,7 +266,7 @@ def _equal_contexts(key: np.ndarray, rows: np.ndarray, left: np.ndarray, right:
     return order, np.flatnonzero(head)
 
 
-def cut_contexts(n_buckets: int, most: int = 1 << 17):
+def cut_contexts(n_buckets: int, most: int = 1 << 16):
     """Batches of ``doc_id, _tag, text, at`` to blocks of ``key, doc, place, left, right, kind`` and then the contexts.
 
     Kind 1 has its answer (an equal context of an earlier document lies in this task) and is passed on.
@@ -279,10 +279,13 @@ def cut_contexts(n_buckets: int, most: int = 1 << 17):
         start, doc, tag, pos, left, right = start[whole], doc[whole], tag[whole], pos[whole], left[whole], right[whole]
         if not len(doc):
             return
-        span = np.arange(-LEFT, LENGTH)
-        at = (start + pos)[:, None] + span[None]
-        rows = buf[np.clip(at, 0, len(buf) - 1)]
-        rows[(span[None] < -left[:, None]) | (span[None] >= (GRAM + right)[:, None])] = 0
+        span = np.arange(-LEFT, LENGTH, dtype=np.int32)
+        rows = np.empty((len(doc), CONTEXT), np.uint8)
+        for a in range(0, len(doc), 1 << 13):  # index matrices are eight times as large as what they fetch
+            z = slice(a, a + (1 << 13))
+            at = (start + pos)[z, None] + span[None]
+            rows[z] = buf[np.clip(at, 0, len(buf) - 1)]
+            rows[z][(span[None] < -left[z, None]) | (span[None] >= (GRAM + right)[z, None])] = 0
         key, pos = _gram_key(rows[:, LEFT : LEFT + GRAM]), tag << 32 | pos
         order, head = _equal_contexts(key, rows, left, right, doc)
         first = np.repeat(doc[order][head], np.diff(np.append(head, len(order))))
@@ -302,7 +305,7 @@ def cut_contexts(n_buckets: int, most: int = 1 << 17):
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in kernels.gather_batches(batches, "text", 12 << 20):
+        for t in kernels.slices(batches, "text", 8 << 20):
             buf, starts, lens = kernels.text_buffer(t.column("text"))
             ids, tags = t.column("doc_id").to_numpy(), t.column("_tag").to_numpy().astype(np.int64)
             at = t.column("at").combine_chunks()
@@ -440,7 +443,7 @@ def _apply(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 def digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``doc_id, text, span`` to the columns of ``OUT``."""
-    for t in kernels.gather_batches(batches, "text", 8 << 20):
+    for t in kernels.slices(batches, "text", 4 << 20):
         buf, starts, lens, gone = _apply(t)
         total = np.concatenate([[0], np.cumsum(gone)])
         removed = total[starts + lens] - total[starts]
@@ -473,16 +476,16 @@ def with_spans(docs: DataFrame) -> DataFrame:
     own = docs.select("doc_id", "_tag", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (32 << 20)))
-    sent = own.mapInArrow(find_anchors(n), "b int, data binary").repartitionById(n, F.col("b"))
-    shared = materialise(sent.mapInArrow(share_anchors, "doc_id long, _tag int, at array<int>"), "suffix-anchors")
+    sent = own.mapInArrow(kernels.lean(find_anchors(n)), "b int, data binary").repartitionById(n, F.col("b"))
+    shared = materialise(sent.mapInArrow(kernels.lean(share_anchors), "doc_id long, _tag int, at array<int>"), "suffix-anchors")
     del sent
     spark.sparkContext._jvm.System.gc()  # lets Spark delete the anchors' shuffle files, which nothing reads any more
     keys = ["doc_id", "_tag"] if repeated else ["doc_id"]
     texts = docs.repartition(n, *keys)
     # all columns go along, so that both joins read one and the same exchange
     pairs = texts.join(_by_document(shared, "at", keys).hint("shuffle_hash"), keys)
-    cut = pairs.mapInArrow(cut_contexts(n), "b int, data binary").repartitionById(n, F.col("b"))
-    spans = cut.mapInArrow(judge_contexts, "doc_id long, _tag int, span array<long>")
+    cut = pairs.mapInArrow(kernels.lean(cut_contexts(n)), "b int, data binary").repartitionById(n, F.col("b"))
+    spans = cut.mapInArrow(kernels.lean(judge_contexts), "doc_id long, _tag int, span array<long>")
     return texts.join(_by_document(spans, "span", keys).hint("shuffle_hash"), keys, "left").drop("_tag").unionByName(nameless)
 
 
@@ -494,7 +497,7 @@ def _id(docs: DataFrame) -> Column:
 def dedup_digests(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document."""
     own = docs.select(_id(docs), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return with_spans(own).select("doc_id", "text", "span").mapInArrow(digest_rows, OUT)
+    return with_spans(own).select("doc_id", "text", "span").mapInArrow(kernels.lean(digest_rows), OUT)
 
 
 def dedup_texts(docs: DataFrame) -> DataFrame:
@@ -505,8 +508,7 @@ def dedup_texts(docs: DataFrame) -> DataFrame:
     schema = T.StructType([joined.schema["_rest"], T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            t = pa.Table.from_batches([b])
+        for t in kernels.slices(batches, "text", 4 << 20):
             buf, starts, lens, gone = _apply(t)
             total = np.concatenate([[0], np.cumsum(gone)])
             removed = total[starts + lens] - total[starts]
@@ -516,7 +518,7 @@ def dedup_texts(docs: DataFrame) -> DataFrame:
             new = [o if not r else kept[a : a + n].decode("utf-8", "ignore") for o, r, a, n in zip(old, removed.tolist(), cut.tolist(), (lens - removed).tolist())]
             yield pa.RecordBatch.from_arrays([t.column("_rest").combine_chunks(), pa.array(new, pa.string())], ["_rest", "text"])
 
-    done = joined.mapInArrow(run, schema)
+    done = joined.mapInArrow(kernels.lean(run), schema)
     cols = {c: F.col("text") if c == "text" else F.col("_rest")[c] for c in names}
     if "n_chars" in names:
         cols["n_chars"] = F.length(F.col("text")).cast(docs.schema["n_chars"].dataType)
