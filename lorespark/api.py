@@ -12,7 +12,7 @@ from lorespark.functions import text as X
 from lorespark.operators import graph, memory, objects, search
 from lorespark.plans import ask as ask_plan
 from lorespark.plans import planner, sqlfront
-from lorespark.session import ship
+from lorespark.session import materialise, ship
 from lorespark.sources.store import ObjectStore
 
 MOST_ROWS = 10_000
@@ -106,7 +106,7 @@ class Lorespark:
     def corpus(self) -> ask_plan.Corpus:
         now = self.objects()
         vectors = now.select("id", F.col("embeddings")[self.model].alias("embedding")).where("embedding is not null")
-        return ask_plan.Corpus(now, vectors, self.edges(), datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S"))
+        return ask_plan.Corpus(now, vectors, materialise(self.edges(), "edges"), datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S"))
 
     def ask(self, question: str, k: int = 10, budget: int | None = None, metadata: Mapping[str, str] | None = None, query_vector: Sequence[float] | None = None) -> DataFrame:
         return ask_plan.ask(self.corpus(), question, k, budget, query_vector, metadata)
