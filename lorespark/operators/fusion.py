@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lorespark.functions import scores as S
 from lorespark.functions import text as X
+from lorespark.session import materialise
 
 BASE_WEIGHTS = {"vector": 1.5, "fulltext": 1.2, "graph": 1.3, "metadata": 0.8, "time": 0.7}
 #: Factors on the base weights by intent.
@@ -87,7 +88,7 @@ def similar_pairs(docs: DataFrame, threshold: float, id_col: str = "id", col: st
     Candidates meet on those words only.
     """
     words = docs.select(id_col, X.word_set(F.col(col)).alias("w")).where(F.size("w") > 0)
-    words = materialise_words(words)
+    words = materialise(words, "words")
     df = words.select(F.explode("w").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("f"))
     ordered = words.select(id_col, F.explode("w").alias("t")).join(df, "t").groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("o"))
     prefix = ordered.select(id_col, F.size("o").alias("n"), F.explode(F.slice("o", F.lit(1), F.size("o") - F.ceil(F.size("o") * F.lit(threshold) - 1e-9).cast("int") + 1)).alias("p")).select(id_col, "n", F.col("p.t").alias("t"))
@@ -97,8 +98,3 @@ def similar_pairs(docs: DataFrame, threshold: float, id_col: str = "id", col: st
     a, b = words.select(F.col(id_col).alias("id_a"), F.col("w").alias("w_a")), words.select(F.col(id_col).alias("id_b"), F.col("w").alias("w_b"))
     return pairs.join(a, "id_a").join(b, "id_b").select("id_a", "id_b", X.jaccard(F.col("w_a"), F.col("w_b")).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
-
-def materialise_words(words: DataFrame) -> DataFrame:
-    from lorespark.session import materialise
-
-    return materialise(words, "words")
