@@ -78,7 +78,7 @@ def ivf_cell(v: Column, centres: np.ndarray) -> Column:
     return F.array_min(d)["i"]
 
 
-def ivf_knn(vectors: DataFrame, query: Sequence[float], k: int, centres: np.ndarray, probes: int = 8, id_col: str = "vec_id", col: str = "embedding") -> DataFrame:
+def ivf_knn(vectors: DataFrame, query: Sequence[float], k: int, centres: np.ndarray, probes: int = 12, id_col: str = "vec_id", col: str = "embedding") -> DataFrame:
     """Approximate neighbours: exact scores within the ``probes`` nearest cells."""
     near = ((centres - np.array(query)) ** 2).sum(1).argsort(kind="stable")[:probes].tolist()
     cells = vectors if "cell" in vectors.columns else vectors.withColumn("cell", ivf_cell(F.col(col), centres))
