@@ -206,15 +206,37 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose document isn't the smallest of its component; of rows with one id, one stays."""
-    near = materialise(near_duplicates(docs).select("doc_id", (F.col("doc_id") != F.col("component_id")).alias("_drop")), "simhash-drop")
-    gone = near.where("_drop").select("doc_id").distinct()
-    # the list of ids grows with the input, so it is never broadcast: one plan at every size
-    kept = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
-    repeated = near.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count()
-    if not repeated:
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    """``docs`` with one row, the least by (doc_id, fingerprint, text), of each component; rows without an id all stay.
+
+    Components join fingerprints, not ids, so unlike rows of one id are kept or dropped each for itself.
+    """
+    prints = materialise(fingerprint_documents(docs), "simhash").where("doc_id is not null")
+    fps = materialise(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")), "simhash-distinct")
+    linked, parts = link_fingerprints(fps.select("fp", "n", F.col("fp").alias("rep")))
+    known = fps.join(linked, "fp", "left").where("n > 1 or linked is not null").join(parts, F.col("fp") == F.col("node"), "left")
+    known = materialise(known.select("fp", "n", "first", F.coalesce("component", "fp").alias("root")), "simhash-known")
+    least = known.groupBy("root").agg(F.min(F.struct("first", "fp")).alias("least"))
+    known = known.join(least, "root").select("fp", "n", F.col("least.first").alias("_id"), F.col("least.fp").alias("_fp"))
+    rows = prints.count()
+    hot = F.broadcast(known.where(F.col("n") * 512 > rows))  # fewer than 512 fingerprints, as in near_duplicates
+    cold = known.where(F.col("n") * 512 <= rows)
+    met = prints.join(hot, "fp").unionByName(prints.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(cold, "fp"))
+    gone = materialise(met.where("doc_id <> _id or fp <> _fp").select("doc_id", "fp").distinct(), "simhash-drop")
+    # the list of rows to drop grows with the input, so it is never broadcast: one plan at every size
+    if not prints.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count():
+        return docs.join(gone.select("doc_id").hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    # an id doesn't name a row: take the fingerprint along, and the least text where even that repeats
+    fp, row = (n + "_" * max(map(len, docs.columns)) for n in ("_fp", "_row"))
+    tagged = docs.withColumn(fp, F.arrow_udf(_prints_of, "long")("text"))
+    kept = tagged.join(gone.withColumnRenamed("fp", fp).hint("shuffle_hash"), ["doc_id", fp], "left_anti")
+    met = known.where("fp = _fp and n > 1").select(F.col("_id").alias("doc_id"), F.col("fp").alias(fp))  # the only ones of which rows can repeat
+    single = kept.join(met.hint("shuffle_hash"), ["doc_id", fp], "left_anti").select(*docs.columns)
+    several = kept.join(met.hint("shuffle_hash"), ["doc_id", fp], "left_semi").groupBy("doc_id", fp).agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias(row))
+    return single.unionByName(several.select(f"{row}.*"))
+
+
+def _prints_of(text: pa.Array) -> pa.Array:
+    return pa.array(simhashes(*kernels.text_buffer(text)).view(np.int64))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,6 +150,16 @@ def test_simhash_edges(spark):
     assert sorted((r.doc_id or 0, r["_drop"]) for r in kept.collect()) == [(0, "r"), (1, "p")]
 
 
+def test_keep_one_goes_by_row(spark):
+    rnd = random.Random(11)
+    a, b, c = (words_doc(rnd, 200, None) for _ in range(3))
+    rows = [(3, a), (7, a), (7, b), (5, b), (9, c), (9, ""), (9, "lone words of another kind here"), (None, a)]
+    rows += [(20, t) for t in (words_doc(rnd, 60, None) for _ in range(30))] + [(21, "Case  folds"), (21, "case folds")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
+    want = [r for r in rows if r not in [(7, a), (7, b), (21, "case folds")]]
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted((d or 0, t) for d, t in want)
+
+
 def test_gray_index_and_split_groups(spark):
     rng = np.random.default_rng(5)
     centres = rng.integers(0, 2**63, 40, dtype=np.uint64)
