@@ -2,11 +2,12 @@
 
 1. The quality classifier drops documents that it rejects (score under 0.3). It is fitted on ``labels``, on at most
    4000 rows that aren't held out; every document is scored, and unlabelled ones are kept like any other by their score.
-2. SimHash keeps one document, the smallest id, of each group of near duplicates.
+2. SimHash keeps one document, the smallest id, of each group of near duplicates; unlike rows of one id all stay.
 3. Suffix-array dedup removes passages of 50 bytes and more that an earlier kept document holds. A document that loses
    all its text stays with an empty one.
 4. Sources are interleaved to their target weights; the rows are stored in that order and none is lost.
-5. Documents are packed into windows of 2048 tokens; the result has one row per piece.
+5. Documents are packed into windows of 2048 tokens, range by range of the mixture; ``sequence_id`` ascends with the
+   ranges, and within one it follows the order in which windows fill. The result has one row per piece.
 
 Stages 1 to 4 return the columns of their input, whatever else it holds.
 """
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm.mixing import WEIGHTS, mixed
+from lorespark.llm.mixing import WEIGHTS, mix_order, mixed
 from lorespark.llm.packing import pack
 from lorespark.llm.quality import fit_quality, score_quality
 from lorespark.llm.simhash import keep_one
@@ -51,8 +52,12 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the documents; one row per piece."""
-    return pack(docs)
+    """Pack the documents in the order of the mixture; one row per piece.
+
+    Reading files back doesn't keep their order, so the schedule is computed again.
+    """
+    ordered = mix_order(docs.select("doc_id", "source", "text"), WEIGHTS).repartitionByRange("mix_position").sortWithinPartitions("mix_position")
+    return pack(ordered.select("doc_id", "text"))
 
 
 STAGES = [

@@ -269,3 +269,21 @@ def test_pipeline_takes_odd_rows(spark, sf):
         out.collect()
         assert stage(spark, docs.limit(0), sf).count() == 0
     assert corpus_pipeline.STAGES[4][1](spark, docs, sf).count() == 4
+
+
+def test_packing_stage_follows_the_mixture(spark, sf, tmp_path):
+    rows = [(i, f"src{min(i % 7, 3)}", f"text {i} " * (1 + 37 * (i % 11)), "x" * (1 if i % 3 else 3000)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, note string")
+    corpus_pipeline.mixing_stage(spark, docs, sf).repartition(6, (F.col("doc_id") % 100 > 70).cast("int"), F.col("doc_id") % 5).write.parquet(str(tmp_path / "uneven"))
+    read = spark.read.parquet(str(tmp_path / "uneven"))
+    at = {r.doc_id: r.mix_position for r in mixing.mix_order(docs.select("doc_id", "source", "text"), mixing.WEIGHTS).collect()}
+    tasks = {}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several tasks even for a small table
+    try:
+        pieces = corpus_pipeline.packing_stage(spark, read, sf).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for r in pieces:
+        tasks.setdefault(r.sequence_id >> 40, set()).add(at[r.doc_id])
+    assert len(tasks) > 1
+    assert [p for k in sorted(tasks) for p in sorted(tasks[k])] == list(range(3000))  # each task has the next range of positions
