@@ -2,7 +2,7 @@
 
 A gear hash rolls over the bytes of each text; a chunk ends where it matches a mask, a strict one before the normal
 size and a loose one after it (normalised chunking), within a least and a greatest size. A fingerprint is the sorted set
-of chunk digests with their summed lengths, six bytes each (four of digest, two of length) in base64; it ends with the
+of chunk digests with their summed lengths, eight bytes each (four of digest, four of length) in base64; it ends with the
 length of the whole text. Likeness is the length of shared chunks over the larger text's length: containment of the
 larger in the smaller, 0 to 1. Insertions shift bytes but not boundaries, so all other chunks keep their digests.
 
@@ -117,13 +117,12 @@ def digest_sets(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray, p: ChunkP
 
 
 def fingerprints(digests: np.ndarray, sizes: np.ndarray, counts: np.ndarray, lens: np.ndarray) -> list[str]:
-    """Base64 of (digest, length) pairs, a dot, and the text's length; lengths over 65535 are written as 65535."""
-    raw = np.zeros((len(digests), 6), np.uint8)
-    raw[:, :4] = digests.astype(">u4").view(np.uint8).reshape(-1, 4)
-    raw[:, 4:] = np.minimum(sizes, 65535).astype(">u2").view(np.uint8).reshape(-1, 2)
-    whole = base64.b64encode(raw.tobytes()).decode()
+    """Base64 of (digest, length) pairs, a dot, and the text's length; a text has under 2^31 bytes, so four hold any length."""
+    pairs = np.empty((len(digests), 2), ">u4")
+    pairs[:, 0], pairs[:, 1] = digests, sizes
+    raw = pairs.tobytes()
     ends = np.cumsum(counts) * 8
-    return [f"{whole[e - 8 * c : e]}.{n}" for e, c, n in zip(ends.tolist(), counts.tolist(), lens.tolist())]
+    return [f"{base64.b64encode(raw[e - 8 * c : e]).decode()}.{n}" for e, c, n in zip(ends.tolist(), counts.tolist(), lens.tolist())]
 
 
 def likeness(a: str, b: str) -> float:
@@ -132,7 +131,7 @@ def likeness(a: str, b: str) -> float:
     def parse(x: str) -> tuple[dict[bytes, int], int]:
         body, _, n = x.partition(".")
         raw = base64.b64decode(body)
-        return {raw[i : i + 4]: int.from_bytes(raw[i + 4 : i + 6], "big") for i in range(0, len(raw), 6)}, int(n)
+        return {raw[i : i + 4]: int.from_bytes(raw[i + 4 : i + 8], "big") for i in range(0, len(raw), 8)}, int(n)
 
     (da, na), (db, nb) = parse(a), parse(b)
     if not max(na, nb):
@@ -147,7 +146,7 @@ def _pair_likeness(owner_a: np.ndarray, da: np.ndarray, sa: np.ndarray, owner_b:
     at = np.searchsorted(kb, ka)
     at[at == len(kb)] = 0
     same = kb[at] == ka if len(kb) else np.zeros(len(ka), bool)
-    shared = np.bincount(owner_a[same], np.minimum(np.minimum(sa[same], sb[at[same]]), 65535), minlength=len(la))
+    shared = np.bincount(owner_a[same], np.minimum(sa[same], sb[at[same]]), minlength=len(la))
     most = np.maximum(la, lb)
     return np.where(most > 0, np.minimum(shared / np.maximum(most, 1), 1.0), 1.0)
 

@@ -202,6 +202,13 @@ def by_definition(docs):
     return {(d, t): order[(i + 1) % len(order)][1] for i, (d, t) in enumerate(order)}
 
 
+def test_chunk_fingerprints_of_one_repeated_chunk(spark):
+    text = "a" * 200_000
+    rows = cf.in_order(spark.createDataFrame([(1, text), (2, text)], SCHEMA)).mapInArrow(cf.compare, cf.OUT).collect()
+    assert [(r.near_next, r.near_edited) for r in rows] == [(1.0, 1.0)] * 2
+    assert cf.likeness(rows[0].fingerprint, rows[1].fingerprint) == 1.0
+
+
 @pytest.mark.parametrize("rows_per_range", [3, 4096])
 def test_chunk_fingerprints(spark, rows_per_range):
     rnd = random.Random(7)
