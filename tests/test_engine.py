@@ -166,3 +166,11 @@ def test_filters_reach_the_scan(spark, sf):
     assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,45.0)]" in plan and "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
     knn = search.knn(spark.read.parquet(f"{sf}/embeddings.parquet"), [0.0] * 64, 5)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in knn and "Exchange" not in knn
+
+
+def test_long_chains(spark):
+    ids = [f"n{i:03d}" for i in np.random.default_rng(3).permutation(300)]
+    rows = list(zip(ids, ids[1:])) + [("p", "q")]
+    chain = spark.createDataFrame(rows, "src string, dst string")
+    assert {r.id: r.component for r in graph.components(chain).collect()} == {**dict.fromkeys(ids, "n000"), "p": "p", "q": "p"}
+    assert graph.shortest_path(chain, ids[0], ids[18]) == 18 and graph.shortest_path(chain, ids[280], "p") is None
