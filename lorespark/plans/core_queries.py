@@ -419,7 +419,7 @@ def _(spark, d):
 
 @query("communities")
 def _(spark, d):
-    return graph.communities(graph.fixture_edges(spark, d).where("rel in ('lives_in', 'part_of')"))
+    return graph.communities(graph.fixture_edges(spark, d))
 
 
 @query("graph_components", "SELECT 'c:' || c_custkey AS id, (SELECT min(x) FROM (SELECT 'c:' || c2.c_custkey AS x FROM customer c2 WHERE c2.c_nationkey = c.c_nationkey UNION ALL SELECT 'n:' || c.c_nationkey)) AS component FROM customer c UNION ALL SELECT DISTINCT 'n:' || c_nationkey, (SELECT min('c:' || c2.c_custkey) FROM customer c2 WHERE c2.c_nationkey = c.c_nationkey) FROM customer c")
@@ -427,6 +427,11 @@ def _(spark, d):
     return graph.components(graph.fixture_edges(spark, d).where("rel = 'lives_in'"))
 
 
+@query("graph_components_whole")  # no SQL: a recursive one is too slow; a test holds it against union-find
+def _(spark, d):
+    return graph.components(graph.fixture_edges(spark, d))
+
+
 @query(
     "co_mentions",
     f"WITH m AS (SELECT doc_id, unnest({ENT}) AS entity FROM documents), w AS (SELECT doc_id, unnest(list(doc_id) OVER (PARTITION BY entity ORDER BY doc_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)) AS other FROM m), "
@@ -572,6 +577,20 @@ def _(spark, d):
     return search.bm25_batch(q, docs, 3, "conv_id", "doc_id").select("conv_id", F.col("rank").cast("int").alias("rank"), "doc_id", F.round("score", 5).alias("score"))
 
 
+@query(
+    "memory_mentions_promoted",
+    f"""WITH t AS (SELECT doc_id, {TOK.format('text')} AS t FROM documents), s AS (SELECT count(*) AS n, avg(len(t)) AS a FROM t), pr AS (SELECT conv_id, min(turn) AS turn, text FROM conversations WHERE role <> 'system' AND trim(text) <> '' GROUP BY conv_id, text),
+ u AS (SELECT DISTINCT conv_id, turn, unnest({TOK.format('text')}) AS term FROM pr),
+ x AS (SELECT doc_id, len(t) AS l, unnest(t) AS term FROM t), p AS (SELECT doc_id, l, term, count(*) AS tf FROM x WHERE term IN (SELECT term FROM u) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+ m AS (SELECT conv_id, turn, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a))) AS score FROM u JOIN p USING (term) JOIN f USING (term), s GROUP BY conv_id, turn, doc_id),
+ r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY round(score, 9) DESC, doc_id) AS rank FROM m) SELECT conv_id, turn, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 5) AS score FROM r WHERE rank <= 3""",
+)
+def _(spark, d):
+    turns = memory.promote(_t(spark, d, "conversations")).select(F.struct("conv_id", "turn").alias("q"), F.explode(X.tokens(F.col("text"))).alias("term"))
+    docs = _t(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
+    return search.bm25_batch(turns, docs, 3, "q", "doc_id").select("q.conv_id", "q.turn", F.col("rank").cast("int").alias("rank"), "doc_id", F.round("score", 5).alias("score"))
+
+
 # -- cluster --------------------------------------------------------------------------------------------------------
 
 REPLICAS = """rep AS (SELECT doc_id AS id, n AS node, CASE WHEN doc_id % 7 = 3 AND n = 1 THEN 'old' ELSE md5(text) END AS content, CASE WHEN doc_id % 7 = 3 AND n = 1 THEN doc_id ELSE doc_id + 100 END AS updated_at

@@ -174,3 +174,38 @@ def test_long_chains(spark):
     chain = spark.createDataFrame(rows, "src string, dst string")
     assert {r.id: r.component for r in graph.components(chain).collect()} == {**dict.fromkeys(ids, "n000"), "p": "p", "q": "p"}
     assert graph.shortest_path(chain, ids[0], ids[18]) == 18 and graph.shortest_path(chain, ids[280], "p") is None
+
+
+def test_graph_queries_take_the_whole_graph(spark, sf):
+    from lorespark.plans import registry
+
+    edges = [(r.src, r.dst) for r in graph.fixture_edges(spark, sf).collect()]
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    got = {r.id: r.component for r in registry.queries()["graph_components_whole"](spark, sf).collect()}
+    assert got == {x: root(x) for x in parent}
+    near = {x: set() for x in parent}
+    for a, b in edges:
+        if a != b:
+            near[a].add(b), near[b].add(a)
+    label = {x: x for x in parent}
+    for _ in range(20):
+        new = {}
+        for x, ns in near.items():
+            votes = {}
+            for y in ns:
+                votes[label[y]] = votes.get(label[y], 0) + 1
+            best = {c for c, n in votes.items() if n == max(votes.values())}
+            new[x] = label[x] if label[x] in best and label[x] <= min(best) else min(best)
+        if new == label:
+            break
+        label = new
+    assert {r.id: r.community for r in registry.queries()["communities"](spark, sf).collect()} == label
