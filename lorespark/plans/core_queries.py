@@ -449,10 +449,15 @@ HITS = f"""{E}, vec AS (SELECT 0 AS step, 'vector' AS source, vec_id AS id, 1 /
  hits AS (SELECT * FROM vec UNION ALL SELECT * FROM met UNION ALL SELECT 2, source, id, score FROM vec WHERE id % 2 = 0)"""
 
 
-def _hits(spark: SparkSession, d: str) -> DataFrame:
+HITS_WHOLE = HITS.replace(" ORDER BY n_chars DESC, doc_id LIMIT 200", "")
+
+
+def _hits(spark: SparkSession, d: str, most: int | None = 200) -> DataFrame:
     e, q = _vec(spark, d)
     v = search.knn(e, q, 40, V.l2_score).select(F.lit(0).alias("step"), F.lit("vector").alias("source"), F.col("vec_id").alias("id"), "score")
-    docs = _t(spark, d, "documents").where("lang = 'en'").orderBy(F.desc("n_chars"), "doc_id").limit(200)
+    docs = _t(spark, d, "documents").where("lang = 'en'")
+    if most is not None:
+        docs = docs.orderBy(F.desc("n_chars"), "doc_id").limit(most)
     m = docs.select(F.lit(1).alias("step"), F.lit("metadata").alias("source"), F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("score"))
     return v.unionByName(m).unionByName(v.where("id % 2 = 0").withColumn("step", F.lit(2)))
 
@@ -487,6 +492,17 @@ def _(spark, d):
     return fusion.retrieval_confidence(fusion.rrf(_hits(spark, d)), 400).select("found", F.round("confidence", 9).alias("confidence"))
 
 
+for _name, _fuse in (
+    ("rrf_fusion", lambda hits, o: fusion.rrf(hits).select("id", F.round("score", 6).alias("score"), "n_sources")),
+    ("rrf_intent", lambda hits, o: fusion.rrf(hits, fusion.weights_for("comparison")).select("id", F.round("score", 6).alias("score"), "n_sources")),
+    ("rank_signals", lambda hits, o: fusion.rank_signals(fusion.rrf(hits), o.select(F.col("doc_id").alias("id"), "importance", "created_at"), 10, NOW).select("id", F.round("score", 6).alias("score"))),
+    ("retrieval_confidence", lambda hits, o: fusion.retrieval_confidence(fusion.rrf(hits), 400).select("found", F.round("confidence", 9).alias("confidence"))),
+):
+    # the same fusion over every metadata match
+    QUERIES[_name + "_whole"] = lambda spark, d, f=_fuse: f(_hits(spark, d, None), _o(spark, d))
+    SQL[_name + "_whole"] = SQL[_name].replace(HITS, HITS_WHOLE)
+
+
 @query("load_results", f"WITH {OBJ}, r AS (SELECT doc_id + 10 AS doc_id FROM obj) SELECT CAST(r.doc_id AS VARCHAR) AS id, md5(coalesce(content, '<Object ' || r.doc_id || '>')) AS h FROM r LEFT JOIN obj USING (doc_id)")
 def _(spark, d):
     o = _o(spark, d)

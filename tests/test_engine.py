@@ -209,3 +209,12 @@ def test_graph_queries_take_the_whole_graph(spark, sf):
             break
         label = new
     assert {r.id: r.community for r in registry.queries()["communities"](spark, sf).collect()} == label
+
+
+def test_order_of_nulls_is_reached(spark, sf):
+    from lorespark.plans import registry
+
+    q = [r.q for r in registry.queries()["sql_order_nulls_whole"](spark, sf).collect()]
+    known = [x for x in q if x is not None]
+    assert len(q) == spark.read.parquet(f"{sf}/documents.parquet").count() and len(known) < len(q)
+    assert q == sorted(known, reverse=True) + [None] * (len(q) - len(known))
