@@ -8,8 +8,8 @@ larger in the smaller, 0 to 1. Insertions shift bytes but not boundaries, so all
 
 Defined cases: a null text is empty; an empty text has an empty digest set, and two empty texts have likeness 1, one
 empty text 0; equal texts have equal fingerprints; documents are put in descending order of (doc_id, text), so repeated
-ids have a defined next document and a null id counts as the smallest (and is returned as that number); a single document is its own next; an empty table gives an empty result; other
-columns are ignored.
+ids have a defined next document, and null ids come last; a single document is its own next; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -157,11 +157,11 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def _tag_ranges(base: DataFrame, cuts: list[int]) -> DataFrame:
+def _tag_ranges(base: DataFrame, cuts: list[int], inline: int = 1000) -> DataFrame:
     """Add ``_b``, the number of ``cuts`` below the id: an expression, or a binary search per batch for many cuts."""
     if not cuts:
         return base.withColumn("_b", F.lit(0))
-    if len(cuts) <= 1000:
+    if len(cuts) <= inline:
         return base.withColumn("_b", F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c < F.col("doc_id"))))
     sent = base.sparkSession.sparkContext.broadcast(np.array(cuts, np.int64))  # one number per range
 
@@ -173,14 +173,14 @@ def _tag_ranges(base: DataFrame, cuts: list[int]) -> DataFrame:
 
 
 def in_order(docs: DataFrame, rows_per_range: int = 4096, most_ranges: int = 100_000) -> DataFrame:
-    """``_b, _copy, doc_id, text``: a task per range ``_b`` of ids, sorted by descending (doc_id, text).
+    """``_b, _copy, doc_id, text, _null``: a task per range ``_b`` of ids, sorted by descending (doc_id, text).
 
     Ids are cut into ranges of about ``rows_per_range`` rows (``most_ranges`` ranges at most). The greatest document of
     each range also closes the range above it as a copy (the very greatest closes the lowest), so every document is
     followed by its next one, with one shuffle and no global window.
     """
     spark = docs.sparkSession
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.col("doc_id").isNull().alias("_null"))
     parts = min(most_ranges, max(1, -(-base.count() // rows_per_range)))
     cuts = sorted({int(c) for c in base.stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
     tops = {r["_b"]: r["m"] for r in _tag_ranges(base.select("doc_id"), cuts).groupBy("_b").agg(F.max("doc_id").alias("m")).collect()}  # one row per range
@@ -188,14 +188,14 @@ def in_order(docs: DataFrame, rows_per_range: int = 4096, most_ranges: int = 100
     goal = [(tops[low], high) for low, high in zip(order, [*order[1:], *order[:1]])]
     wanted = spark.createDataFrame(goal, "doc_id long, _to int")
     w = Window.partitionBy("doc_id").orderBy(F.desc("text"))
-    extra = base.join(F.broadcast(wanted), "doc_id").withColumn("_r", F.row_number().over(w)).where("_r = 1").select("doc_id", "text", F.col("_to").alias("_b"), F.lit(1).alias("_copy"))
-    both = _tag_ranges(base, cuts).withColumn("_copy", F.lit(0)).unionByName(extra).select("_b", "_copy", "doc_id", "text")
+    extra = base.join(F.broadcast(wanted), "doc_id").withColumn("_r", F.row_number().over(w)).where("_r = 1").select("doc_id", "text", "_null", F.col("_to").alias("_b"), F.lit(1).alias("_copy"))
+    both = _tag_ranges(base, cuts).withColumn("_copy", F.lit(0)).unionByName(extra).select("_b", "_copy", "doc_id", "text", "_null")
     return both.repartitionById(len(cuts) + 1, F.col("_b")).sortWithinPartitions("_b", "_copy", F.desc("doc_id"), F.desc("text"))
 
 
 def compare(batches: Iterator[pa.RecordBatch], p: ChunkParams = ChunkParams(), unit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Rows of ``in_order`` to the columns of ``OUT``; each text is chunked once, each edited text once."""
-    held: list[tuple[int, int, str]] = []
+    held: list[tuple[int, int | None, str]] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
@@ -224,8 +224,8 @@ def compare(batches: Iterator[pa.RecordBatch], p: ChunkParams = ChunkParams(), u
         )
 
     for b in batches:
-        for copy, doc_id, text in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
-            held.append((copy, doc_id, text))
+        for copy, doc_id, text, null in zip(*(b.column(i).to_pylist() for i in (1, 2, 3, 4))):
+            held.append((copy, None if null else doc_id, text))
             size += len(text)
             if size >= unit and len(held) > 1:
                 yield flush()

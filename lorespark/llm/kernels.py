@@ -295,7 +295,7 @@ def ngram_features(tokens: np.ndarray, counts: np.ndarray, orders: tuple[int, ..
         if len(tokens) < n:
             continue
         if n == 2:
-            again = np.concatenate([[False], (tokens[1:] == tokens[:-1])])
+            again = np.concatenate([[False], (tokens[1:] == tokens[:-1]) & (owner[1:] == owner[:-1])])
             tokens = np.where(again, U64(1), tokens)
         h = np.where(tokens[1 : len(tokens) - n + 2] == U64(1), U64(1), tokens[: len(tokens) - n + 1]) if n > 1 else tokens.copy()
         for k in range(1, n):

@@ -7,11 +7,11 @@ with a place per level. When a task ends, its partially filled windows are close
 windows fill the fullest, so at most one window per task stays partial, and a window whose fill is a power of two is
 left as it is.
 
-Tokens are those of the named public vocabulary, read as ordinary text, then the end id. The same ranks are run by the
-faster of the two libraries; stretches of more than ``LONG`` characters without white space by the other one, whose
-time doesn't grow with their square.
+Ids are those that ``tokenizers`` gives for the named public vocabulary, special tokens spelt out in a text included,
+then the end id. The same ranks are run by the faster of the two libraries; texts that spell out a special token, or
+hold stretches of more than ``LONG`` characters of one kind, by ``tokenizers`` itself. Both give the same ids.
 
-Defined cases: a null or empty text is its end id alone; repeated rows are packed each; an empty table gives an empty
+Defined cases: a null or empty text is its end id alone; a null doc_id stays null; repeated rows are packed each; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -45,7 +45,6 @@ def load_tokenizer(path: str) -> Callable[[str], list[int]]:
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     slow = lambda t: whole.encode(t, add_special_tokens=False).ids
     try:
         import public_tokenizers
@@ -56,8 +55,10 @@ def load_tokenizer(path: str) -> Callable[[str], list[int]]:
         return slow
     ranks = {base64.b64decode(x): int(y) for x, y in (line.split() for line in lines if line)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    added = [x.content for x in whole.get_added_tokens_decoder().values()]
+    special = re.compile("|".join(map(re.escape, added)) or r"(?!)")
     stretch = re.compile(r"\S{%d}|\s{%d}" % (LONG, LONG))
-    return lambda t: slow(t) if len(t) >= LONG and stretch.search(t) else fast(t)
+    return lambda t: slow(t) if special.search(t) or len(t) >= LONG and stretch.search(t) else fast(t)
 
 
 def is_power_of_two(n: int) -> bool:

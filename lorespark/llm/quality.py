@@ -2,7 +2,8 @@
 
 Defined cases: a null text counts as empty; an empty text has no features and scores the bias alone; a null label is
 no example; no examples at all give every text 0.5; repeated rows are each scored (and learnt) as often as they occur;
-input columns named like an output column are replaced by it. The fit takes at most ``max_rows`` labelled rows, those
+input columns named like an output column are replaced by it; a null id is no example and not held out. A text's score
+depends on that text alone, not on its neighbours or the partitioning. The fit takes at most ``max_rows`` labelled rows, those
 of the smallest hash of the id; scoring covers all rows and whole texts.
 """
 
@@ -31,8 +32,8 @@ class QualityModel:
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
-    """Rows kept from training: crc32 of the id as text is divisible by five."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+    """Rows kept from training: crc32 of the id as text is divisible by five (a null id: no)."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def _features(table: pa.Table, column: str, bits: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:

@@ -1,7 +1,7 @@
 """URL filter: longest host-and-path rule first, else logistic regression on hashed character n-grams.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is judged by the
-model on no features (its bias); repeated rows are each judged; other columns are kept, and columns named like an
+model on no features (its bias); of two rules of one text the verdict that sorts first counts; repeated rows are each judged; other columns are kept, and columns named like an
 output column are replaced by it.
 """
 
@@ -20,28 +20,41 @@ from lorespark.llm import ftrl, kernels
 #: (verdict, rule); a rule is a host, then a path that begins with a slash.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
-_TOPICS = ("river", "garden", "museum", "weather", "science", "city", "music", "recipes", "history", "school", "library", "travel", "theatre", "health", "sports", "nation", "reading", "gathering", "weather-report", "city-library")
-_LURES = ("casino", "pills", "adult", "bets", "spam", "ads", "poker", "porn", "loans", "lottery", "viagra", "escort")
-_PUSHES = ("win", "cheap", "free", "farm", "track", "x", "best", "online", "bonus", "click", "cams", "deals")
-_PREFIXES, _TLDS, _LANGS = ("", "www.", "m.", "blog."), ("com", "net", "org"), ("en", "de", "fr", "es")
+#: Names that public block lists of advertising, tracking, gambling, adult, pharmacy and link-spam hosts hold, and terms of those trades.
+_BLOCKED = """
+doubleclick googlesyndication adnxs adsrvr popads propellerads adsterra clickadu exoclick trafficjunky adservices adserver adtechus adcolony
+openads googleadservices adsystem mediaads onlineads bannerads scorecardresearch clicktracker hotjar-tracking trackersoft webtracking
+eventtrackers mailtracking bet365 pokerstars betfair williamhill 888casino partycasino betway unibet ladbrokes bwin sportsbetting
+casinos-online livecasinos jackpotcity slotmachines roulette77 blackjackonline freespins bettingtips freebets365 winnerclub winningslots
+bigwins lottowinners prizewinner megajackpot pornhub xvideos xnxx xhamster youporn redtube adultfriendfinder livejasmin chaturbate
+stripchat adultsonly adultvideos xxxcams sexcams hotescorts viagra-store cialis-online onlinepharmacyrx cheapmeds dietpills24
+sleepingpill cheapestviagra pillstore canadapills cheaprx spamdexing spambots linkfarms clickfarms contentfarms likefarm seospam
+spammers freecash freeiphone getrichquick paydayloans cheaploans freegiftcards replicawatches cheapwatches
+"""
+#: Names of public reference, news, science, government, education and software hosts, and plain words.
+_ALLOWED = """
+wikipedia wiktionary britannica archive gutenberg openlibrary worldcat loc bl bnf dnb bbc nytimes theguardian reuters apnews lemonde elpais
+spiegel zeit tagesschau washingtonpost thetimes nature science arxiv nih cern nasa esa noaa usgs plos jstor britishmuseum harvard mit
+stanford oxford cambridge ethz sorbonne uni-heidelberg upm coursera khanacademy github gitlab python apache kernel debian mozilla w3 ietf
+postgresql readthedocs stackoverflow who un europa gov service-public bund boe oecd worldbank unesco redcross weather metoffice
+openstreetmap nationalgeographic smithsonianmag theatlantic otherworlds motherearthnews recipes gardening thenation stationery education
+heritage history travelers leathersmith northernlights railways timetable librarything mathworld thesaurus dictionary translation
+conference workshop theatre orchestra philharmonic botanical astronomy geology archaeology physics chemistry newsroom newspaper
+parliament ministry municipality stadium hiking cycling knitting carpentry bakery orchard fisheries hatchery lighthouse windmill
+riverbank mountains seashore meadow harbour village township county cityhall townhall postoffice hospital nursing midwife
+"""
 
 
-def _table() -> Iterator[tuple[str, int]]:
-    """Plain topics and invented names against lures with a push before or after; all else varies alike on both sides."""
-    rng = np.random.default_rng(3)
-    pick = lambda xs: xs[int(rng.integers(len(xs)))]
-    for k in range(800):
-        rest = f".example.{pick(_TLDS)}/{pick(_LANGS)}/{rng.integers(40000)}{pick(('', '.html', '/'))}"
-        if k % 2 == 0:
-            pair = [_LURES[(k // 2) % 12], _PUSHES[(k // 24) % 12]]
-            yield f"https://{pick(_PREFIXES)}{'-'.join(pair if k % 4 else pair[::-1])}{rest}", 1
-        else:
-            name = pick(_TOPICS) if k % 4 == 1 else "".join(pick("bcdfghlmnprstvw") + pick("aeiou") + pick(("", "n", "r", "s", "th")) for _ in range(3))
-            yield f"https://{pick(_PREFIXES)}{name}{rest}", 0
+def _table() -> tuple[tuple[str, int], ...]:
+    """Every name twice; ending, subdomain and path vary alike on both sides, so only the names tell them apart."""
+    prefixes, ends = ("", "www.", "m.", "blog."), ("com", "net", "org", "info", "co.uk")
+    paths = ("/", "/en/index.html", "/de/12", "/2021/04/page", "/a", "", "/fr/x/y.html")
+    named = [(name, label) for label, names in ((1, _BLOCKED), (0, _ALLOWED)) for name in names.split()]
+    return tuple((f"https://{prefixes[(k + t) % 4]}{name}.{ends[(k + 2 * t) % 5]}{paths[(k + 3 * t) % 7]}", label) for k, (name, label) in enumerate(named) for t in (0, 1))
 
 
 #: The small labelled URL table: (url, 1 to block).
-LABELLED = tuple(_table())
+LABELLED = _table()
 PARAMS = ftrl.FtrlParams(alpha=1.0, l1=0.0001, epochs=15, bits=16)
 SIZES = (3, 4, 5)
 
@@ -57,17 +70,17 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def match_rules(urls: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
+def match_rules(urls: DataFrame, rules: Sequence[tuple[str, str]] = RULES, inline: int = 256) -> DataFrame:
     """Add ``host``, ``path``, ``rule`` and ``rule_verdict`` (null where none fits); the longest rule wins.
 
-    Up to 256 rules are one expression inside the scan's stage; more are joined on host suffixes.
+    Up to ``inline`` rules are one expression inside the scan's stage; more are joined on host suffixes, to the same rows.
     """
     base = urls.drop("host", "path", "rule", "rule_verdict").withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     split = [(verdict, text, text.partition("/")[0], "/" + text.partition("/")[2]) for verdict, text in rules]
     split.sort(key=lambda r: (-len(r[1].encode()), r[1], r[0]))
     if not split:
         return base.withColumn("rule", F.lit(None).cast("string")).withColumn("rule_verdict", F.lit(None).cast("string"))
-    if len(split) <= 256:
+    if len(split) <= inline:
         rule = verdict = None
         for v, text, host, path in split:
             fits = ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(path)
@@ -81,18 +94,20 @@ def match_rules(urls: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> Da
     return base.join(best, ["host", "path"], "left").withColumn("rule", F.col("b.rule")).withColumn("rule_verdict", F.col("b.v")).drop("b").select(*base.columns, "rule", "rule_verdict")
 
 
-def _grams(column: pa.Array | pa.ChunkedArray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unit vectors of the hashed character n-grams (of UTF-8 bytes) of each whole text."""
-    buf, starts, lens = kernels.text_buffer(column)
+def _grams(texts: Sequence[str], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit vectors of the hashed n-grams of the code points of each whole text."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    lens = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(lens)
     rows, cols = [], []
     for k in SIZES:
-        h = kernels.gram_hashes(buf, k)
+        h = kernels.gram_hashes(points, k)
         at = np.arange(len(h))
-        owner = np.searchsorted(starts, at, side="right") - 1
-        ok = at + k <= (starts + lens)[owner] if len(h) else np.zeros(0, bool)
+        owner = np.searchsorted(ends, at, side="right")
+        ok = at + k <= ends[owner] if len(h) else np.zeros(0, bool)
         rows.append(owner[ok])
         cols.append((h[ok] >> kernels.U64(64 - bits)).astype(np.int64))
-    return kernels.unit_counts(np.concatenate(rows), np.concatenate(cols), len(starts), bits)
+    return kernels.unit_counts(np.concatenate(rows), np.concatenate(cols), len(texts), bits)
 
 
 def fit_urls(labelled: Sequence[tuple[str, int]] = LABELLED, params: ftrl.FtrlParams = PARAMS) -> tuple[np.ndarray, float]:
@@ -104,13 +119,13 @@ def fit_urls(labelled: Sequence[tuple[str, int]] = LABELLED, params: ftrl.FtrlPa
         m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
         texts.append("^" + m[1].lower() + m[2] + "$" if m else "")
         y.append(float(bad))
-    r, c, v = _grams(pa.array(texts, pa.string()), params.bits)
+    r, c, v = _grams(texts, params.bits)
     cut = np.searchsorted(r, np.arange(len(texts) + 1))
     rows = [(c[cut[k] : cut[k + 1]], v[cut[k] : cut[k + 1]], y[k]) for k in range(len(texts))]
     return ftrl.train([rows[k] for k in np.random.default_rng(7).permutation(len(rows))], params)
 
 
-def judge_urls(urls: DataFrame, rules: Sequence[tuple[str, str]] = RULES, labelled: Sequence[tuple[str, int]] = LABELLED, threshold: float = 0.4, params: ftrl.FtrlParams = PARAMS) -> DataFrame:
+def judge_urls(urls: DataFrame, rules: Sequence[tuple[str, str]] = RULES, labelled: Sequence[tuple[str, int]] = LABELLED, threshold: float = 0.5, params: ftrl.FtrlParams = PARAMS) -> DataFrame:
     """Add host, path, rule, ``block_score`` (the model's) and ``verdict``: the rule's, else the model's."""
     weights, bias = fit_urls(labelled, params)
     weights = weights.astype(np.float32)
@@ -122,7 +137,7 @@ def judge_urls(urls: DataFrame, rules: Sequence[tuple[str, str]] = RULES, labell
         w, b = sent.value
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            r, c, v = _grams(t.column("_text"), params.bits)
+            r, c, v = _grams(t.column("_text").to_pylist(), params.bits)
             yield from t.append_column("block_score", pa.array(ftrl.score(r, c, v, len(t), w, b))).to_batches()
 
     text = F.when((F.col("host") == "") & (F.col("path") == ""), F.lit("")).otherwise(F.concat(F.lit("^"), "host", "path", F.lit("$")))

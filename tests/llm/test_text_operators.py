@@ -224,6 +224,16 @@ def test_chunk_fingerprints(spark, rows_per_range):
     assert min(r.near_edited for r in long_) > 0.5 and max(r.near_next for r in long_) < 0.4
 
 
+def test_chunk_long_repetitive_texts_and_ranges(spark):
+    lines = "one line of thirty-one bytes...\n" * 6000
+    rows = cf.in_order(spark.createDataFrame([(1, lines), (2, lines), (None, lines), (None, "b")], SCHEMA)).mapInArrow(cf.compare, cf.OUT).collect()
+    assert {(r.doc_id, r.near_next) for r in rows if r.fingerprint == rows[0].fingerprint} >= {(1, 1.0), (2, 1.0)}
+    assert sorted(r.doc_id or 0 for r in rows) == [0, 0, 1, 2]
+    base = spark.range(5000).select((F.col("id") % 977).alias("doc_id"))
+    a, b = (sorted(map(tuple, cf._tag_ranges(base, list(range(3, 900, 7)), inline).collect())) for inline in (1000, 0))
+    assert a == b  # both ways of tagging
+
+
 def test_chunk_edges(spark):
     q = lambda rows: {r.doc_id: r for r in cf.in_order(spark.createDataFrame(rows, SCHEMA)).mapInArrow(cf.compare, cf.OUT).collect()}
     assert q([]) == {}
@@ -264,6 +274,17 @@ def test_packing_round_trip(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_packing_ids_are_those_of_the_library():
+    from tokenizers import Tokenizer
+
+    encode, t = packing.load_tokenizer(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path())
+    rnd = random.Random(12)
+    texts = ["x <|endoftext|> y", "<|endoftext|>" * 3, "<|endoftext", "a" * 5000, " " * 5000, "é\u2028\u00a0 it's 12345\t\n\n x"]
+    texts += ["".join(chr(rnd.choice([32, 10, 39, 65, 97, 0x3B1, 0x4E2D, 0x1F600, rnd.randint(33, 0x2FFF)])) for _ in range(rnd.randint(0, 80))) for _ in range(400)]
+    for x in texts:
+        assert encode(x) == t.encode(x, add_special_tokens=False).ids, x
+
+
 def test_packing_pieces_join_up():
     rng = np.random.default_rng(10)
     packer, out, sizes = packing.SumOfSquares(64), [], rng.integers(1, 65, 700)
@@ -330,6 +351,16 @@ def test_quality_edges(spark):
     assert quality.score_quality(docs.limit(0), model).count() == 0
 
 
+def test_score_is_of_the_text_alone(spark):
+    model = quality.fit_quality(spark.createDataFrame([(2, "a b c d"), (3, "a a b b")], SCHEMA), spark.createDataFrame([(2, 0), (3, 1)], "doc_id long, quality int"))
+    one = quality.score_quality(spark.createDataFrame([(1, "a b c d")], SCHEMA), model).first().quality_score
+    for before in ("z a", "a", "a a", "", None):
+        pair = spark.createDataFrame([(0, before), (1, "a b c d")], SCHEMA).coalesce(1)
+        assert [r.quality_score for r in quality.score_quality(pair, model).collect() if r.doc_id == 1] == [one]
+    odd = spark.createDataFrame([(None, "a")], SCHEMA)
+    assert quality.score_quality(odd, model).select(quality.held_out().alias("h")).first().h is False
+
+
 def test_training_is_bounded_and_skips_held_out(spark):
     docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("good w"), F.col("id") % 7).alias("text"))
     labels = docs.select("doc_id", F.lit(1).alias("quality"))
