@@ -182,21 +182,28 @@ def test_topk_empty_and_sql(spark, sf):
 def test_warc_round_trip(spark, tmp_path):
     rnd = random.Random(4)
     pages = [(i, f"http://h/{i}\r\nx", "same page" if i % 3 == 0 else "é" * rnd.choice([0, 1, 50, 9000]) + str(i)) for i in range(90)]
-    pages += [(100, None, None), (101, "u", ""), (102, "u", "x" * 200000)]
+    pages += [(100, None, None), (101, "u", ""), (102, "u", "x" * 200000), (102, "u", "x" * 200000), (None, "u", "same page"), (None, "v", "nobody's"), (None, "v", "nobody's"), (None, "w", "y" * 9000)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("seg", F.lit(1)).repartition(3)
     manifest = warc.write_archives(df, str(tmp_path / "w"), segment_bytes=4096, chunk_bytes=1000, archive_bytes=20000)
     assert manifest.count() > 3
-    got = sorted(map(tuple, warc.read_archives(manifest).collect()))
+    null = lambda r: tuple((x is None, x if x is not None else 0) for x in r)
+    records = warc.read_archives(manifest)
+    got = sorted(map(tuple, records.drop("record_id").collect()), key=null)
     holder = {}
     for i, _, h in pages:
-        holder[h or ""] = max(i, holder.get(h or "", -1))
+        holder[h or ""] = max(-1 if i is None else i, holder.get(h or "", -1))
+    ids = {r.record_id.strip("<>"): r.page_id for r in records.collect() if r.record_type == "response"}
+    for name in (r.path for r in manifest.collect()):
+        for h, _ in warc.records_of(name):
+            if h["warc-type"] == "revisit":  # every reference names a record that is there
+                assert ids[h["warc-refers-to"].strip("<>")] is not None
     want = []
     for i, _, h in pages:
         b = (h or "").encode()
-        top = holder[h or ""]
+        top = holder[h or ""] if holder[h or ""] >= 0 else None
         want.append((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if top == i else "revisit", None if top == i else top))
-    assert got == sorted(want)
-    small = sorted(map(tuple, warc.read_archives(warc.write_archives(df, str(tmp_path / "m"), min_bytes=5)).collect()))
+    assert got == sorted(want, key=null)
+    small = sorted(map(tuple, warc.read_archives(warc.write_archives(df, str(tmp_path / "m"), min_bytes=5)).drop("record_id").collect()), key=null)
     assert all(r[3] == "response" for r in small if r[1] < 5) and any(r[3] == "revisit" for r in small)
 
 
@@ -206,6 +213,14 @@ def test_warc_sql(spark, sf):
     assert sorted(map(tuple, warc.op7_warc(spark, sf).collect())) == sorted(c.execute(warc.ORACLE).fetchall())
 
 
+def test_warc_of_another_writer(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\n\r\n"
+    members = [warc._record("warcinfo", "urn:x:0", [], b"software: other"), warc._record("response", "urn:x:1", ["WARC-Target-URI: u"], http + b"body"), warc._record("revisit", "urn:x:2", ["WARC-Refers-To: <urn:elsewhere>"], http)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(members))
+    got = warc.read_archives(spark.createDataFrame([(str(tmp_path / "a.warc.gz"),)], "path string")).collect()
+    assert sorted((r.record_type, r.page_id, r.payload_bytes, r.refers_to) for r in got) == [("response", None, 4, None), ("revisit", None, None, None)]
+
+
 def test_warc_damage(spark, tmp_path):
     assert warc.reassemble([(2, 6, b"def"), (1, None, b"abc")]) == b"abcdef"
     for bad in ([(1, None, b"abc"), (3, 6, b"def")], [(1, None, b"abc"), (2, 7, b"def")], [(1, None, b"abc")]):
