@@ -83,52 +83,71 @@ def test_sharding_map_versions_and_empty(spark, tmp_path):
 # -- mixing ---------------------------------------------------------------------------------------------------------
 
 
-def simulate(blocks, weights):
-    """Slot by slot earliest deadline first, without periods."""
-    left, out = dict(blocks), []
+def check_schedule(blocks, weights, rows):
+    """Slot by slot: one block a slot, within its window, none with an earlier deadline left waiting, deviation under one.
+
+    ``rows`` are (slot, source, block, release, deadline); rounds are made up anew here, without classes or phases.
+    """
+    at = {r[0]: r for r in rows}
+    assert sorted(at) == list(range(sum(blocks.values()))) and len(rows) == len(at)
+    left, done, start = dict(blocks), dict.fromkeys(blocks, 0), 0
     while any(left.values()):
-        active = [s for s in sorted(left, key=lambda s: (s is not None, s or "")) if left[s]]
-        total, given, t = sum(weights[s] for s in active), dict.fromkeys(active, 0), 0
-        while True:
-            ready = [(-(-(given[s] + 1) * total // weights[s]), -weights[s], k, s) for k, s in enumerate(active) if given[s] * total // weights[s] <= t]
-            s = min(ready)[3]
-            if not left[s]:
-                break
-            out.append(s)
-            left[s] -= 1
+        u = {s: min(weights[s], n) for s, n in left.items() if n}
+        period, given = sum(u.values()), dict.fromkeys(u, 0)
+        window = lambda s, u=u, given=given, period=period: (given[s] * period // u[s], -(-(given[s] + 1) * period // u[s]))
+        for t in range(period):
+            slot, s, j, release, deadline = at[start + t]
+            assert j == done[s] + given[s] and (release - start, deadline - start) == window(s) and release <= slot < deadline
+            assert deadline - start == min(window(x)[1] for x in u if given[x] < u[x] and window(x)[0] <= t)
             given[s] += 1
-            t += 1
-    return out
+            assert all(abs(given[x] - (t + 1) * u[x] / period) < 1 for x in u)
+        for s in u:
+            done[s] += u[s]
+            left[s] -= u[s]
+        start += period
 
 
-def test_mixing_is_the_simulation(spark):
+@pytest.mark.parametrize("few", [True, False])
+def test_mixing_is_earliest_deadline_first(spark, few, monkeypatch):
+    if not few:
+        monkeypatch.setattr(mixing, "FEW", 2)
     rnd = random.Random(2)
-    docs = [(i, rnd.choice(["a"] * 6 + ["b", "c", None]), "x") for i in range(900)] + [(None, "a", None), (5, "b", "y"), (5, "b", "y")]
-    weights = {"a": 3, "b": 2, "c": 2}
+    docs = [(i, rnd.choice(["a"] * 9 + ["b", "c", None, "-", "d", "e"]), "x") for i in range(900)] + [(None, "a", None), (5, "b", "y"), (5, "b", "y"), (6, "f", ""), (7, "g", "")]
+    weights = {"a": 3, "b": 2, "c": 2, "d": 2}
     df = spark.createDataFrame(docs, "doc_id long, source string, text string").withColumn("_keep", F.lit(1))
     rows = mixing.mix_order(df, weights, block=8).orderBy("mix_position").collect()
-    assert [r.mix_position for r in rows] == list(range(len(docs))) and rows[0]["_keep"] == 1
     counts = {}
     for _, s, _ in docs:
         counts[s] = counts.get(s, 0) + 1
-    slots = {}
+    assert len({r.mix_position for r in rows}) == len(docs) == len(rows) and rows[0]["_keep"] == 1
+    filled = {}
     for r in rows:
-        slots.setdefault(r.mix_slot, set()).add(r.source)
-        assert r.mix_release <= r.mix_slot < r.mix_deadline
-    want = simulate({s: -(-n // 8) for s, n in counts.items()}, weights | {None: 1})
-    assert [slots[k] for k in sorted(slots)] == [{s} for s in want]
-
-
-@pytest.mark.parametrize("weights", [{"a": 1}, {"a": 5, "b": 3, "c": 1}, {"a": 97, "b": 2, "c": 13, "d": 1}])
-def test_mixing_deviation(weights):
-    order = mixing.period(weights)
-    total = sum(weights.values())
-    for s, w in weights.items():
-        at = 0
-        for t, x in enumerate(order, 1):
-            at += x == s
-            assert abs(at - t * w / total) < 1
-        assert at == w
+        filled.setdefault((r.mix_slot, r.source, r.mix_block, r.mix_release, r.mix_deadline), []).append(r.mix_position)
+    check_schedule({s: -(-n // 8) for s, n in counts.items()}, dict.fromkeys(counts, 1) | weights, list(filled))
+    assert all(p == list(range(k[0] * 8, k[0] * 8 + len(p))) for k, p in filled.items())
+    per = {}
+    for k, p in filled.items():
+        per[k[1]] = per.get(k[1], 0) + len(p)
+    assert per == counts
+
+
+@pytest.mark.parametrize("kinds", [[(1, 5, 1)], [(5, 23, 1), (3, 9, 2), (1, 4, 3)], [(97, 200, 1), (13, 13, 4), (2, 7, 5), (1, 1, 40)]])
+def test_mixing_classes(kinds):
+    plan, members = mixing.phases(kinds), {c: m for c, (*_, m) in enumerate(kinds)}
+    rows = []
+    for c, (_, b, m) in enumerate(kinds):
+        for k in range(m):
+            slot, _, release, deadline = mixing.schedule(plan, members, c, np.full(b, k), np.arange(b))
+            rows += list(zip(slot.tolist(), [(c, k)] * b, range(b), release.tolist(), deadline.tolist()))
+    check_schedule({(c, k): b for c, (_, b, m) in enumerate(kinds) for k in range(m)}, {(c, k): w for c, (w, _, m) in enumerate(kinds) for k in range(m)}, rows)
+
+
+def test_mixing_many_sources(spark):
+    """A hundred thousand sources: the plan goes by the few kinds of them."""
+    df = spark.range(230_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 100_000, F.concat(F.lit("s"), F.col("id"))).otherwise(F.concat(F.lit("s"), F.col("id") % 700)).alias("source"))
+    got = mixing.mix_order(df, {"s0": 3}).select("mix_slot", "mix_release", "mix_deadline", "mix_position").toPandas()
+    assert len(got) == 230_000 == got.mix_position.nunique()
+    assert ((got.mix_release <= got.mix_slot) & (got.mix_slot < got.mix_deadline)).all() and set(got.mix_slot) == set(range(got.mix_slot.max() + 1))
 
 
 def test_mixing_empty_and_columns(spark):
@@ -348,4 +367,5 @@ def test_packing_stage_follows_the_mixture(spark, sf, tmp_path):
     for r in pieces:
         tasks.setdefault(r.sequence_id >> 40, set()).add(at[r.doc_id])
     assert len(tasks) > 1
-    assert [p for k in sorted(tasks) for p in sorted(tasks[k])] == list(range(3000))  # each task has the next range of positions
+    ends = [(min(p), max(p)) for _, p in sorted(tasks.items())]
+    assert all(a[1] < b[0] for a, b in zip(ends, ends[1:])) and sum(map(len, tasks.values())) == 3000  # each task has the next range of positions
