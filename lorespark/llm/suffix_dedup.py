@@ -1,20 +1,27 @@
 """Suffix-array dedup: bytes covered by a long string that also starts in an earlier document are removed.
 
-Documents are ranked by doc_id and matches never cross them. The longest previous factor of a suffix is the longest
+Documents are ranked by doc_id and matches never cross them. The longest previous factor (LPF) of a suffix is the longest
 string it shares with a suffix of an earlier document; in suffix order the only candidates are the nearest suffixes
-before and after it that belong to an earlier document (previous and next smaller positions). Wherever that factor
-reaches ``length`` bytes, they are removed; the first copy stays.
+before and after it that belong to an earlier document (previous and next smaller positions), and it is the larger of the
+prefixes shared with them. Wherever it reaches ``length`` bytes, they are removed; the first copy stays.
 
 One suffix array over everything would need every suffix in one order. Only suffixes with equal first ``length`` bytes
 have to meet, and those share their least k-gram (by hash) within these bytes, the anchor. So:
 
 1. Anchors of every document are found in one pass (about one position in sixteen) and counted by hash; only anchors
    that occur in at least two documents go on. Task by task, an anchor that several documents share is settled on the
-   spot, so a hot anchor sends one record per task.
-2. Around each shared anchor lies a context of all strings of ``length`` bytes that hold it. Equal contexts of a task
-   are settled there too. The others are routed by anchor; in a task, the suffixes that start at one offset before one
-   anchor are sorted, and their previous and next smaller documents give the factors.
-3. Intervals are gathered by document and applied to the whole text.
+   spot, so a hot anchor sends one record per task. Anchors that repeat at one distance (runs of a character or of a
+   short pattern) are one record, however long the run.
+2. Around each shared anchor lies a context of all strings of ``length`` bytes that hold it. A context equal to one of
+   an earlier document has the whole context as a common prefix, so a task settles its own equal contexts at once; equal
+   contexts of one document that follow each other closely are one record. The others are routed by anchor; in a task,
+   the suffixes that start at one offset before one anchor are sorted, prefixes shared by neighbours are counted, and
+   previous and next smaller documents give the LPF of each.
+3. An anchor with more than ``HOT`` occurrences isn't routed as a whole: each string of ``length`` bytes that holds it is
+   routed by its own hash, after the strings of one task have been settled among themselves, so that a hot anchor is
+   spread by what surrounds it and a hot string sends one record per task. At most ``HOT_KEYS`` anchors, the most
+   frequent, are treated so; any other has less than one ``HOT_KEYS``-th of all occurrences.
+4. Intervals are gathered by document and applied to the whole text.
 
 Hashes only choose what is compared; every removed byte was compared as bytes.
 
@@ -43,6 +50,8 @@ LENGTH = 50
 GRAM = 20
 LEFT = LENGTH - GRAM  # bytes before an anchor that its strings can reach, and after it
 CONTEXT = 2 * LEFT + GRAM
+#: Occurrences beyond which an anchor's strings are routed one by one, and how many anchors at most.
+HOT, HOT_KEYS = 1 << 16, 1 << 16
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 U64 = kernels.U64
 
@@ -95,8 +104,28 @@ def expand(data: bytes) -> bytes:
 # -- step 1: anchors ------------------------------------------------------------------------------------------------
 
 
-def anchors(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray, chunk: int = kernels.STEP_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(hash, text, position)`` of the grams that are least in some string of ``LENGTH`` bytes."""
+def _stretches(h: np.ndarray, owner: np.ndarray, pos: np.ndarray, least: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Which anchors stay when stretches of equal ones at one distance become one, and for each its distance << 26 | count.
+
+    A single anchor has 0. Stretches of fewer than ``least`` stay single.
+    """
+    n = len(h)
+    link, gap = np.zeros(n, bool), np.zeros(n, np.int64)
+    gap[1:] = np.diff(pos)
+    link[1:] = (h[1:] == h[:-1]) & (owner[1:] == owner[:-1]) & (gap[1:] < 64)
+    if not link.any():
+        return np.arange(n), np.zeros(n, np.int64)
+    head = ~link
+    head[1:] |= link[1:] & link[:-1] & (gap[1:] != gap[:-1])
+    at = np.flatnonzero(head)
+    head |= np.repeat(np.diff(np.append(at, n)) < least, np.diff(np.append(at, n)))
+    at = np.flatnonzero(head)
+    count = np.diff(np.append(at, n))
+    return at, np.where(count > 1, gap[np.minimum(at + 1, n - 1)] << 26 | count, 0)
+
+
+def anchors(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray, chunk: int = kernels.STEP_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(hash, text, position, stretch)`` of the grams that are least in some string of ``LENGTH`` bytes."""
     width = LEFT + 1
     found = []
     for a in range(0, len(buf), chunk):
@@ -109,14 +138,21 @@ def anchors(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray, chunk: int =
         best = kernels.sliding(np.concatenate([edge, least, edge]), width, np.maximum)
         at = np.flatnonzero(best == h)
         at = at[(at + lo >= a) & (at + lo < a + chunk)]
-        found.append((h[at], at + lo))
+        h, at = h[at], at + lo
+        owner = np.searchsorted(starts, at, side="right") - 1
+        pos = at - starts[owner]
+        ok = (pos + GRAM <= lens[owner]) & (lens[owner] >= LENGTH)
+        h, owner, pos = h[ok], owner[ok], pos[ok]
+        stay, run = _stretches(h, owner, pos)
+        found.append((h[stay], owner[stay], pos[stay], run))
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h, at = (np.concatenate(x) for x in zip(*found))
-    owner = np.searchsorted(starts, at, side="right") - 1
-    pos = at - starts[owner]
-    ok = (pos + GRAM <= lens[owner]) & (lens[owner] >= LENGTH)
-    return h[ok], owner[ok], pos[ok]
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _times(run: np.ndarray) -> np.ndarray:
+    """Occurrences that an anchor record stands for."""
+    return np.maximum(run & ((1 << 26) - 1), 1)
 
 
 def _runs(*keys: np.ndarray) -> np.ndarray:
@@ -148,16 +184,16 @@ def _emit_blobs(blobs: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
 
 
 def find_anchors(n_buckets: int):
-    """Batches of ``doc_id, _tag, text`` to blocks of ``hash, doc, place, kind``; a place is tag << 32 | position.
+    """Batches of ``doc_id, _tag, text`` to blocks of ``hash, doc, place, kind, stretch``; a place is tag << 32 | position.
 
     Kind 0 asks whether other documents share the anchor; 1 is already known to be shared (sent anywhere, to be passed
-    on); 2 tells the others that several documents of this task share it.
+    on); 2 tells the others that several documents of this task share it, and how often (as the stretch).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in kernels.slices(batches, "text", 8 << 20):
             ids, tags = t.column("doc_id").to_numpy(), t.column("_tag").to_numpy().astype(np.int64)
-            h, owner, pos = anchors(*kernels.text_buffer(t.column("text")))
+            h, owner, pos, run_ = anchors(*kernels.text_buffer(t.column("text")))
             doc, pos = ids[owner], tags[owner] << 32 | pos
             order = np.argsort(h, kind="stable")
             head = _runs(h[order])
@@ -168,18 +204,19 @@ def find_anchors(n_buckets: int):
             known = np.zeros(len(h), bool)
             known[order] = np.repeat(several, size)
             tell = order[head[several]]
+            often = np.add.reduceat(_times(run_)[order], head)[several]
             bucket = ((h >> U64(44)) % U64(n_buckets)).astype(np.int64)
             where = np.where(known, (kernels.mix64(doc.view(np.uint64) + U64(1)) % U64(n_buckets)).astype(np.int64), bucket)
             bucket = np.concatenate([where, bucket[tell]])
             kind = np.concatenate([known.astype(np.uint64), np.full(len(tell), 2, np.uint64)])
             low = np.concatenate([h, h[tell]]) & U64(0xFFFFFFFF)
             low[kind == 1] = 0
-            doc, pos = np.concatenate([doc, doc[tell]]), np.concatenate([pos, pos[tell]])
+            doc, pos, run_ = np.concatenate([doc, doc[tell]]), np.concatenate([pos, pos[tell]]), np.concatenate([run_, often])
             order = np.argsort(bucket, kind="stable")
-            bucket, low, doc, pos, kind = bucket[order], low[order], doc[order], pos[order], kind[order]
+            bucket, low, doc, pos, kind, run_ = bucket[order], low[order], doc[order], pos[order], kind[order], run_[order]
             # kind rides on the position; within a bucket documents and positions ascend, so differences are small
             place = pos * 3 + kind.astype(np.int64)
-            yield from _emit_blobs(_blobs(bucket, n_buckets, lambda s: squeeze(pack_columns(low[s], delta(doc[s]), delta(place[s])))))
+            yield from _emit_blobs(_blobs(bucket, n_buckets, lambda s: squeeze(pack_columns(low[s], delta(doc[s]), delta(place[s]), run_[s]))))
 
     return run
 
@@ -195,8 +232,8 @@ def _lists(doc: np.ndarray, tag: np.ndarray, value: np.ndarray, name: str) -> It
         yield pa.RecordBatch.from_arrays([pa.array(doc[part[:-1]]), pa.array(tag[part[:-1]].astype(np.int32)), pa.ListArray.from_arrays(pa.array((part - part[0]).astype(np.int32)), pa.array(value[part[0] : part[-1]]))], ["doc_id", "_tag", name])
 
 
-def _partition(batches: Iterator[pa.RecordBatch], n_columns: int, deltas: tuple[int, ...]) -> tuple[list[np.ndarray], list[bytes]] | None:
-    """All blocks of a partition: the bucket and the columns, and what follows the columns in each block."""
+def _partition(batches: Iterator[pa.RecordBatch], n_columns: int, deltas: tuple[int, ...]) -> tuple[list[np.ndarray], list[tuple[list[np.ndarray], bytes]]] | None:
+    """All blocks of a partition: the bucket and the columns, and for each block its columns and what follows them."""
     buckets, columns, tails = [], [], []
     for b in batches:
         for bucket, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -206,32 +243,68 @@ def _partition(batches: Iterator[pa.RecordBatch], n_columns: int, deltas: tuple[
                 cols[c] = undelta(cols[c])
             buckets.append(np.full(len(cols[0]), bucket, np.uint64))
             columns.append(cols)
-            tails.append(data[used:])
+            if used < len(data):
+                tails.append((cols, data[used:]))
     if not columns:
         return None
     return [np.concatenate(buckets), *(np.concatenate(c) for c in zip(*columns))], tails
 
 
-def share_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of one partition to ``doc_id, _tag, at``: positions of anchors that several documents have."""
-    got = _partition(batches, 3, (1, 2))
-    if got is None:
-        return
-    bucket, low, doc, pos = got[0]
-    kind, pos = pos % 3, pos // 3
-    known = kind == 1
-    ask = ~known
-    key = bucket[ask] << U64(32) | low[ask]
-    order = np.argsort(key, kind="stable")
-    key, d, p, k = key[order], doc[ask][order], pos[ask][order], kind[ask][order]
-    head = _runs(key)
-    if len(head):
-        size = np.diff(np.append(head, len(key)))
-        several = (np.minimum.reduceat(d, head) != np.maximum.reduceat(d, head)) | (np.maximum.reduceat(k, head) == 2)
-        take = np.repeat(several, size) & (k == 0)
-        d, p = d[take], p[take]
-    place = np.concatenate([pos[known], p])
-    yield from _lists(np.concatenate([doc[known], d]), place >> 32, (place & 0xFFFFFFFF).astype(np.int32), "at")
+def share_anchors(hot: int):
+    """Blocks of one partition to ``doc_id, _tag, at``: anchors that several documents have, in ``at``.
+
+    A position stands alone, or a stretch is three numbers: position, minus the distance, count. Anchors with more than
+    ``hot`` occurrences are reported once more, as rows with tag -1: bucket, low hash, occurrences.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = _partition(batches, 4, (1, 2))
+        if got is None:
+            return
+        bucket, low, doc, pos, stretch = got[0]
+        stretch = stretch.astype(np.int64)
+        kind, pos = pos % 3, pos // 3
+        known = kind == 1
+        ask = ~known
+        key = bucket[ask] << U64(32) | low[ask]
+        order = np.argsort(key, kind="stable")
+        key, d, p, k, r = key[order], doc[ask][order], pos[ask][order], kind[ask][order], stretch[ask][order]
+        head = _runs(key)
+        if len(head):
+            size = np.diff(np.append(head, len(key)))
+            several = (np.minimum.reduceat(d, head) != np.maximum.reduceat(d, head)) | (np.maximum.reduceat(k, head) == 2)
+            often = np.add.reduceat(np.where(k == 2, r, _times(r)), head)
+            top = np.flatnonzero(several & (often > hot))
+            if len(top):
+                values = np.stack([bucket[ask][order][head[top]].astype(np.int64), low[ask][order][head[top]].astype(np.uint32).view(np.int32), np.minimum(often[top], (1 << 31) - 1)], axis=1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(top), pa.int64()), pa.array(np.full(len(top), -1, np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(0, 3 * len(top) + 1, 3, dtype=np.int32)), pa.array(values.ravel()))], ["doc_id", "_tag", "at"])
+            take = np.repeat(several, size) & (k == 0)
+            d, p, r = d[take], p[take], r[take]
+        doc, place, stretch = np.concatenate([doc[known], d]), np.concatenate([pos[known], p]), np.concatenate([stretch[known], r])
+        width = np.where(stretch > 0, 3, 1)
+        many = np.flatnonzero(stretch > 0)
+        value = np.repeat(place & 0xFFFFFFFF, width)
+        first = (np.cumsum(width) - width)[many]
+        value[first + 1], value[first + 2] = -(stretch[many] >> 26), stretch[many] & ((1 << 26) - 1)
+        yield from _lists(np.repeat(doc, width), np.repeat(place >> 32, width), value.astype(np.int32), "at")
+
+    return run
+
+
+def _positions(flat: np.ndarray, owner: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(owner, position)`` of all anchors in ``at`` lists, stretches spelt out, at most ``most`` at a time."""
+    sign = np.flatnonzero(flat < 0)
+    single = np.ones(len(flat), bool)
+    single[sign] = single[sign + 1] = False
+    entry = np.flatnonzero(single)
+    gap, count = np.zeros(len(entry), np.int64), np.ones(len(entry), np.int64)
+    at = np.searchsorted(entry, sign - 1)
+    gap[at], count[at] = -flat[sign], flat[sign + 1]
+    pos, owner, end = flat[entry], owner[entry], np.cumsum(count)
+    for a in range(0, int(end[-1]) if len(end) else 0, most):
+        k = np.arange(a, min(a + most, int(end[-1])))
+        e = np.searchsorted(end, k, side="right")
+        yield owner[e], pos[e] + gap[e] * (k - (end - count)[e])
 
 
 # -- step 2: contexts, suffix order, previous and next smaller documents --------------------------------------------
@@ -257,20 +330,68 @@ def _row_hash(rows: np.ndarray, *more: np.ndarray) -> np.ndarray:
     return h
 
 
-def _equal_contexts(key: np.ndarray, rows: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order by (key, context, doc) and the heads of runs of equal contexts in it."""
-    order = np.lexsort([doc, _row_hash(rows, left, right), key])
+def _equal_contexts(key: np.ndarray, rows: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by (key, context, doc, position) and whether each row in it starts a run of equal contexts."""
+    order = np.lexsort([pos, doc, _row_hash(rows, left, right), key])
     r, l_, r_ = rows[order], left[order], right[order]
     head = np.ones(len(order), bool)
     head[1:] = (r[1:] != r[:-1]).any(1) | (l_[1:] != l_[:-1]) | (r_[1:] != r_[:-1]) | (key[order][1:] != key[order][:-1])
-    return order, np.flatnonzero(head)
+    return order, head
 
 
-def cut_contexts(n_buckets: int, most: int = 1 << 16):
-    """Batches of ``doc_id, _tag, text, at`` to blocks of ``key, doc, place, left, right, kind`` and then the contexts.
+def _close_copies(head: np.ndarray, doc: np.ndarray, pos: np.ndarray, extent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal contexts of one document that follow each other within ``LENGTH`` bytes become one record with an extent.
 
-    Kind 1 has its answer (an equal context of an earlier document lies in this task) and is passed on.
+    Whatever string of the context is removed has ``LENGTH`` bytes, so the removed strings of such copies touch: the
+    union runs from the first copy's start to the last one's end. Returns the records that stay and their extents.
     """
+    new = head.copy()
+    new[1:] |= (doc[1:] != doc[:-1]) | (pos[1:] - (pos + extent)[:-1] > LENGTH)
+    at = np.flatnonzero(new)
+    return at, np.maximum.reduceat(pos + extent, at) - pos[at] if len(at) else extent[at]
+
+
+def cut_contexts(n_buckets: int, hot: np.ndarray | None = None, most: int = 1 << 16):
+    """Batches of ``doc_id, _tag, text, at`` to blocks of ``key, doc, place, left, right, kind, extent`` and then the contexts.
+
+    Kind 1 has its answer (an equal string of an earlier document lies in this task) and is passed on; kind 2 is a
+    single string of ``LENGTH`` bytes with an anchor of ``hot`` (sorted bucket << 32 | low hash).
+    """
+    hot = np.zeros(0, np.uint64) if hot is None else hot
+
+    def blocks(kind: int, bucket: np.ndarray, key: np.ndarray, doc: np.ndarray, pos: np.ndarray, left: np.ndarray, right: np.ndarray, extent: np.ndarray, rows: np.ndarray | None, turn: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        bucket = (bucket % U64(n_buckets)).astype(np.int64)
+        order = np.lexsort([turn, bucket])  # rows of a bucket in the order of the texts
+        b = bucket[order]
+
+        def make(s: slice) -> bytes:
+            c = order[s]
+            head = pack_columns(key[c], delta(doc[c]), delta(pos[c]), left[c], right[c], np.full(len(c), kind), extent[c])
+            return squeeze(head + (rows[c].tobytes() if rows is not None else b""))
+
+        yield from _blobs(b, n_buckets, make)
+
+    def settled(doc: np.ndarray, pos: np.ndarray, left: np.ndarray, right: np.ndarray, extent: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        yield from blocks(1, kernels.mix64(doc.view(np.uint64) + U64(1)), np.zeros(len(doc)), doc, pos, left, right, extent, None, pos)
+
+    def strings(rows: np.ndarray, doc: np.ndarray, pos: np.ndarray, left: np.ndarray, right: np.ndarray, extent: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """The strings of contexts with hot anchors, one offset after the other; those of later documents are settled."""
+        none = np.zeros(len(doc), np.int64)
+        for x in range(LEFT + 1):
+            live = np.flatnonzero((left >= x) & (right >= LEFT - x))
+            if not len(live):
+                continue
+            word = np.zeros((len(live), 56), np.uint8)
+            word[:, :LENGTH] = rows[live, LEFT - x : LEFT - x + LENGTH]
+            key, d, p, zero = _row_hash(word), doc[live], pos[live] - x, none[: len(live)]
+            order, head = _equal_contexts(key, word, zero, zero, d, p)
+            at, ext = _close_copies(head, d[order], p[order], extent[live][order])
+            first = np.repeat(d[order][head], np.diff(np.append(np.flatnonzero(head), len(order))))[at]
+            at = order[at]
+            late = d[at] > first
+            z = np.zeros(len(at), np.int64)
+            yield from settled(d[at][late], p[at][late], z[late], z[late] + LEFT, ext[late])
+            yield from blocks(2, key[at][~late] >> U64(44), key[at][~late], d[at][~late], p[at][~late], z[~late], z[~late] + LEFT, ext[~late], word[at[~late]], at[~late])
 
     def some(buf: np.ndarray, start: np.ndarray, size: np.ndarray, doc: np.ndarray, tag: np.ndarray, pos: np.ndarray) -> Iterator[tuple[int, bytes]]:
         left = np.minimum(pos, LEFT)
@@ -287,85 +408,95 @@ def cut_contexts(n_buckets: int, most: int = 1 << 16):
             rows[z] = buf[np.clip(at, 0, len(buf) - 1)]
             rows[z][(span[None] < -left[z, None]) | (span[None] >= (GRAM + right)[z, None])] = 0
         key, pos = _gram_key(rows[:, LEFT : LEFT + GRAM]), tag << 32 | pos
-        order, head = _equal_contexts(key, rows, left, right, doc)
-        first = np.repeat(doc[order][head], np.diff(np.append(head, len(order))))
-        done = doc[order] > first
-        keep = ~done
-        keep[1:] &= ~((doc[order][1:] == doc[order][:-1]) & ~np.isin(np.arange(1, len(order)), head) & (pos[order][1:] == pos[order][:-1]))
-        for kind, chosen in ((0, order[keep]), (1, order[done])):
-            b = (key[chosen] >> U64(44)) if kind == 0 else kernels.mix64(doc[chosen].view(np.uint64) + U64(1))
-            b = (b % U64(n_buckets)).astype(np.int64)
-            turn = np.lexsort([chosen, b])  # rows of a bucket in the order of the texts
-            chosen, b = chosen[turn], b[turn]
-            yield from _blobs(
-                b,
-                n_buckets,
-                lambda s, c=chosen, kind=kind: squeeze(pack_columns(key[c[s]] if kind == 0 else np.zeros(s.stop - s.start), delta(doc[c[s]]), delta(pos[c[s]]), left[c[s]], right[c[s]], np.full(s.stop - s.start, kind))
-                + (rows[c[s]].tobytes() if kind == 0 else b"")),
-            )
+        order, head = _equal_contexts(key, rows, left, right, doc, pos)
+        at, extent = _close_copies(head, doc[order], pos[order], np.zeros(len(order), np.int64))
+        first = np.repeat(doc[order][head], np.diff(np.append(np.flatnonzero(head), len(order))))[at]
+        at = order[at]
+        done = doc[at] > first
+        yield from settled(doc[at][done], pos[at][done], left[at][done], right[at][done], extent[done])
+        at, extent = at[~done], extent[~done]
+        if len(hot):
+            name = (key[at] >> U64(44)) % U64(n_buckets) << U64(32) | key[at] & U64(0xFFFFFFFF)
+            where = np.minimum(np.searchsorted(hot, name), len(hot) - 1)
+            is_hot = hot[where] == name
+            c = at[is_hot]
+            yield from strings(rows[c], doc[c], pos[c], left[c], right[c], extent[is_hot])
+            at, extent = at[~is_hot], extent[~is_hot]
+        yield from blocks(0, key[at] >> U64(44), key[at], doc[at], pos[at], left[at], right[at], extent, rows[at], at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in kernels.slices(batches, "text", 8 << 20):
             buf, starts, lens = kernels.text_buffer(t.column("text"))
             ids, tags = t.column("doc_id").to_numpy(), t.column("_tag").to_numpy().astype(np.int64)
             at = t.column("at").combine_chunks()
-            n = np.diff(at.offsets.to_numpy())
-            pos = at.flatten().to_numpy().astype(np.int64)
-            owner = np.repeat(np.arange(len(t)), n)
+            flat, n = at.flatten().to_numpy().astype(np.int64), np.diff(at.offsets.to_numpy())
 
             def blobs() -> Iterator[tuple[int, bytes]]:
-                for a in range(0, len(pos), most):
-                    o = owner[a : a + most]
-                    yield from some(buf, starts[o], lens[o], ids[o], tags[o], pos[a : a + most])
+                for o, pos in _positions(flat, np.repeat(np.arange(len(t)), n), most):
+                    yield from some(buf, starts[o], lens[o], ids[o], tags[o], pos)
 
             yield from _emit_blobs(blobs())
 
     return run
 
 
-def smaller_in_run(run: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Whether a previous or a next suffix of the same run, in suffix order, has a smaller rank.
+def nearest_smaller(rank: np.ndarray, common: np.ndarray, enough: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix, in suffix order, the nearest one before it of smaller rank (-1: none) and the prefix they share.
 
-    ``run`` numbers the stretches of suffixes whose common prefixes reach the length, so a previous or next smaller
-    position within the run is a longest previous factor of at least that length.
+    ``common[i]`` is the prefix that suffixes i - 1 and i share. All suffixes follow, at once, the pointers of those they
+    point to, so a pass doubles their reach. A suffix whose shared prefix falls below ``enough`` looks no further.
     """
-    n = len(run)
-    if not n:
-        return np.zeros(0, bool)
-    ids, r = np.unique(rank, return_inverse=True)
-    step = np.int64(len(ids) + 1)
-    r = r.astype(np.int64)
+    n = len(rank)
+    near, share = np.arange(n) - 1, common.astype(np.int64)
+    share[:1] = 0
+    live = np.arange(1, n)
+    while len(live := live[(near[live] >= 0) & (share[live] >= enough)]) and len(live := live[rank[near[live]] >= rank[live]]):
+        p = near[live]
+        near[live], share[live] = near[p], np.where(near[p] < 0, 0, np.minimum(share[live], share[p]))
+    near[(near >= 0) & (rank[near] >= rank)] = -1
+    return near, np.where(near < 0, 0, share)
 
-    def before(run: np.ndarray, r: np.ndarray) -> np.ndarray:
-        level = r + (run[-1] - run) * step  # later runs lie lower, so the running minimum starts afresh
-        least = np.minimum.accumulate(level)
-        smaller = np.zeros(n, bool)
-        smaller[1:] = (least[:-1] < level[1:]) & (run[1:] == run[:-1])
-        return smaller
 
-    previous = before(run, r)
-    following = before(run[-1] - run[::-1], r[::-1])[::-1]
-    return previous | following
+def longest_previous_factors(rank: np.ndarray, common: np.ndarray, enough: int = 0) -> np.ndarray:
+    """The LPF array, in suffix order: the longer of the prefixes shared with the previous and next smaller ranks.
+
+    Values of at least ``enough`` are exact; smaller ones may come out as less.
+    """
+    _, before = nearest_smaller(rank, common, enough)
+    _, after = nearest_smaller(rank[::-1], np.concatenate([common[:1], common[:0:-1]]), enough)
+    return np.maximum(before, after[::-1])
 
 
 def judge_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of one partition to ``doc_id, _tag, span``: intervals to remove, as start << 32 | end."""
-    got = _partition(batches, 6, (1, 2))
+    got = _partition(batches, 7, (1, 2))
     if got is None:
         return
-    (_, key, doc, pos, left, right, kind), tails = got
-    left, right = left.astype(np.int64), right.astype(np.int64)
+    (_, key, doc, pos, left, right, kind, extent), tails = got
+    left, right, extent = left.astype(np.int64), right.astype(np.int64), extent.astype(np.int64)
     # places keep their tag in the upper half through all arithmetic on positions
-    out_doc, out_start, out_end = [doc[kind == 1]], [(pos - left)[kind == 1]], [(pos + GRAM + right)[kind == 1]]
-    ask = kind == 0
-    if ask.any():
-        rows = np.frombuffer(b"".join(tails), np.uint8).reshape(-1, CONTEXT)
-        key, doc, pos, left, right = key[ask], doc[ask], pos[ask], left[ask], right[ask]
-        order, head = _equal_contexts(key, rows, left, right, doc)
-        key, doc, pos, left, right, rows = key[order], doc[order], pos[order], left[order], right[order], rows[order]
+    known = kind == 1
+    out_doc, out_start, out_end = [doc[known]], [(pos - left)[known]], [(pos + GRAM + right + extent)[known]]
+
+    def rows_of(k: int, width: int) -> np.ndarray:
+        return np.frombuffer(b"".join(t for c, t in tails if c[5][0] == k), np.uint8).reshape(-1, width)
+
+    def later_copies(k: int, width: int) -> tuple:
+        """The records of kind k in the order of ``_equal_contexts``; those of later documents are put out."""
+        rows, mine = rows_of(k, width), kind == k
+        columns = [c[mine] for c in (key, doc, pos, left, right, extent)]
+        order, head = _equal_contexts(columns[0], rows, columns[3], columns[4], columns[1], columns[2])
+        columns, head = [c[order] for c in columns], np.flatnonzero(head)
+        _, d, p, lf, rt, ext = columns
         size = np.diff(np.append(head, len(order)))
-        later = doc > np.repeat(doc[head], size)  # an equal context of an earlier document: all its strings match
-        out_doc.append(doc[later]), out_start.append((pos - left)[later]), out_end.append((pos + GRAM + right)[later])
+        later = d > np.repeat(d[head], size)  # the whole context is a prefix shared with an earlier document
+        out_doc.append(d[later]), out_start.append((p - lf)[later]), out_end.append((p + GRAM + rt + ext)[later])
+        return rows[order], columns, head, size, later
+
+    if (kind == 2).any():
+        later_copies(2, 56)
+    if (kind == 0).any():
+        rows, (key, doc, pos, left, right, extent), head, size, later = later_copies(0, CONTEXT)
         # distinct contexts of anchors that have several of them
         ck, cd, cl, cr, crow = key[head], doc[head], left[head], right[head], rows[head]
         ghead = _runs(ck)
@@ -380,20 +511,22 @@ def judge_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 pairs, group = np.unique(np.stack([group, kinds.ravel()]), axis=1, return_inverse=True)
                 group = group.ravel()
             hit = np.zeros((len(many), LEFT + 1), bool)
-            for x in range(LEFT + 1):  # strings that start x bytes before the anchor
+            for x in range(LEFT + 1):  # suffixes that start x bytes before the anchor
                 live = np.flatnonzero((cl >= x) & (cr >= LEFT - x))
                 if len(live) < 2:
                     continue
-                word = np.zeros((len(live), 32), np.uint8)
+                word = np.zeros((len(live), 32), np.uint8)  # their first LENGTH bytes but for the anchor, which they share
                 word[:, :x] = crow[live, LEFT - x : LEFT]
                 word[:, x:LEFT] = crow[live, LEFT + GRAM : CONTEXT - x]
                 w = word.view(">u8").astype(np.uint64)
                 g = group[live]
                 suffix = np.lexsort([w[:, 3], w[:, 2], w[:, 1], w[:, 0], g])
-                w, g = w[suffix], g[suffix]
-                new = np.ones(len(live), bool)
-                new[1:] = (w[1:] != w[:-1]).any(1) | (g[1:] != g[:-1])
-                hit[live[suffix], x] = smaller_in_run(np.cumsum(new) - 1, cd[live[suffix]])
+                word, g = word[suffix], g[suffix]
+                common = np.zeros(len(live), np.int64)
+                differ = word[1:, :LEFT] != word[:-1, :LEFT]
+                lead = np.where(differ.any(1), differ.argmax(1), LEFT)
+                common[1:] = np.where(g[1:] != g[:-1], 0, np.where(lead < x, lead, lead + GRAM))
+                hit[live[suffix], x] = longest_previous_factors(cd[live[suffix]], common, LENGTH) >= LENGTH
             # the owners (occurrences in the context's first document) take the context's matches
             some = np.flatnonzero(hit.any(1))
             owner = np.full(len(head), -1)
@@ -406,7 +539,7 @@ def judge_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             step = np.diff(edge, axis=1)
             r0, x0 = np.nonzero(step == 1)  # runs of x from x0 to x1 - 1
             _, x1 = np.nonzero(step == -1)
-            out_doc.append(doc[at[r0]]), out_start.append(pos[at[r0]] - (x1 - 1)), out_end.append(pos[at[r0]] - x0 + LENGTH)
+            out_doc.append(doc[at[r0]]), out_start.append(pos[at[r0]] - (x1 - 1)), out_end.append(pos[at[r0]] - x0 + LENGTH + extent[at[r0]])
     d, s, e = np.concatenate(out_doc), np.concatenate(out_start), np.concatenate(out_end)
     if not len(d):
         return
@@ -477,14 +610,15 @@ def with_spans(docs: DataFrame) -> DataFrame:
     size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (32 << 20)))
     sent = own.mapInArrow(kernels.lean(find_anchors(n)), "b int, data binary").repartitionById(n, F.col("b"))
-    shared = materialise(sent.mapInArrow(kernels.lean(share_anchors), "doc_id long, _tag int, at array<int>"), "suffix-anchors")
-    del sent
-    spark.sparkContext._jvm.System.gc()  # lets Spark delete the anchors' shuffle files, which nothing reads any more
+    shared = materialise(sent.mapInArrow(kernels.lean(share_anchors(HOT)), "doc_id long, _tag int, at array<int>"), "suffix-anchors")
+    top = shared.where("_tag = -1").orderBy(F.desc(F.col("at")[2]), "at").limit(HOT_KEYS).collect()  # bounded
+    hot = np.sort(np.array([r["at"][0] << 32 | r["at"][1] & 0xFFFFFFFF for r in top], np.uint64))
+    shared = shared.where("_tag >= 0")
     keys = ["doc_id", "_tag"] if repeated else ["doc_id"]
     texts = docs.repartition(n, *keys)
     # all columns go along, so that both joins read one and the same exchange
     pairs = texts.join(_by_document(shared, "at", keys).hint("shuffle_hash"), keys)
-    cut = pairs.mapInArrow(kernels.lean(cut_contexts(n)), "b int, data binary").repartitionById(n, F.col("b"))
+    cut = pairs.mapInArrow(kernels.lean(cut_contexts(n, hot)), "b int, data binary").repartitionById(n, F.col("b"))
     spans = cut.mapInArrow(kernels.lean(judge_contexts), "doc_id long, _tag int, span array<long>")
     return texts.join(_by_document(spans, "span", keys).hint("shuffle_hash"), keys, "left").drop("_tag").unionByName(nameless)
 

@@ -88,12 +88,50 @@ def test_dedup_texts_keeps_columns(spark):
     assert sd.dedup_texts(spark.createDataFrame([], CLASH)).count() == 0
 
 
-def test_smaller_in_run():
-    run, rank = np.array([0, 0, 0, 1, 1, 2]), np.array([5, 3, 4, 1, 1, 9])
-    assert sd.smaller_in_run(run, rank).tolist() == [True, False, True, False, False, False]
-    rng = np.random.default_rng(0)
-    run, rank = np.sort(rng.integers(0, 40, 200)), rng.integers(-5, 5, 200)
-    assert sd.smaller_in_run(run, rank).tolist() == [bool((rank[run == r] < d).any()) for r, d in zip(run, rank)]
+def test_suffix_dedup_with_hot_anchors(spark, monkeypatch):
+    monkeypatch.setattr(sd, "HOT", 20)
+    for seed in (1, 5):
+        test_suffix_dedup_is_brute_force(spark, seed)
+    test_suffix_dedup_hot_passage(spark)
+    # one gram in many documents, in surroundings of their own and shared ones
+    rnd = random.Random(6)
+    letters = "abcdefghijklmnop"
+    word = lambda n: "".join(rnd.choice(letters) for _ in range(n))
+    gram, sides = "THE-COMMON-GRAM-OF-ALL", [word(40) for _ in range(9)]
+    docs = [(i, rnd.choice([word(40), rnd.choice(sides)]) + gram + rnd.choice([word(40), rnd.choice(sides)])) for i in range(200)]
+    same(sd.dedup_digests(spark.createDataFrame(docs, SCHEMA).repartition(4)).collect(), brute_suffix(docs))
+
+
+def test_suffix_dedup_of_patterns(spark):
+    rnd = random.Random(8)
+    docs = [(k, "".join(rnd.choice(["a" * rnd.randint(1, 300), "ab" * rnd.randint(1, 90), "abcdefg" * rnd.randint(1, 40), "x" * 31 + "y", "z"]) for _ in range(6))) for k in range(60)]
+    same(sd.dedup_digests(spark.createDataFrame(docs, SCHEMA).repartition(3)).collect(), brute_suffix(docs))
+
+
+def test_long_runs_are_few_records():
+    text = np.frombuffer(b"a" * (3 << 20), np.uint8)
+    h, owner, pos, run = sd.anchors(text, np.array([0]), np.array([len(text)]))
+    assert len(h) < 100 and int(sd._times(run).sum()) == len(text) - 19
+    got = [p for _, p in sd._positions(np.array([5, 100, -7, 4, 200]), np.zeros(5, np.int64), 3)]
+    assert np.concatenate(got).tolist() == [5, 100, 107, 114, 121, 200]
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_longest_previous_factors(seed):
+    rnd = random.Random(seed)
+    texts = ["".join(rnd.choice("ab") for _ in range(rnd.randint(0, 25))) for _ in range(12)]
+    suffixes = sorted((t[i:], d) for d, t in enumerate(texts) for i in range(len(t)))
+    shared = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    common = np.array([0] + [shared(a, b) for (a, _), (b, _) in zip(suffixes, suffixes[1:])])
+    rank = np.array([d for _, d in suffixes])
+    want = [max((shared(s, t) for t, e in suffixes if e < d), default=0) for s, d in suffixes]
+    assert sd.longest_previous_factors(rank, common).tolist() == want
+    some = sd.longest_previous_factors(rank, common, 4)
+    assert ((some >= 4) == (np.array(want) >= 4)).all() and (some[some >= 4] == np.array(want)[some >= 4]).all()
+    near, share = sd.nearest_smaller(rank, common)
+    for i, (n, c) in enumerate(zip(near, share)):
+        before = [j for j in range(i) if rank[j] < rank[i]]
+        assert n == (before[-1] if before else -1) and c == (shared(suffixes[n][0], suffixes[i][0]) if before else 0)
 
 
 def test_packed_columns():
