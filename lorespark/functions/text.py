@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import calendar
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Words that are no keywords, in alphabetical order.
 STOP_WORDS = tuple(
-    "a an and are as at be been but by can could did do does for from had has have how i if in is it its may me my no not of on or our "
-    "shall she should so than that the their them then there these they this those to us was we were what when where which who whom why will with would you your".split()
+    "a about after an and are as at be been before being but by can could did do does during else find for from give had has have how if in into "
+    "is it its list may might not of on or shall should show tell that the then these this those through to was were what when where which "
+    "who whom whose why will with would".split()
 )
 
 
@@ -39,9 +43,14 @@ def entities(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(words, lambda w: (F.length(w) > 2) & w.rlike(r"^\p{Lu}")), lambda w: F.lower(w)))
 
 
+def _bare_words(text: Column) -> Column:
+    """White-space words with letters and digits only, in order; some may be empty."""
+    return F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != ""), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]", ""))
+
+
 def keywords(text: Column) -> Column:
-    """Distinct words of more than one byte that aren't stop words, in order."""
-    return F.filter(word_set(text), lambda w: ~w.isin(*STOP_WORDS))
+    """Lower-case words of more than one byte that aren't stop words, in order, repeats included."""
+    return F.filter(F.transform(_bare_words(text), lambda w: F.lower(w)), lambda w: (F.octet_length(w) > 1) & ~w.isin(*STOP_WORDS))
 
 
 def digest(text: Column, length: int = 280) -> Column:
@@ -72,47 +81,86 @@ def stable_id(*parts: Column) -> Column:
     return F.concat_ws("-", *[F.substring(h, a, n) for a, n in cut])
 
 
-#: Ordered rules: the first whose phrase occurs in the lower-cased question names its intent.
+_QUARTERS = tuple(f"q{k}" for k in (1, 2, 3, 4))
+_SERIES = tuple(f"series {x}" for x in "abc")
+#: Ordered rules: the first that fits names the intent. A phrase that starts with ``^`` must open the question.
 INTENT_RULES = (
-    ("code_search", ("function", "code", "implement", "class ", "method", "bug")),
-    ("comparison", ("compare", "versus", " vs ", "difference between")),
-    ("temporal", ("when ", "latest", "recent", "before ", "after ", "since ", "last week", "last month", "yesterday")),
-    ("relationship", ("related to", "relationship", "connected", "depends on", "linked")),
-    ("aggregation", ("how many", "count", "total", "average", "sum of")),
-    ("summary", ("summarize", "summary", "overview", "tl;dr")),
-    ("entity", ("who is", "who ", "which company", "tell me about")),
-    ("explanation", ("why ", "how does", "how do", "explain")),
-    ("factual", ("what is", "what are", "where ", "define")),
+    ("comparison", ("compare", "difference", "versus", " vs ")),
+    ("temporal", ("after", "before", "during", "since", "until", "between")),
+    ("summary", ("summarize", "tldr", "brief", "short")),
+    ("analytical", ("how many", "how much", "number of", "count of", "count the", "total number", "average", " avg ", "sum of", "most common", "least common", "percentage of", "what fraction", "group by")),
+    ("explanation", ("why", "how does", "explain")),
+    ("listing", ("^list", "show me", "find all", "all ", "every ")),
+    ("code_search", ("code", "function", "implement", "source", "bug", "error")),
+    ("entity_search", ("company", "companies", "startup", "funding", "raised", "founder", "investor", "invested", "enterprise", "customer")),
+    ("factoid", ("^who", "^what", "^where", "^when")),
 )
-DATE_WORDS = ("today", "yesterday", "tomorrow", "last week", "last month", "last year", "this week", "this month", "this year", "january", "february", "march", "april", "june", "july", "august", "september", "october", "november", "december", "2020", "2021", "2022", "2023", "2024", "2025")
+#: The temporal rule fits only if one of these occurs as well.
+TEMPORAL_SIGNS = ("january", "february", "march", "202", *_QUARTERS, *_SERIES)
+DATE_WORDS = (*(str(y) for y in range(2020, 2027)), *(m.lower() for m in calendar.month_name[1:]), *_QUARTERS, *_SERIES)
+COMPARISON_SIGNS = ("compare", "versus", " vs ", "difference")
+CODE_SIGNS = ("code", "function", "implement", "source")
+
+
+def _holds(q: Column, phrases: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for p in phrases:
+        out = out | (q.startswith(p[1:]) if p[0] == "^" else q.contains(p))
+    return out
+
+
+def _lower(question: Column) -> Column:
+    return F.lower(F.trim(F.coalesce(question, F.lit(""))))
 
 
 def intent(question: Column) -> Column:
     """The first rule that fits; else ``general``."""
-    q, out = F.lower(F.coalesce(question, F.lit(""))), None
+    q, out = _lower(question), None
     for name, phrases in INTENT_RULES:
-        fits = F.lit(False)
-        for p in phrases:
-            fits = fits | q.contains(p)
+        fits = _holds(q, phrases) & (_holds(q, TEMPORAL_SIGNS) if name == "temporal" else F.lit(True))
         out = F.when(fits, F.lit(name)) if out is None else out.when(fits, F.lit(name))
     return out.otherwise(F.lit("general"))
 
 
 def dates(question: Column) -> Column:
     """The date words that occur, in the order of the list."""
-    q = F.lower(F.coalesce(question, F.lit("")))
+    q = _lower(question)
     return F.filter(F.array(*[F.when(q.contains(d), F.lit(d)) for d in DATE_WORDS]), lambda x: x.isNotNull())
 
 
+def is_comparison(question: Column) -> Column:
+    return _holds(_lower(question), COMPARISON_SIGNS)
+
+
+def is_code(question: Column) -> Column:
+    return _holds(_lower(question), CODE_SIGNS)
+
+
 def named_entities(question: Column) -> Column:
-    """Capitalised words but the first."""
-    words = F.filter(F.split(F.coalesce(question, F.lit("")), r"\s+"), lambda w: w != "")
-    found = F.transform(words, lambda w, i: F.when((i > 0) & w.rlike(r"^\p{Lu}"), F.regexp_replace(w, r"[^\p{L}\p{N}]", "")))
-    return F.filter(found, lambda w: w.isNotNull() & (w != ""))
+    """Words but the first that, without signs, begin with a capital and have more than one byte."""
+    words = F.transform(_bare_words(question), lambda w, i: F.when((i > 0) & (F.octet_length(w) > 1) & w.rlike(r"^\p{Lu}"), w))
+    return F.filter(words, lambda w: w.isNotNull())
 
 
 def intent_confidence(question: Column) -> Column:
-    """0.5, plus 0.2 for a recognised intent and 0.1 each for entities, dates and keywords; at most 1."""
+    """0.5, plus 0.2 for a recognised intent and 0.1 each for entities, dates and more than two keywords; at most 1."""
     bonus = lambda c: F.when(c, 0.1).otherwise(0.0)
-    score = 0.5 + F.when(intent(question) != "general", 0.2).otherwise(0.0) + bonus(F.size(named_entities(question)) > 0) + bonus(F.size(dates(question)) > 0) + bonus(F.size(keywords(question)) > 0)
+    score = 0.5 + F.when(intent(question) != "general", 0.2).otherwise(0.0) + bonus(F.size(named_entities(question)) > 0) + bonus(F.size(dates(question)) > 0) + bonus(F.size(keywords(question)) > 2)
     return F.least(F.lit(1.0), score)
+
+
+def fnv1a(text: Column) -> Column:
+    """64-bit FNV-1a of the UTF-8 bytes, as a signed long; null of null."""
+    data = F.hex(F.encode(text, "UTF-8"))
+    codes = F.transform(F.sequence(F.lit(1), F.octet_length(text)), lambda i: F.conv(F.substring(data, i * 2 - 1, F.lit(2)), 16, 10).cast("long"))
+    prime, offset = 0x100000001B3, 0xCBF29CE484222325 - (1 << 64)
+
+    def times_prime(h: Column) -> Column:
+        """The low 64 bits of ``h * prime`` = ``(h << 40) + h * 0x1B3``, in halves, so that nothing overflows."""
+        low, high = h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32)
+        a = low * (prime & 0xFFFFFFFF)
+        upper = (high * (prime & 0xFFFFFFFF) + low * (prime >> 32) + F.shiftrightunsigned(a, 32)).bitwiseAND(F.lit(0xFFFFFFFF))
+        return F.shiftleft(upper, 32).bitwiseOR(a.bitwiseAND(F.lit(0xFFFFFFFF)))
+
+    empty = F.lit(offset).cast("long")
+    return F.when(text.isNotNull(), F.when(F.octet_length(text) == 0, empty).otherwise(F.aggregate(codes, empty, lambda h, c: times_prime(h.bitwiseXOR(c)))))

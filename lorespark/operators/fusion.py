@@ -9,20 +9,20 @@ from pyspark.sql import functions as F
 
 from lorespark.functions import scores as S
 from lorespark.functions import text as X
+from lorespark.operators.ranks import positions
 from lorespark.session import materialise
 
 BASE_WEIGHTS = {"vector": 1.5, "fulltext": 1.2, "graph": 1.3, "metadata": 0.8, "time": 0.7}
-#: Factors on the base weights by intent.
+#: Factors on the base weights by intent; ``summary`` and ``general`` have none.
 INTENT_FACTORS = {
-    "code_search": {"fulltext": 1.5, "vector": 1.2},
-    "comparison": {"vector": 1.2, "metadata": 1.2},
-    "temporal": {"time": 2.0, "metadata": 1.2},
-    "relationship": {"graph": 2.0},
-    "aggregation": {"metadata": 1.5},
-    "summary": {"vector": 1.3},
-    "entity": {"graph": 1.4, "metadata": 1.3},
+    "temporal": {"time": 1.8, "vector": 1.1},
+    "entity_search": {"graph": 1.5, "fulltext": 1.3, "metadata": 1.2},
+    "comparison": {"graph": 1.4, "vector": 1.2},
+    "code_search": {"fulltext": 1.5},
+    "factoid": {"fulltext": 1.3, "vector": 1.1},
     "explanation": {"vector": 1.3},
-    "factual": {"fulltext": 1.3},
+    "listing": {"metadata": 1.3, "fulltext": 1.2},
+    "analytical": {"metadata": 1.4, "fulltext": 1.2},
 }
 
 
@@ -30,32 +30,47 @@ def weights_for(intent: str, base: Mapping[str, float] = BASE_WEIGHTS) -> dict[s
     return {s: w * INTENT_FACTORS.get(intent, {}).get(s, 1.0) for s, w in base.items()}
 
 
-def rrf(hits: DataFrame, weights: Mapping[str, float] = BASE_WEIGHTS, k: int = 60) -> DataFrame:
-    """``id, score, sources`` of ``hits(step, source, id, score)``: weighted reciprocal ranks, best score 1.
+def rank_hits(hits: DataFrame) -> DataFrame:
+    """``step, source, id, rank`` of ``hits(step, source, id, score)``: ranks within a step, from 1, ties by id."""
+    return positions(hits.select("step", "source", "id", "score"), ["step"], [F.desc("score"), "id"]).drop("score")
+
+
+def fuse(ranked: DataFrame, weights: Mapping[str, float] = BASE_WEIGHTS, k: int = 60) -> DataFrame:
+    """``id, score, sources, n_sources`` of ``rank_hits``: weighted reciprocal ranks, best score 1.
 
     Ranks are per step, so two steps on one source count twice; several sources add 15 % each.
     """
-    w = Window.partitionBy("step").orderBy(F.desc("score"), "id")
     table = F.create_map(*[x for s, v in weights.items() for x in (F.lit(s), F.lit(float(v)))])
-    part = F.coalesce(table[F.col("source")], F.lit(1.0)) / (F.lit(float(k)) + F.row_number().over(w))
-    fused = hits.withColumn("_p", part).groupBy("id").agg(F.sum("_p").alias("_s"), F.countDistinct("source").alias("_n"), F.array_join(F.array_sort(F.collect_set("source")), "+").alias("sources"))
-    boosted = fused.withColumn("_s", F.when(F.col("_n") > 1, F.col("_s") * (1 + 0.15 * (F.col("_n") - 1))).otherwise(F.col("_s")))
+    part = F.coalesce(table[F.col("source")], F.lit(1.0)) / (F.lit(float(k)) + F.col("rank"))
+    fused = ranked.withColumn("_p", part).groupBy("id").agg(F.sum("_p").alias("_s"), F.array_sort(F.collect_set("source")).alias("_all"))
+    n = F.size("_all").cast("long")
+    boosted = fused.select("id", F.array_join("_all", "+").alias("sources"), n.alias("_n"), F.when(n > 1, F.col("_s") * (1 + 0.15 * (n - 1))).otherwise(F.col("_s")).alias("_s"))
     most = F.broadcast(boosted.agg(F.max("_s").alias("_m")))  # a single row
     return boosted.crossJoin(most).select("id", (F.col("_s") / F.col("_m")).alias("score"), "sources", F.col("_n").alias("n_sources"))
 
 
+def rrf(hits: DataFrame, weights: Mapping[str, float] = BASE_WEIGHTS, k: int = 60) -> DataFrame:
+    """Weighted reciprocal rank fusion of ``hits(step, source, id, score)``."""
+    return fuse(rank_hits(hits), weights, k)
+
+
+def best(ranked: DataFrame, k: int) -> DataFrame:
+    return ranked.orderBy(F.desc("score"), "id").limit(k)
+
+
 def rank_signals(ranked: DataFrame, objects: DataFrame, k: int, now: str) -> DataFrame:
-    """Boost the best ``3 k`` by importance and recency; the others keep their score."""
-    best = ranked.orderBy(F.desc("score"), "id").limit(3 * k).select("id", F.lit(True).alias("_boost"))
-    j = ranked.join(best, "id", "left").join(objects.select("id", "importance", "created_at"), "id", "left")
+    """Boost the best ``3 k`` by importance and recency; the others keep their score. Only ``3 k`` rows meet the objects."""
+    window = F.broadcast(best(ranked, 3 * k).select("id"))
+    known = objects.select("id", "importance", "created_at").join(window, "id").where("importance is not null")
     r = S.recency(F.col("created_at"), F.lit(now).cast("timestamp"))
-    return j.withColumn("score", F.when(F.col("_boost") & F.col("importance").isNotNull(), S.boosted(F.col("score"), F.col("importance"), r)).otherwise(F.col("score"))).drop("_boost", "importance", "created_at")
+    known = known.groupBy("id").agg(F.max(S.boosted(F.lit(1.0), F.col("importance"), r)).alias("_boost"))
+    return ranked.join(F.broadcast(known), "id", "left").withColumn("score", F.col("score") * F.coalesce("_boost", F.lit(1.0))).drop("_boost")
 
 
 def retrieval_confidence(ranked: DataFrame, wanted: int) -> DataFrame:
-    """One row: 0.7 x coverage of the wanted results + 0.3 x share found by several sources."""
-    n = F.count(F.lit(1))
-    return ranked.agg(n.alias("found"), (0.7 * F.least(n / wanted, F.lit(1.0)) + 0.3 * F.coalesce(F.avg((F.col("n_sources") > 1).cast("double")), F.lit(0.0))).alias("confidence"))
+    """One row over the ``wanted`` best: 0.7 x coverage + 0.3 x share found by several sources; 0 without results."""
+    n, several = F.count(F.lit(1)), F.coalesce(F.avg((F.col("n_sources") > 1).cast("double")), F.lit(0.0))
+    return best(ranked, wanted).agg(n.alias("found"), (0.7 * n / max(wanted, 1) + 0.3 * several).alias("confidence"))
 
 
 def context(ranked: DataFrame, budget: int = 4096, min_score: float = 0.05, limit: int = 2000) -> DataFrame:
@@ -81,20 +96,46 @@ def drop_similar(ranked: DataFrame, threshold: float = 0.85) -> DataFrame:
     return ranked.where(~F.col("id").isin(sorted(gone))) if gone else ranked
 
 
-def similar_pairs(docs: DataFrame, threshold: float, id_col: str = "id", col: str = "content", hot: int = 1000) -> DataFrame:
-    """Exact pairs with word-set Jaccard of at least ``threshold``, by prefix filtering.
+def word_classes(docs: DataFrame, id_col: str = "id", col: str = "content") -> tuple[DataFrame, DataFrame]:
+    """``(members, classes)``: rows with words and the class (least id) of their equal word set; each class's words once."""
+    words = docs.select(F.col(id_col).alias("id"), F.array_sort(X.word_set(F.col(col))).alias("w")).where(F.size("w") > 0)
+    words = materialise(words.withColumn("h", F.xxhash64("w")), "words")
+    # rows of one set are folded task by task; the words themselves are shuffled once per class and task
+    heads = words.groupBy("h", "w").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
+    classes = materialise(heads, "word-classes")
+    hot = classes.select("h").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")  # two sets with one hash
+    plain = classes.join(hot, "h", "left_anti").select("h", "class_id")
+    members = words.select("id", "h").join(plain.hint("shuffle_hash"), "h").select("id", "class_id")
+    odd = words.join(hot, "h", "left_semi").join(classes.select("h", "w", "class_id"), ["h", "w"]).select("id", "class_id")
+    return members.unionByName(odd), classes.select("class_id", "w", "copies")
+
+
+def similar_classes(classes: DataFrame, threshold: float, hot: int = 1000) -> DataFrame:
+    """Exact pairs ``id_a, id_b, jaccard`` of classes whose word sets have a Jaccard of at least ``threshold``.
 
     Two sets that are that alike share one of their rarest words: the first ``n - ceil(t n) + 1`` in order of frequency.
-    Candidates meet on those words only.
+    Candidates meet on those words, and only where what follows the word could still give enough overlap. A word of more
+    than ``hot`` classes is salted: one side is split, the other repeated.
     """
-    words = docs.select(id_col, X.word_set(F.col(col)).alias("w")).where(F.size("w") > 0)
-    words = materialise(words, "words")
-    df = words.select(F.explode("w").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("f"))
-    ordered = words.select(id_col, F.explode("w").alias("t")).join(df, "t").groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("o"))
-    prefix = ordered.select(id_col, F.size("o").alias("n"), F.explode(F.slice("o", F.lit(1), F.size("o") - F.ceil(F.size("o") * F.lit(threshold) - 1e-9).cast("int") + 1)).alias("p")).select(id_col, "n", F.col("p.t").alias("t"))
-    left, right = prefix.select(F.col(id_col).alias("id_a"), F.col("n").alias("n_a"), "t"), prefix.select(F.col(id_col).alias("id_b"), F.col("n").alias("n_b"), "t")
-    fits = (F.col("id_a") < F.col("id_b")) & (F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b") - 1e-9)
-    pairs = left.join(right, "t").where(fits).select("id_a", "id_b").distinct()
-    a, b = words.select(F.col(id_col).alias("id_a"), F.col("w").alias("w_a")), words.select(F.col(id_col).alias("id_b"), F.col("w").alias("w_b"))
+    df = classes.select(F.explode("w").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("f"))
+    ordered = classes.select("class_id", F.explode("w").alias("t")).join(df, "t").groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("o"))
+    size = F.size("o")
+    prefix = ordered.select("class_id", size.alias("n"), F.posexplode(F.slice("o", F.lit(1), size - F.ceil(size * F.lit(threshold) - 1e-9).cast("int") + 1)).alias("i", "p"))
+    prefix = prefix.select("class_id", "n", (F.col("n") - F.col("i")).alias("rest"), F.col("p.t").alias("t"), F.ceil(F.col("p.f") / hot).cast("int").alias("salts"))
+    prefix = materialise(prefix, "word-prefixes")
+    side = lambda c: [F.col("class_id").alias(f"id_{c}"), F.col("n").alias(f"n_{c}"), F.col("rest").alias(f"rest_{c}"), "t"]
+    left = prefix.select(*side("a"), F.pmod(F.xxhash64("class_id"), F.col("salts")).cast("int").alias("salt"))
+    right = prefix.select(*side("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    enough = F.least("rest_a", "rest_b") >= F.lit(threshold / (1 + threshold)) * (F.col("n_a") + F.col("n_b")) - 1e-9
+    fits = (F.col("id_a") < F.col("id_b")) & (F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b") - 1e-9) & enough
+    pairs = left.join(right, ["t", "salt"]).where(fits).select("id_a", "id_b").distinct()
+    a, b = classes.select(F.col("class_id").alias("id_a"), F.col("w").alias("w_a")), classes.select(F.col("class_id").alias("id_b"), F.col("w").alias("w_b"))
     return pairs.join(a, "id_a").join(b, "id_b").select("id_a", "id_b", X.jaccard(F.col("w_a"), F.col("w_b")).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
+
+def similar_members(members: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``id, class_id, links``: how many other rows are that similar (copies included), without listing them."""
+    both = pairs.select(F.col("id_a").alias("class_id"), F.col("id_b").alias("other")).unionByName(pairs.select(F.col("id_b").alias("class_id"), F.col("id_a").alias("other")))
+    near = both.join(classes.select(F.col("class_id").alias("other"), "copies"), "other").groupBy("class_id").agg(F.sum("copies").alias("near"))
+    links = classes.select("class_id", "copies").join(near, "class_id", "left").select("class_id", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
+    return members.join(links.hint("shuffle_hash"), "class_id").select("id", "class_id", "links")

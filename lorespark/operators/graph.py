@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions import text as X
+from lorespark.operators.ranks import positions
 from lorespark.session import materialise
 
 MAX_LINKS = 5
@@ -54,8 +55,8 @@ def reverse(edges: DataFrame) -> DataFrame:
 def bfs(edges: DataFrame, seeds: DataFrame, depth: int, relations: Sequence[str] | None = None) -> DataFrame:
     """``id, depth`` of every node within ``depth`` steps of ``seeds(id, depth)``; the least depth of each.
 
-    A level joins the frontier to the edges and leaves out what is known; beyond two levels the state is cut through
-    the shared folder, so plans stay short and no level is computed twice.
+    A level joins the frontier to the edges, which should be a stored table, and leaves out what is known; beyond two
+    levels the state is cut through the shared folder, so plans stay short and no level is computed twice.
     """
     if relations is not None:
         edges = edges.where(F.col("rel").isin(list(relations)))
@@ -77,43 +78,53 @@ def seeds_of(spark: SparkSession, ids: Sequence[str]) -> DataFrame:
 
 
 def bidirectional(edges: DataFrame, seeds: DataFrame, depth: int, relations: Sequence[str] | None = None) -> DataFrame:
-    """Forward from the seeds, then backward from everything found; the least depth of each node."""
-    forward = bfs(edges, seeds, depth, relations)
-    both = forward.unionByName(_backward(edges, forward, depth, relations))
-    return both.groupBy("id").agg(F.min("depth").alias("depth"))
+    """Forward from the seeds, then backward from everything found; the least depth of each node.
 
-
-def _backward(edges: DataFrame, found: DataFrame, depth: int, relations: Sequence[str] | None) -> DataFrame:
+    Depths grow level by level, and a level leaves out what is already as near, so each node is expanded once a depth.
+    """
+    reach = materialise(bfs(edges, seeds, depth, relations), "bfs-forward")
     hops = reverse(edges if relations is None else edges.where(F.col("rel").isin(list(relations)))).select(F.col("src").alias("id"), "dst")
-    reach = found
-    for _ in range(depth):
-        step = reach.join(hops, "id").groupBy(F.col("dst").alias("id")).agg((F.min("depth") + 1).alias("depth"))
-        reach = reach.unionByName(step).where(F.col("depth") <= depth).groupBy("id").agg(F.min("depth").alias("depth"))
-    return reach
+    for level in range(depth):
+        step = reach.where(F.col("depth") == level).join(hops, "id").select(F.col("dst").alias("id")).distinct()
+        new = step.join(reach.where(F.col("depth") <= level + 1).select("id"), "id", "left_anti").withColumn("depth", F.lit(level + 1))
+        if level + 1 < depth:
+            new = materialise(new, "bfs-backward")
+        reach = reach.unionByName(new)
+    return reach.groupBy("id").agg(F.min("depth").alias("depth"))
 
 
 def scored(found: DataFrame) -> DataFrame:
     return found.withColumn("score", 1.0 / (1.0 + F.col("depth")))
 
 
-def shortest_path(edges: DataFrame, source: str, target: str) -> int | None:
-    """Hops along edge directions; 0 for the node itself, None if it isn't reached."""
+def shortest_paths(edges: DataFrame, source: str, targets: Sequence[str]) -> dict[str, int | None]:
+    """Hops from ``source`` to each target along edge directions; 0 for the source itself, None if it isn't reached.
+
+    The search goes on, however deep, until all targets are reached or the frontier is empty.
+    """
     spark = edges.sparkSession
-    if source == target:
-        return 0
     hops = edges.select(F.col("src").alias("id"), "dst")
+    found: dict[str, int | None] = {t: 0 if t == source else None for t in targets}
     seen = frontier = seeds_of(spark, [source]).select("id")
     for depth in count(1):
+        missing = [t for t, n in found.items() if n is None]
+        if not missing:
+            break
         step = frontier.join(hops, "id").select(F.col("dst").alias("id")).distinct()
         frontier = materialise(step.join(seen, "id", "left_anti"), "path")
-        found = frontier.agg(F.count(F.lit(1)).alias("n"), F.max(F.col("id") == target).alias("hit")).first()
-        if found.hit:
-            return depth
-        if not found.n:
-            return None
+        got = frontier.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.when(F.col("id").isin(missing), F.col("id"))).alias("hit")).first()
+        found |= dict.fromkeys(got.hit, depth)
+        if not got.n:
+            break
         seen = seen.unionByName(frontier)
         if depth % 8 == 0:  # long searches keep a short plan
             seen = materialise(seen, "path-seen")
+    return found
+
+
+def shortest_path(edges: DataFrame, source: str, target: str) -> int | None:
+    """Hops from ``source`` to ``target``, as in ``shortest_paths``."""
+    return shortest_paths(edges, source, [target])[target]
 
 
 def counts(edges: DataFrame) -> DataFrame:
@@ -173,9 +184,19 @@ def summaries(groups: DataFrame, objects: DataFrame, most: int = 50, length: int
     return size.join(text, "community").select("community", "members", X.digest(F.array_join(F.transform("_t", lambda s: s["t"]), " "), length).alias("summary"))
 
 
-def co_mentions(mentions: DataFrame, order: str = "doc_id", last: int = MAX_LINKS) -> DataFrame:
-    """``src, dst, rel, weight`` both ways between an object and the ``last`` earlier ones with the same entity."""
-    w = Window.partitionBy("entity").orderBy(order)
-    pairs = mentions.select("entity", "id", *([order] if order != "id" else [])).withColumn("_past", F.collect_list("id").over(w.rowsBetween(-last, -1))).select("id", F.explode("_past").alias("other")).where("id <> other")
+def co_mentions(mentions: DataFrame, order: str = "doc_id", last: int = MAX_LINKS, block: int = 1 << 16) -> DataFrame:
+    """``src, dst, rel, weight`` both ways between an object and the ``last`` earlier ones with the same entity.
+
+    Mentions are numbered by entity first; a window then sees a block of an entity's mentions and the ``last`` ones
+    before it, so an entity that most objects mention is spread over many tasks.
+    """
+    kept = mentions.where("entity is not null").select("entity", "id", *([order] if order != "id" else []))
+    ties = [order] if order == "id" else [order, "id"]
+    at = F.col("_rank") - 1
+    numbered = positions(kept, ["entity"], ties, "_rank").select("entity", "id", "_rank", F.floor(at / block).alias("_block"))
+    tail = numbered.where((at % block >= block - last) | (F.lit(block) <= last)).select("entity", "id", "_rank", (F.col("_block") + 1).alias("_block"), F.lit(True).alias("_copy"))
+    w = Window.partitionBy("entity", "_block").orderBy("_rank").rowsBetween(-last, -1)
+    near = numbered.withColumn("_copy", F.lit(False)).unionByName(tail).withColumn("_past", F.collect_list("id").over(w)).where("not _copy")
+    pairs = near.select("id", F.explode("_past").alias("other")).where("id <> other")
     both = pairs.select(F.col("id").alias("src"), F.col("other").alias("dst")).unionByName(pairs.select(F.col("other").alias("src"), F.col("id").alias("dst"))).distinct()
     return both.withColumn("rel", F.lit("co_mentions")).withColumn("weight", F.lit(0.5))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions import text as X
 from lorespark.functions import vectors as V
+from lorespark.session import materialise
 
 K1, B = 1.2, 0.75
 
@@ -106,51 +108,113 @@ def occurrences(tokens: Column, term: str) -> Column:
     return F.size(F.filter(tokens, lambda x: x == term))
 
 
+def _idf(n: Column | float, df: Column) -> Column:
+    return F.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def _part(idf: Column, tf: Column, length: Column, mean: Column | float) -> Column:
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+
+
 def bm25(docs: DataFrame, terms: Sequence[str], k: int | None = 20, fields: Sequence[str] = ("content",), id_col: str = "id") -> DataFrame:
-    """BM25 of the documents that hold a term; scores of several fields add up.
+    """BM25 of the documents that hold a term; scores of several fields add up. One scan, without an index.
 
-    Frequencies of the few query terms are counted inside the scan. The corpus statistics are one row (sizes and
-    document frequencies over all documents), joined back by broadcast; nothing else is shuffled.
+    Frequencies of the few query terms are counted inside the scan; only documents that hold a term are kept. Sizes and
+    document frequencies of all documents are observed in the same pass, so no text is split twice.
     """
     terms = list(dict.fromkeys(terms))
     # tokens are a column of their own, so that each text is split once
     split = docs.select(id_col, *[X.tokens(F.col(name)).alias(f"_tok{f}") for f, name in enumerate(fields)])
-    cols, stats = [F.col(id_col)], [F.count(F.lit(1)).alias("_n")]
+    cols, stats, any_hit = [F.col(id_col)], [F.count(F.lit(1)).alias("n")], F.lit(False)
     for f in range(len(fields)):
         toks = F.col(f"_tok{f}")
         cols.append(F.size(toks).alias(f"_len{f}"))
-        stats.append(F.avg(f"_len{f}").alias(f"_avg{f}"))
+        stats.append(F.avg(f"_len{f}").alias(f"avg{f}"))
         for t, term in enumerate(terms):
             cols.append(occurrences(toks, term).alias(f"_tf{f}_{t}"))
-            stats.append(F.sum((F.col(f"_tf{f}_{t}") > 0).cast("long")).alias(f"_df{f}_{t}"))
-    counted = split.select(*cols)
-    one = F.broadcast(counted.agg(*stats))  # a single row
-    score, any_hit = F.lit(0.0), F.lit(False)
+            stats.append(F.sum((F.col(f"_tf{f}_{t}") > 0).cast("long")).alias(f"df{f}_{t}"))
+            any_hit = any_hit | (F.col(f"_tf{f}_{t}") > 0)
+    seen = Observation()
+    held = materialise(split.select(*cols).observe(seen, *stats).where(any_hit), "bm25")
+    all_ = seen.get
+    score = F.lit(0.0)
     for f in range(len(fields)):
         for t in range(len(terms)):
-            tf, df = F.col(f"_tf{f}_{t}"), F.col(f"_df{f}_{t}")
-            idf = F.log(1 + (F.col("_n") - df + 0.5) / (df + 0.5))
-            scale = K1 * (1 - B + B * F.col(f"_len{f}") / F.col(f"_avg{f}"))
-            score = score + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + scale)).otherwise(0.0)
-            any_hit = any_hit | (tf > 0)
-    scored = counted.crossJoin(one).where(any_hit).select(id_col, score.alias("score"))
+            tf = F.col(f"_tf{f}_{t}")
+            part = _part(_idf(F.lit(all_["n"] or 0), F.lit(all_[f"df{f}_{t}"] or 0)), tf, F.col(f"_len{f}"), F.lit(all_[f"avg{f}"] or 1.0))
+            score = score + F.when(tf > 0, part).otherwise(0.0)
+    scored = held.select(id_col, score.alias("score"))
     return scored if k is None else top(scored, k, id_col)
 
 
 def postings(docs: DataFrame, field: str = "content", id_col: str = "id") -> DataFrame:
-    """``term, id, tf``: the inverted index, to be stored bucketed by term."""
+    """``term, id, tf`` of one field."""
     return docs.select(id_col, F.explode(X.tokens(F.col(field))).alias("term")).groupBy("term", id_col).agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25_batch(queries: DataFrame, docs: DataFrame, k: int, query_id: str = "query_id", id_col: str = "id") -> DataFrame:
-    """Top ``k`` documents of every row of ``queries(query_id, term)`` through the inverted index."""
-    size = docs.select(id_col, F.size(X.tokens(F.col("content"))).alias("_len"))
-    whole = F.broadcast(size.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg")))
+@dataclass(frozen=True)
+class TextIndex:
+    """An inverted index: ``postings(term, field, id, tf, len)`` sorted by term, documents, and mean length per field."""
+
+    postings: DataFrame
+    docs: int
+    mean: dict[str, float]
+
+
+#: The fields of an object's index: its id, its content with metadata and keywords before it, keywords, metadata values.
+def object_fields() -> dict[str, Column]:
+    return {
+        "id": F.col("id"),
+        "content": X.contextualize(F.col("content"), F.col("metadata"), F.col("keywords")),
+        "keywords": F.array_join("keywords", " "),
+        "metadata": F.to_json("metadata"),
+    }
+
+
+def build_text_index(docs: DataFrame, fields: Mapping[str, Column], path: str, id_col: str = "id") -> TextIndex:
+    """Tokenise once and store the index under ``path``: postings in ranges of terms, and a row of statistics per field."""
+    spark = docs.sparkSession
+    split = docs.select(F.col(id_col).alias("id"), *[X.tokens(c).alias(f"_tok{i}") for i, c in enumerate(fields.values())])
+    # an empty term, which no text has, stands for the field itself, so that sizes come from the same rows
+    rows = split.select("id", F.explode(F.array(*[F.struct(F.lit(name).alias("field"), F.concat(F.array(F.lit("")), f"_tok{i}").alias("t")) for i, name in enumerate(fields)])).alias("f"))
+    rows = rows.select("id", "f.field", (F.size("f.t") - 1).alias("len"), F.explode("f.t").alias("term")).groupBy("term", "field", "id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.max("len").alias("len"))
+    rows = materialise(rows, "postings")  # the range shuffle samples its input, and the statistics read it too
+    rows.where("term <> ''").repartitionByRange("term", "id").sortWithinPartitions("term", "field", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    sizes = rows.where("term = ''").groupBy("field").agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("mean"))
+    names = spark.createDataFrame([(name,) for name in fields], "field string")
+    stats = names.join(F.broadcast(sizes), "field", "left").select("field", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("mean", F.lit(0.0)).alias("mean"))
+    stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/text_stats")
+    return load_text_index(spark, path)
+
+
+def load_text_index(spark: SparkSession, path: str) -> TextIndex:
+    stats = spark.read.parquet(f"{path}/text_stats").collect()  # a row per field
+    return TextIndex(spark.read.parquet(f"{path}/postings"), stats[0].docs if stats else 0, {r.field: r["mean"] for r in stats})
+
+
+def _weighed(index: TextIndex, post: DataFrame) -> DataFrame:
+    """``term, id, _p``: each posting's part of a score."""
+    df = post.groupBy("term", "field").agg(F.count(F.lit(1)).alias("_df"))
+    mean = F.create_map(*[x for name, m in index.mean.items() for x in (F.lit(name), F.lit(m or 1.0))])
+    return post.join(df, ["term", "field"]).select("term", "id", _part(_idf(F.lit(index.docs), F.col("_df")), F.col("tf"), F.col("len"), mean[F.col("field")]).alias("_p"))
+
+
+def bm25_index(index: TextIndex, terms: Sequence[str], k: int | None = 20) -> DataFrame:
+    """``id, score`` from the stored index; only row groups that may hold one of the terms are read."""
+    post = index.postings.where(F.col("term").isin(list(dict.fromkeys(terms)) or [""]))
+    scored = _weighed(index, post).groupBy("id").agg(F.sum("_p").alias("score"))
+    return scored if k is None else top(scored, k)
+
+
+def bm25_batch(queries: DataFrame, index: TextIndex, k: int, query_id: str = "query_id", parts: int = 16) -> DataFrame:
+    """Top ``k`` documents of every row of ``queries(query_id, term)`` from the stored index.
+
+    A term that most documents or queries hold meets in ``parts`` parts, by document.
+    """
     wanted = queries.select(query_id, "term").distinct()
-    post = postings(docs, "content", id_col).join(wanted.select("term").distinct(), "term", "left_semi")
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
-    weighed = post.join(df, "term").join(size, id_col).crossJoin(whole)
-    part = F.log(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
-    scored = wanted.join(weighed.select("term", id_col, part.alias("_p")), "term").groupBy(query_id, id_col).agg(F.sum("_p").alias("score"))
-    w = Window.partitionBy(query_id).orderBy(F.desc(F.round("score", 9)), id_col)
+    post = index.postings.join(wanted.select("term").distinct(), "term", "left_semi")
+    weighed = _weighed(index, post).withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(parts)))
+    asked = wanted.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    scored = asked.join(weighed, ["term", "_part"]).groupBy(query_id, "id").agg(F.sum("_p").alias("score"))
+    w = Window.partitionBy(query_id).orderBy(F.desc(F.round("score", 9)), "id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

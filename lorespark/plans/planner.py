@@ -7,9 +7,10 @@ import time
 from collections import OrderedDict
 from dataclasses import dataclass, field
 
-from lorespark.functions.text import DATE_WORDS, INTENT_RULES, STOP_WORDS
+from lorespark.functions import text as X
 
 COSTS = {"vector": 1.0, "fulltext": 0.5, "graph": 1.5, "metadata": 0.3, "time": 0.3, "code": 1.0}
+LIMITS = {"vector": 20, "fulltext": 20, "graph": 10, "code": 10}
 
 
 @dataclass(frozen=True)
@@ -21,33 +22,41 @@ class Question:
     dates: tuple[str, ...]
     filters: dict[str, str] = field(default_factory=dict)
     confidence: float = 0.5
+    comparison: bool = False
+    code: bool = False
+
+
+def _holds(q: str, phrases: tuple[str, ...]) -> bool:
+    return any(q.startswith(p[1:]) if p[0] == "^" else p in q for p in phrases)
 
 
 def analyse(text: str) -> Question:
-    """Intent, keywords, entities, dates and ``key:value`` filters of a question."""
+    """Intent, keywords, entities, dates, flags and ``key:value`` filters of a question."""
+    text = text.strip()
     low = text.lower()
-    intent = next((name for name, phrases in INTENT_RULES if any(p in low for p in phrases)), "general")
-    words = text.split()
-    plain = [re.sub(r"[\W_]", "", w) for w in words]
-    keywords = tuple(dict.fromkeys(w.lower() for w in plain if len(w.encode()) > 1 and w.lower() not in STOP_WORDS))
-    entities = tuple(p for i, (w, p) in enumerate(zip(words, plain)) if i and w[:1].isupper() and p)
-    dates = tuple(d for d in DATE_WORDS if d in low)
+    intent = next((name for name, phrases in X.INTENT_RULES if _holds(low, phrases) and (name != "temporal" or _holds(low, X.TEMPORAL_SIGNS))), "general")
+    plain = ["".join(c for c in w if c.isalnum()) for w in text.split()]
+    keywords = tuple(w for w in (p.lower() for p in plain) if len(w.encode()) > 1 and w not in X.STOP_WORDS)
+    entities = tuple(p for p in plain[1:] if len(p.encode()) > 1 and p[0].isupper())
+    dates = tuple(d for d in X.DATE_WORDS if d in low)
     filters = dict(m.groups() for m in re.finditer(r"\b(\w+):([\w-]+)", text))
-    score = 0.5 + 0.2 * (intent != "general") + 0.1 * bool(entities) + 0.1 * bool(dates) + 0.1 * bool(keywords)
-    return Question(text, intent, keywords, entities, dates, filters, min(1.0, score))
+    score = 0.5 + 0.2 * (intent != "general") + 0.1 * bool(entities) + 0.1 * bool(dates) + 0.1 * (len(keywords) > 2)
+    return Question(text, intent, keywords, entities, dates, filters, min(1.0, score), _holds(low, X.COMPARISON_SIGNS), _holds(low, X.CODE_SIGNS))
 
 
 def actions(q: Question) -> tuple[str, ...]:
     """Ordered rules to distinct actions; the default rule always fires."""
+    both = ("vector", "fulltext")
     rules = (
-        (bool(q.dates) or q.intent == "temporal", ("time", "fulltext")),
-        (q.intent == "relationship", ("graph", "vector")),
-        (bool(q.entities) or q.intent == "entity", ("fulltext", "graph")),
-        (q.intent == "comparison", ("vector", "metadata")),
-        (q.intent == "code_search", ("code", "vector", "fulltext")),
-        (bool(q.filters), ("metadata",)),
-        (q.intent in ("summary", "explanation", "factual", "aggregation"), ("vector", "fulltext")),
-        (True, ("vector", "fulltext")),
+        (q.intent == "temporal" or bool(q.dates), ("time", "vector")),
+        (q.intent == "comparison" or q.comparison, (*both, "graph")),
+        (q.intent == "entity_search" or bool(q.entities), (*both, "graph", "metadata")),
+        (q.intent == "code_search" or q.code, ("code", "fulltext")),
+        (q.intent == "listing", both),
+        (q.intent == "analytical", ("metadata", "fulltext", "vector")),
+        (q.intent == "factoid", both),
+        (bool(q.filters), ("metadata",)),  # filters named in the question
+        (True, both),
     )
     return tuple(dict.fromkeys(a for fires, found in rules if fires for a in found))
 
@@ -69,14 +78,14 @@ class Plan:
         return sum(s.cost for s in self.steps)
 
     def explain(self) -> str:
-        lines = [f"intent {self.question.intent}, confidence {self.question.confidence:.2f}, cost {self.cost:.1f}"]
+        q = self.question
+        lines = [f"question {q.text!r}: intent {q.intent}, confidence {q.confidence:.2f}, cost {self.cost:.2f}"]
         return "\n".join(lines + [f"{i}. {s.kind}" + (f" limit {s.limit}" if s.limit else "") for i, s in enumerate(self.steps, 1)] + ["merge, rerank, build context"])
 
 
 def plan(q: Question) -> Plan:
-    """A step per action; a code search adds a second vector step of its own."""
-    limits = {"vector": 20, "fulltext": 20, "code": 10}
-    return Plan(q, tuple(Step(a, limits.get(a), COSTS[a]) for a in actions(q)))
+    """A step per action; a code search is a second, narrower vector step."""
+    return Plan(q, tuple(Step(a, LIMITS.get(a), COSTS[a]) for a in actions(q)))
 
 
 class PlanCache:

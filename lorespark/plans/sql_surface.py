@@ -29,12 +29,10 @@ SURFACE: dict[str, tuple[str, str | None]] = {
     "sql_subquery_scalar": ("SELECT c_custkey, (SELECT max(o_totalprice) FROM orders o WHERE o.o_custkey = c.c_custkey) AS top FROM customer c WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer)", None),
     "sql_cte": ("WITH big AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey), best AS (SELECT max(n) AS m FROM big) SELECT o_custkey, n FROM big JOIN best ON n >= m - 2", None),
     "sql_recursive": ("WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 15) SELECT n, f FROM t", None),
-    "sql_unnest": ("SELECT doc_id, word FROM (SELECT doc_id, explode(slice(split(text, ' '), 1, 3)) AS word FROM documents)", "SELECT doc_id, unnest(string_split(text, ' ')[1:3]) AS word FROM documents"),
-    "sql_unnest_whole": ("SELECT doc_id, word FROM (SELECT doc_id, explode(split(text, ' ')) AS word FROM documents)", "SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents"),
+    "sql_unnest": ("SELECT doc_id, word FROM (SELECT doc_id, explode(split(text, ' ')) AS word FROM documents)", "SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents"),
     "sql_order_limit": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25", None),
     "sql_offset": ("SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice, p_partkey LIMIT 20 OFFSET 40", None),
-    "sql_order_nulls": ("SELECT doc_id, q FROM (SELECT d.doc_id, l.quality AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) ORDER BY q DESC NULLS LAST, doc_id LIMIT 450", None),
-    "sql_order_nulls_whole": ("SELECT doc_id, q FROM (SELECT d.doc_id, l.quality AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) ORDER BY q DESC NULLS LAST, doc_id", None),
+    "sql_order_nulls": ("SELECT doc_id, q FROM (SELECT d.doc_id, l.quality AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) ORDER BY q DESC NULLS LAST, doc_id", None),
     "set_union": ("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier", None),
     "set_intersect": ("SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 0 INTERSECT SELECT s_nationkey FROM supplier", None),
     "set_except": ("SELECT p_size AS k FROM part EXCEPT SELECT CAST(l_quantity AS INT) FROM lineitem WHERE l_quantity < 25", None),

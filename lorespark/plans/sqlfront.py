@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_DENIED = {
-    "CreateTable", "CreateTableAsSelect", "CreateView", "CreateViewCommand", "CreateTempViewUsing", "InsertIntoStatement", "DropTable", "DropView", "DeleteFromTable", "UpdateTable", "MergeIntoTable",
-    "SetCommand", "ResetCommand", "AddJarsCommand", "AddFilesCommand", "CacheTable", "UncacheTable", "RefreshTable", "TruncateTable", "CreateNamespace", "DropNamespace", "ShowTables", "DescribeRelation", "ExplainCommand", "LoadData", "RepairTable",
+#: Plan nodes of which a query may consist, as the parser builds them. Whatever is not here is refused.
+_NODES = {
+    "Project", "Filter", "UnresolvedHaving", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Deduplicate", "Join", "LateralJoin", "Union", "Intersect", "Except", "SubqueryAlias", "View",
+    "UnresolvedSubqueryColumnAliases", "UnresolvedRelation", "UnresolvedInlineTable", "ResolvedInlineTable", "LocalRelation", "OneRowRelation", "UnresolvedWith", "WithWindowDefinition", "Window", "Generate",
+    "UnresolvedTableValuedFunction", "UnresolvedTVFAliases", "UnresolvedHint", "Pivot", "UnresolvedPivot", "UnPivot", "Unpivot", "Sample", "UnresolvedOrderBy", "AsOfJoin", "UnionLoop", "UnresolvedOffset",
 }
+#: Functions that call into the JVM, read files or sleep.
+_FUNCTIONS = {"reflect", "java_method", "try_reflect", "input_file_name", "input_file_block_start", "input_file_block_length", "raise_error", "read_files", "python_worker_logs", "current_user", "session_user", "user"}
+_TABLE_FUNCTIONS = {"range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple", "variant_explode", "variant_explode_outer"}
 
 
 def strip_fence(sql: str) -> str:
@@ -20,34 +26,105 @@ def strip_fence(sql: str) -> str:
     return (m[1] if m else sql).strip().rstrip(";").strip()
 
 
-def is_read_only(spark: SparkSession, sql: str) -> bool:
-    """Whether Spark's own parser reads it as one query and nothing else. Literals can hold any word."""
-    try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(strip_fence(sql))
-    except Exception as e:  # the parser's errors come wrapped in several classes
-        if "Parse" in type(e).__name__ or "parse" in str(e).lower():
-            return False
-        raise
-    name = plan.getClass().getSimpleName()
-    return name not in _DENIED and not name.endswith(("Command", "Statement", "Table", "Namespace", "Function"))
+def _list(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
 
+def _kind(node) -> str:
+    return node.getClass().getSimpleName().rstrip("$")
 
-def register(spark: SparkSession, tables: dict[str, DataFrame]) -> None:
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
 
+def _parts(name) -> list[str]:
+    return [str(x).lower() for x in _list(name)]
 
-def select(spark: SparkSession, sql: str, tables: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Run a read-only query, with ``tables`` as views."""
-    if not is_read_only(spark, sql):
-        raise ValueError("only a single SELECT or WITH query is allowed")
-    register(spark, tables or {})
-    return spark.sql(strip_fence(sql))
 
+def refusal(spark: SparkSession, sql: str, tables: Sequence[str] | None = None) -> str | None:
+    """Why a statement isn't taken, or None: the whole plan is walked, subqueries and common tables included.
 
-def select_files(spark: SparkSession, sql: str, sf_dir: str, names: tuple[str, ...]) -> DataFrame:
+    It has to be one query of known nodes; relations have names of one part, among ``tables`` (if given) and the query's
+    own common tables; functions that reach outside the engine are refused. Literals can hold any word.
+    """
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(strip_fence(sql))
+    except Exception as e:  # the parser's errors come wrapped in several classes
+        if "Parse" in type(e).__name__ or "parse" in str(e).lower():
+            return "it is not one query"
+        raise
+    allowed = None if tables is None else {t.lower() for t in tables}
+    common: set[str] = set()
+    relations: set[str] = set()
+    stack, seen = [(plan, True)], 0
+    while stack:
+        node, is_plan = stack.pop()
+        kind = _kind(node)
+        seen += 1
+        if is_plan:
+            if kind not in _NODES:
+                return f"{kind} is not part of a query"
+            if kind == "UnresolvedRelation":
+                parts = _parts(node.multipartIdentifier())
+                if len(parts) != 1:
+                    return f"{'.'.join(parts)} is not a table of this engine"
+                relations.add(parts[0])
+            elif kind == "UnresolvedTableValuedFunction":
+                name = _parts(node.name())
+                if len(name) != 1 or name[0] not in _TABLE_FUNCTIONS:
+                    return f"the table function {'.'.join(name)} is not allowed"
+            elif kind == "UnresolvedWith":
+                for cte in _list(node.cteRelations()):
+                    common.add(str(cte.productElement(0)).lower())
+                    stack.append((cte.productElement(1), True))
+            elif kind == "WithWindowDefinition":
+                pass
+            stack += [(e, False) for e in _list(node.expressions())]
+            stack += [(c, True) for c in _list(node.children())]
+        else:
+            if kind in ("UnresolvedFunction", "UnresolvedGenerator"):
+                name = _parts(node.nameParts()) if kind == "UnresolvedFunction" else [str(node.name().funcName()).lower()]
+                if name[-1] in _FUNCTIONS or len(name) > 1 and name[:-1] not in (["builtin"], ["system", "builtin"]):
+                    return f"the function {'.'.join(name)} is not allowed"
+            elif "UDF" in kind or kind in ("CallMethodViaReflection", "Invoke", "StaticInvoke"):
+                return f"{kind} is not allowed"
+            if hasattr(node, "plan") and kind in ("ScalarSubquery", "Exists", "ListQuery", "InSubquery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression", "DynamicPruningSubquery"):
+                stack.append((node.query().plan() if kind == "InSubquery" else node.plan(), True))
+            stack += [(c, False) for c in _list(node.children())]
+    if allowed is not None and not relations <= allowed | common:
+        return f"{', '.join(sorted(relations - allowed - common))}: no table of this engine"
+    return None
+
+
+def is_read_only(spark: SparkSession, sql: str, tables: Sequence[str] | None = None) -> bool:
+    return refusal(spark, sql, tables) is None
+
+
+def _own_session(spark: SparkSession) -> SparkSession:
+    """A session with the caller's settings, whose views nobody else sees and in which files can't be named as tables."""
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    own.conf.set("spark.sql.runSQLOnFiles", "false")
+    return own
+
+
+def _run(own: SparkSession, sql: str, tables: Sequence[str]) -> DataFrame:
+    why = refusal(own, sql, tables)
+    if why:
+        raise ValueError(f"only a single SELECT or WITH query is allowed: {why}")
+    return own.sql(strip_fence(sql))
+
+
+def select(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """Run a read-only query over ``tables``, in a session of its own."""
+    own = _own_session(spark)
+    for name, df in (tables or {}).items():
+        own._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, df._jdf.logicalPlan()).createOrReplaceTempView(name)
+    return _run(own, sql, list(tables or {}))
+
+
+def select_files(spark: SparkSession, sql: str, sf_dir: str, names: Sequence[str]) -> DataFrame:
     """Run a query over Parquet tables of a folder; columns and filters are pushed into the scans."""
-    return select(spark, sql, {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
+    own = _own_session(spark)
+    for n in names:
+        own.read.parquet(f"{sf_dir}/{n}.parquet").createOrReplaceTempView(n)
+    return _run(own, sql, names)
 
 
 def stringify(df: DataFrame) -> DataFrame:

@@ -36,19 +36,66 @@ def test_small_dialect(trio):
             sqlfront.parse(bad)
 
 
-def test_guard(spark):
-    assert sqlfront.is_read_only(spark, "SELECT\n' update ' AS x")
-    assert sqlfront.is_read_only(spark, "```sql\nWITH a AS (SELECT 1) SELECT * FROM a;\n```")
-    for bad in ("DROP TABLE a", "INSERT INTO a VALUES (1)", "SELECT 1; DELETE FROM a", "SET a=b", "CREATE TABLE a AS SELECT 1", "not sql"):
-        assert not sqlfront.is_read_only(spark, bad), bad
-    with pytest.raises(ValueError):
-        sqlfront.select(spark, "DROP TABLE a")
+def test_guard(spark, tmp_path):
+    ok = ("SELECT\n' update ' AS x", "```sql\nWITH a AS (SELECT 1) SELECT * FROM a;\n```", "SELECT created_at, count(*) FROM t GROUP BY ALL HAVING count(*) > 1 ORDER BY 1 LIMIT 3", "SELECT * FROM t WHERE a IN (SELECT b FROM t) AND EXISTS (SELECT 1 FROM t)", "VALUES (1), (2)", "SELECT x, sum(x) OVER w FROM t LATERAL VIEW explode(array(1)) e AS x WINDOW w AS (ORDER BY x)")
+    for q in ok:
+        assert sqlfront.is_read_only(spark, q, ["t"]), (q, sqlfront.refusal(spark, q, ["t"]))
+    out = tmp_path / "out"
+    bad = (
+        "DROP TABLE t", "INSERT INTO t VALUES (1)", "SELECT 1; DELETE FROM t", "SET a=b", "CREATE TABLE a AS SELECT 1", "not sql", "", "UPDATE t SET a = 1", "MERGE INTO t USING t ON 1 = 1 WHEN MATCHED THEN DELETE", "TRUNCATE TABLE t", "CALL p()",
+        f"INSERT OVERWRITE DIRECTORY '{out}' USING parquet SELECT 1 AS x", "REPLACE TABLE t USING parquet AS SELECT 1", "CACHE TABLE t AS SELECT 1", "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", "FROM t INSERT INTO t SELECT *", "ALTER TABLE t ADD COLUMNS (x int)", "DECLARE VARIABLE x INT",
+        "SELECT reflect('java.lang.System', 'getenv', 'HOME')", "SELECT java_method('java.lang.Math', 'abs', 1)", "SELECT 1 WHERE 1 IN (SELECT try_reflect('java.lang.System', 'exit', 0))", "SELECT * FROM parquet.`/root`", "SELECT * FROM other", "SELECT * FROM (SELECT * FROM db.t)", "WITH a AS (SELECT * FROM other) SELECT * FROM a", "SELECT (SELECT max(x) FROM other)", "EXPLAIN SELECT 1", "SHOW TABLES", "DESCRIBE t", "EXECUTE IMMEDIATE 'DROP TABLE t'", "ADD JAR 'x'", "USE default", "REFRESH TABLE t",
+    )
+    for q in bad:
+        assert not sqlfront.is_read_only(spark, q, ["t"]), q
+        with pytest.raises(ValueError):
+            sqlfront.select(spark, q, {"t": spark.range(1)})
+    assert not out.exists()
+    a, b = spark.range(3), spark.range(5)
+    one, two = sqlfront.select(spark, "SELECT count(*) AS n FROM t", {"t": a}), sqlfront.select(spark, "SELECT count(*) AS n FROM t", {"t": b})
+    assert (one.first().n, two.first().n) == (3, 5) and not spark.catalog.tableExists("t")  # no view is left or overwritten
+
+
+@pytest.mark.parametrize(
+    "question, intent",
+    [
+        ("Compare OpenAI with Anthropic", "comparison"),
+        ("Which enterprise customers renewed after January 2024?", "temporal"),
+        ("How many customers churned?", "analytical"),
+        ("What is the average deal size?", "analytical"),
+        ("How does replication work?", "explanation"),
+        ("Which companies raised Series A funding?", "entity_search"),
+        ("what happened after lunch", "factoid"),
+        ("List the parts", "listing"),
+        ("the function of a bug", "code_search"),
+        ("hello there", "general"),
+    ],
+)
+def test_intents(spark, question, intent):
+    assert planner.analyse(question).intent == intent
+    assert spark.range(1).select(X.intent(F.lit(question))).first()[0] == intent
+
+
+def test_driver_and_column_analysis_agree(spark):
+    from lorespark.plans.core_queries import PROBES
+
+    rows = spark.createDataFrame([(p,) for p in PROBES], "text string")
+    t = F.col("text")
+    for r in rows.select("text", X.intent(t).alias("i"), X.named_entities(t).alias("e"), X.dates(t).alias("d"), X.keywords(t).alias("k"), X.intent_confidence(t).alias("c"), X.is_comparison(t).alias("cmp"), X.is_code(t).alias("code")).collect():
+        q = planner.analyse(r.text)
+        assert (q.intent, list(q.entities), list(q.dates), list(q.keywords), q.comparison, q.code) == (r.i, r.e, r.d, r.k, r.cmp, r.code), r.text
+        assert abs(q.confidence - r.c) < 1e-9
 
 
 def test_planner_and_cache():
     q = planner.analyse("How many deals did Acme sign since 2023? lang:en")
     assert q.intent == "temporal" and q.entities[0] == "Acme" and q.filters == {"lang": "en"} and "2023" in q.dates
-    assert planner.actions(q)[:2] == ("time", "fulltext")
+    assert planner.actions(q) == ("time", "vector", "fulltext", "graph", "metadata")
+    assert planner.actions(planner.analyse("hello")) == ("vector", "fulltext")
+    assert planner.actions(planner.analyse("where is the source")) == ("code", "fulltext", "vector")
+    assert planner.actions(planner.analyse("average of all")) == ("metadata", "fulltext", "vector")
+    p = planner.plan(planner.analyse("compare apples and pears"))
+    assert [(s.kind, s.limit) for s in p.steps] == [("vector", 20), ("fulltext", 20), ("graph", 10)] and p.cost == 3.0
     clock = [0.0]
     cache = planner.PlanCache(2, 10, lambda: clock[0])
     for t in ("a", "a", "b", "c", "a"):
@@ -59,6 +106,56 @@ def test_planner_and_cache():
     assert cache.misses == 5
 
 
+def test_intent_weights_turn_the_ranking(spark):
+    hits = spark.createDataFrame([(0, "vector", "v", 0.9), (1, "graph", "g", 0.9)], "step int, source string, id string, score double")
+    first = lambda i: fusion.best(fusion.rrf(hits, fusion.weights_for(i)), 1).first().id
+    assert (first("general"), first("entity_search"), first("summary")) == ("v", "g", "v")
+
+
+def test_positions_of_large_groups(spark):
+    from lorespark.operators.ranks import positions
+
+    df = spark.range(20_000).select((F.col("id") % 3 == 0).cast("int").alias("g"), (F.col("id") * 7919 % 20_011).alias("x"), "id").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = positions(df, ["g"], [F.desc("x"), "id"]).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for _, rows in got.groupby("g"):
+        assert rows.sort_values("x", ascending=False)["rank"].tolist() == list(range(1, len(rows) + 1))
+
+
+def test_co_mentions_of_a_hot_entity(spark):
+    rows = [("hot", i) for i in range(300)] + [("rare", i) for i in (5, 100, 290)] + [(None, 1)]
+    df = spark.createDataFrame(rows, "entity string, id long")
+    want = {(i, j) for i in range(300) for j in range(max(0, i - 5), i)} | {(100, 5), (290, 5), (290, 100)}
+    for block in (1 << 16, 16):
+        got = {(r.src, r.dst) for r in graph.co_mentions(df, "id", block=block).collect()}
+        assert got == want | {(b, a) for a, b in want}
+
+
+def test_similar_classes_with_hot_words(spark):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 14, 12)) for _ in range(150)] + ["same words here", "here same words", "words here same", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
+    sets = [set((t or "").split()) for t in texts]
+    alike = lambda a, b: len(a & b) / len(a | b) >= 0.85 if a and b else False
+    for hot in (1000, 5):
+        members, classes = fusion.word_classes(df)
+        pairs = fusion.similar_classes(classes, 0.85, hot)
+        got = {r.id: (r.class_id, r.links) for r in fusion.similar_members(members, classes, pairs).collect()}
+        assert got == {i: (min(j for j, t in enumerate(sets) if t == s), sum(alike(s, t) for j, t in enumerate(sets) if j != i)) for i, s in enumerate(sets) if s}
+
+
+def test_text_index_of_objects(spark, trio, tmp_path):
+    index = search.build_text_index(trio, search.object_fields(), str(tmp_path / "i"))
+    assert {(r.id, r.field) for r in index.postings.where("term = 'acme'").collect()} == {("a", "content"), ("c", "content"), ("a", "keywords"), ("a", "metadata")}
+    assert [r.id for r in search.bm25_index(index, ["acme", "acme"], 5).collect()] == ["a", "c"] and search.bm25_index(index, [], 5).count() == 0
+    assert index.docs == 3 and search.load_text_index(spark, str(tmp_path / "i")).mean == index.mean
+    empty = search.build_text_index(trio.limit(0), search.object_fields(), str(tmp_path / "e"))
+    assert empty.docs == 0 and search.bm25_index(empty, ["acme"]).count() == 0
+
+
 def test_ask_prefers_important_and_filters(trio):
     corpus = ask.Corpus(trio, None, None, NOW)
     got = ask.ask(corpus, "tell me about Acme", 3).collect()
@@ -190,7 +287,7 @@ def test_graph_queries_take_the_whole_graph(spark, sf):
     for a, b in edges:
         a, b = root(a), root(b)
         parent[max(a, b)] = min(a, b)
-    got = {r.id: r.component for r in registry.queries()["graph_components_whole"](spark, sf).collect()}
+    got = {r.id: r.component for r in registry.queries()["graph_components"](spark, sf).collect()}
     assert got == {x: root(x) for x in parent}
     near = {x: set() for x in parent}
     for a, b in edges:
@@ -214,7 +311,7 @@ def test_graph_queries_take_the_whole_graph(spark, sf):
 def test_order_of_nulls_is_reached(spark, sf):
     from lorespark.plans import registry
 
-    q = [r.q for r in registry.queries()["sql_order_nulls_whole"](spark, sf).collect()]
+    q = [r.q for r in registry.queries()["sql_order_nulls"](spark, sf).collect()]
     known = [x for x in q if x is not None]
     assert len(q) == spark.read.parquet(f"{sf}/documents.parquet").count() and len(known) < len(q)
     assert q == sorted(known, reverse=True) + [None] * (len(q) - len(known))
