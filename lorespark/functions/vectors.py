@@ -64,7 +64,7 @@ def sign_bits(v: Column, width: int = 32) -> Column:
     return F.transform(
         words,
         lambda w: F.aggregate(
-            F.transform(F.slice(as_double(v), (w * width + 1).cast("int"), width), lambda x, i: F.when(x >= 0, F.shiftleft(F.lit(1).cast("long"), 0) * F.pow(F.lit(2.0), i.cast("double")).cast("long")).otherwise(F.lit(0).cast("long"))),
+            F.transform(F.slice(as_double(v), (w * width + 1).cast("int"), width), lambda x, i: F.when(x >= 0, F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))).otherwise(F.lit(0).cast("long"))),
             F.lit(0).cast("long"),
             lambda a, x: a + x,
         ),

@@ -32,61 +32,11 @@ def knn(vectors: DataFrame, query: Sequence[float], k: int, score: Callable[[Col
     return top(vectors.select(id_col, score(F.col(col), V.literal(query)).alias("score")), k, id_col)
 
 
-def two_stage(vectors: DataFrame, query: Sequence[float], k: int, coarse: Callable[[Column], Column], oversample: int = 4, id_col: str = "vec_id", col: str = "embedding") -> DataFrame:
-    """The best ``oversample * k`` by a coarse score (higher is better), ranked again by ``1 / (1 + L2)``."""
-    first = vectors.select(id_col, col, coarse(F.col(col)).alias("_coarse")).orderBy(F.desc("_coarse"), id_col).limit(k * oversample)
-    return knn(first, query, k, V.l2_score, id_col, col)
-
-
-def sharded_knn(vectors: DataFrame, query: Sequence[float], k: int, shards: int, id_col: str = "vec_id", col: str = "embedding") -> DataFrame:
-    """Top-k of each shard (id modulo ``shards``), then of all."""
-    scored = vectors.select(id_col, F.pmod(F.col(id_col), F.lit(shards)).alias("shard"), V.l2_score(F.col(col), V.literal(query)).alias("score"))
-    w = Window.partitionBy("shard").orderBy(F.desc("score"), id_col)
-    return top(scored.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn"), k, id_col)
-
-
-def max_sim(tokens: DataFrame, query: Sequence[Sequence[float]], k: int, id_col: str = "id", col: str = "vec") -> DataFrame:
-    """Late interaction over ``(id, vec)`` token rows: per query token the best match, at least 0, summed."""
-    q = [V.normalise(V.literal(v)) for v in query]
-    unit = V.normalise(F.col(col))
-    best = tokens.select(id_col, unit.alias("_u")).groupBy(id_col).agg(*[F.max(V.dot(F.col("_u"), x)).alias(f"_q{i}") for i, x in enumerate(q)])
-    total = F.lit(0.0)
-    for i in range(len(q)):
-        total = total + F.greatest(F.col(f"_q{i}"), F.lit(0.0))
-    return top(best.select(id_col, total.alias("score")), k, id_col)
-
-
 def scatter_merge(results: DataFrame, k: int, id_col: str = "id") -> DataFrame:
     """Results of several nodes: the best score per id, then the best ids."""
     return top(results.groupBy(id_col).agg(F.max("score").alias("score")), k, id_col)
 
 
-def ivf_index(vectors: DataFrame, cells: int = 16, sample: int = 4096, rounds: int = 8, col: str = "embedding", id_col: str = "vec_id") -> np.ndarray:
-    """Cell centres from at most ``sample`` rows (smallest hash of the id)."""
-    rows = vectors.orderBy(F.xxhash64(id_col), id_col).limit(sample).select(col).collect()
-    x = np.array([r[0] for r in rows], np.float64)
-    if not len(x):
-        return x
-    centres = x[np.random.default_rng(5).choice(len(x), min(cells, len(x)), replace=False)]
-    for _ in range(rounds):
-        near = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
-        centres = np.stack([x[near == c].mean(0) if (near == c).any() else centres[c] for c in range(len(centres))])
-    return centres
-
-
-def ivf_cell(v: Column, centres: np.ndarray) -> Column:
-    """The nearest cell of a vector; stored as a partition column it lets a search skip the other cells."""
-    d = F.array(*[F.struct(V.l2_distance(v, V.literal(c)).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres)])
-    return F.array_min(d)["i"]
-
-
-def ivf_knn(vectors: DataFrame, query: Sequence[float], k: int, centres: np.ndarray, probes: int = 12, id_col: str = "vec_id", col: str = "embedding") -> DataFrame:
-    """Approximate neighbours: exact scores within the ``probes`` nearest cells."""
-    near = ((centres - np.array(query)) ** 2).sum(1).argsort(kind="stable")[:probes].tolist()
-    cells = vectors if "cell" in vectors.columns else vectors.withColumn("cell", ivf_cell(F.col(col), centres))
-    return knn(cells.where(F.col("cell").isin(near)), query, k, V.l2_score, id_col, col)
-
-
 def proxy_embedding(dims: int = 128) -> Callable[[Column], Column]:
     """A bag of hashed words (an array of longs): each adds to five places with falling weights; unit length."""
     offsets, weights = np.array([0, 1, 7, 13, 29]), np.array([1.0, 0.5, 0.3, 0.2, 0.15])

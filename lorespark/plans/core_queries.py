@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions import scores as S
 from lorespark.functions import text as X
 from lorespark.functions import vectors as V
-from lorespark.operators import cluster, fusion, graph, memory, objects, search
+from lorespark.operators import cluster, fusion, graph, memory, objects, proximity, search
+from lorespark.operators import vector_batch as vb
 from lorespark.plans import ask as ask_plan
 from lorespark.session import materialise, shared_path
 from lorespark.streaming import events as ev
@@ -339,6 +341,9 @@ def _(spark, d):
 
 E = "e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT v AS q FROM e WHERE vec_id = 0)"
 L2 = "1 / (1 + list_distance({a}, {b}))"
+#: Searches ask for every row whose id is divisible by 50, against all rows.
+ASKED = "vec_id % 50 = 0"
+EQ = f"e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT vec_id AS query_id, v AS q FROM e WHERE {ASKED})"
 
 
 def _vec(spark: SparkSession, d: str) -> tuple[DataFrame, list[float]]:
@@ -346,83 +351,104 @@ def _vec(spark: SparkSession, d: str) -> tuple[DataFrame, list[float]]:
     return e, search.query_vector(e, 0)
 
 
-def _scored(df: DataFrame) -> DataFrame:
-    return df.select("vec_id", F.round("score", 6).alias("score"))
+def _batch_sql(score: str, k: int = 20, extra: str = "") -> str:
+    return f"WITH {EQ}, s AS (SELECT query_id, vec_id, {score} AS score FROM q, e), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) + 0 AS score FROM r WHERE rank <= {k}{extra}"
 
 
-@query("cosine_topk", f"WITH {E} SELECT vec_id, round(list_cosine_similarity(v, q), 6) AS score FROM e, q ORDER BY list_cosine_similarity(v, q) DESC, vec_id LIMIT 20")
-def _(spark, d):
-    return _scored(search.knn(*_vec(spark, d), 20))
+def _scored(df: DataFrame) -> DataFrame:
+    return df.select("query_id", "rank", F.col("id").alias("vec_id"), (F.round("score", 6) + 0).alias("score"))
 
 
-@query("l2_topk", f"WITH {E} SELECT vec_id, round({L2.format(a='v', b='q')}, 6) AS score FROM e, q ORDER BY list_distance(v, q), vec_id LIMIT 20")
-def _(spark, d):
-    return _scored(search.knn(*_vec(spark, d), 20, V.l2_score))
+def _asked(spark: SparkSession, d: str) -> tuple[DataFrame, vb.StoredQueries | None]:
+    e = _t(spark, d, "embeddings")
+    return e, vb.store_queries(e, F.expr(ASKED))
 
 
 Q8 = "list_transform({}, lambda x: greatest(-127.0, least(127.0, round(x * 127)))::DOUBLE)"
+HAM = "len(list_filter(list_zip(v, q), lambda x: (x[1] >= 0) <> (x[2] >= 0)))"
 
-
-@query("int8_topk", f"WITH {E} SELECT vec_id, round({L2.format(a=Q8.format('v'), b=Q8.format('q'))}, 6) AS score FROM e, q ORDER BY list_distance({Q8.format('v')}, {Q8.format('q')}), vec_id LIMIT 20")
-def _(spark, d):
-    return _scored(search.knn(*_vec(spark, d), 20, lambda a, b: V.l2_score(V.int8(a), V.int8(b))))
+for _name, _sql, _scorer, _options in (
+    ("cosine_topk", _batch_sql("list_cosine_similarity(v, q)"), vb.cosine, {}),
+    ("l2_topk", _batch_sql(L2.format(a="v", b="q")), vb.l2, {}),
+    ("int8_topk", _batch_sql(L2.format(a=Q8.format("v"), b=Q8.format("q"))), vb.int8, {}),
+    ("hamming_topk", _batch_sql(f"-CAST({HAM} AS DOUBLE)"), vb.hamming, {}),
+    ("sharded_topk", _batch_sql(L2.format(a="v", b="q")), vb.l2, {"shards": 4}),
+    # both coarse stages are completed by their lower bounds, so the neighbours are the exact ones
+    ("two_stage_rescore", _batch_sql(L2.format(a="v", b="q")), vb.sign_codes(4), {}),
+    ("matryoshka_topk", _batch_sql(L2.format(a="v", b="q")), vb.prefix(16, 4), {}),
+):
+    QUERIES[_name] = lambda spark, d, f=_scorer, o=_options: _scored(vb.search(*_asked(spark, d), 20, f, **o))
+    SQL[_name] = _sql
 
 
-HAM = "len(list_filter(list_zip(v, q), lambda x: (x[1] >= 0) <> (x[2] >= 0)))"
+@query("knn_single", f"WITH {E} SELECT vec_id, round(list_cosine_similarity(v, q), 6) AS score FROM e, q ORDER BY list_cosine_similarity(v, q) DESC, vec_id LIMIT 20")
+def _(spark, d):
+    """One vector's neighbours in the JVM: a scan with a partial top-k per task."""
+    return search.knn(*_vec(spark, d), 20).select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query("hamming_topk", f"WITH {E} SELECT vec_id, CAST({HAM} AS INTEGER) AS bits FROM e, q ORDER BY {HAM}, vec_id LIMIT 20")
+@query("scatter_merge", f"WITH {E}, s AS (SELECT vec_id, list_distance(v, q) AS dist FROM e, q), a AS (SELECT vec_id, dist + CASE WHEN vec_id % 3 = 0 THEN 0.1 ELSE 0 END AS dist FROM s UNION ALL SELECT * FROM s WHERE vec_id % 2 = 0) SELECT vec_id, round(max(1 / (1 + dist)), 6) AS score FROM a GROUP BY vec_id ORDER BY max(1 / (1 + dist)) DESC, vec_id LIMIT 15")
 def _(spark, d):
     e, q = _vec(spark, d)
-    return e.select("vec_id", V.hamming(V.sign_bits(F.col("embedding")), V.sign_bits(V.literal(q))).cast("int").alias("bits")).orderBy("bits", "vec_id").limit(20)
+    s = e.select("vec_id", V.l2_distance(F.col("embedding"), V.literal(q)).alias("dist"))
+    nodes = s.select("vec_id", (1 / (1 + F.col("dist") + F.when(F.col("vec_id") % 3 == 0, 0.1).otherwise(0.0))).alias("score")).unionByName(s.where("vec_id % 2 = 0").select("vec_id", (1 / (1 + F.col("dist"))).alias("score")))
+    return search.scatter_merge(nodes, 15, "vec_id").select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query("two_stage_rescore", f"WITH {E}, c AS (SELECT vec_id, v, q FROM e, q ORDER BY {HAM}, vec_id LIMIT 80) SELECT vec_id, round({L2.format(a='v', b='q')}, 6) AS score FROM c ORDER BY list_distance(v, q), vec_id LIMIT 20")
-def _(spark, d):
-    e, q = _vec(spark, d)
-    return _scored(search.two_stage(e, q, 20, lambda v: -V.hamming(V.sign_bits(v), V.sign_bits(V.literal(q)))))
+UNIT = "list_transform({0}, lambda x: x / sqrt(list_dot_product({0}, {0})))"
+MAXSIM = "WITH " + E + ", t AS (SELECT label, {u} AS u FROM e WHERE {w}), k AS (SELECT vec_id AS qi, {u} AS qv FROM e WHERE vec_id < 3), m AS (SELECT label, qi, greatest(max(list_dot_product(u, qv)), 0) AS s FROM t, k GROUP BY label, qi) SELECT label, round(sum(s), 6) AS score FROM m GROUP BY label ORDER BY sum(s) DESC, label LIMIT 10"
 
 
-@query("matryoshka_topk", f"WITH {E}, c AS (SELECT vec_id, v, q FROM e, q ORDER BY list_distance(v[1:16], q[1:16]), vec_id LIMIT 80) SELECT vec_id, round({L2.format(a='v', b='q')}, 6) AS score FROM c ORDER BY list_distance(v, q), vec_id LIMIT 20")
-def _(spark, d):
-    e, q = _vec(spark, d)
-    return _scored(search.two_stage(e, q, 20, lambda v: -V.l2_distance(F.slice(v, 1, 16), V.literal(q[:16]))))
+def _tokens(spark: SparkSession, d: str) -> tuple[DataFrame, np.ndarray]:
+    e = _t(spark, d, "embeddings")
+    q = np.array([r[0] for r in e.where("vec_id < 3").orderBy("vec_id").select("embedding").collect()], np.float64)
+    return e.select("label", F.col("embedding").alias("vec")), q
 
 
-@query("sharded_topk", f"WITH {E}, s AS (SELECT vec_id, list_distance(v, q) AS dist, row_number() OVER (PARTITION BY vec_id % 4 ORDER BY list_distance(v, q), vec_id) AS rn FROM e, q) SELECT vec_id, round(1 / (1 + dist), 6) AS score FROM s WHERE rn <= 20 ORDER BY dist, vec_id LIMIT 20")
+@query("maxsim_topk", MAXSIM.format(u=UNIT.format("v"), w="true"))
 def _(spark, d):
-    return _scored(search.sharded_knn(*_vec(spark, d), 20, 4))
+    return vb.max_sim(*_tokens(spark, d), 10, None, "label").select("label", F.round("score", 6).alias("score"))
 
 
-@query("scatter_merge", f"WITH {E}, s AS (SELECT vec_id, list_distance(v, q) AS dist FROM e, q), a AS (SELECT vec_id, dist + CASE WHEN vec_id % 3 = 0 THEN 0.1 ELSE 0 END AS dist FROM s UNION ALL SELECT * FROM s WHERE vec_id % 2 = 0) SELECT vec_id, round(max(1 / (1 + dist)), 6) AS score FROM a GROUP BY vec_id ORDER BY max(1 / (1 + dist)) DESC, vec_id LIMIT 15")
+@query("maxsim_candidates", MAXSIM.format(u=UNIT.format("v"), w="label % 2 = 0"))
 def _(spark, d):
-    e, q = _vec(spark, d)
-    s = e.select("vec_id", V.l2_distance(F.col("embedding"), V.literal(q)).alias("dist"))
-    nodes = s.select("vec_id", (1 / (1 + F.col("dist") + F.when(F.col("vec_id") % 3 == 0, 0.1).otherwise(0.0))).alias("score")).unionByName(s.where("vec_id % 2 = 0").select("vec_id", (1 / (1 + F.col("dist"))).alias("score")))
-    return _scored(search.scatter_merge(nodes, 15, "vec_id"))
+    t, q = _tokens(spark, d)
+    return vb.max_sim(t, q, 10, t.where("label % 2 = 0"), "label").select("label", F.round("score", 6).alias("score"))
 
 
-UNIT = "list_transform({0}, lambda x: x / sqrt(list_dot_product({0}, {0})))"
+def _approximate(spark: SparkSession, d: str, k: int) -> dict[str, Callable[[], DataFrame]]:
+    """The approximate searches by name; every row is in each index."""
+    e, q = _asked(spark, d)
+    return {
+        "rabitq_topk": lambda: vb.search(e, q, k, vb.estimated(16), oversample=16),
+        "ivf_topk": lambda: vb.search_cells(vb.build_cells(e), e, F.expr(ASKED), k),
+        "graph_topk": lambda: proximity.search_graph(proximity.build_graph(e), e, F.expr(ASKED), k),
+    }
 
 
-@query("maxsim_topk", f"WITH {E}, t AS (SELECT label, {UNIT.format('v')} AS u FROM e), k AS (SELECT vec_id AS qi, {UNIT.format('v')} AS qv FROM e WHERE vec_id < 3), m AS (SELECT label, qi, greatest(max(list_dot_product(u, qv)), 0) AS s FROM t, k GROUP BY label, qi) SELECT label, round(sum(s), 6) AS score FROM m GROUP BY label ORDER BY sum(s) DESC, label LIMIT 10")
-def _(spark, d):
-    e = _t(spark, d, "embeddings")
-    q = [list(r[0]) for r in e.where("vec_id < 3").orderBy("vec_id").select("embedding").collect()]
-    return search.max_sim(e.select("label", F.col("embedding").alias("vec")), q, 10, "label").select("label", F.round("score", 6).alias("score"))
+for _name in ("rabitq_topk", "ivf_topk", "graph_topk"):  # approximate, so no SQL; recall_at_k measures them
+    QUERIES[_name] = lambda spark, d, n=_name: _scored(_approximate(spark, d, 20)[n]())
 
 
-@query("ivf_topk")
+@query("recall_at_k")
 def _(spark, d):
-    e, q = _vec(spark, d)
-    return _scored(search.ivf_knn(e, q, 20, search.ivf_index(e)))
+    """Recall of the ten nearest of every asked row, by method; tests hold it to 0.9."""
+    e, q = _asked(spark, d)
+    truth = materialise(vb.search(e, q, 10, vb.l2), "truth")
+    out = spark.createDataFrame([], "method string, recall double")
+    for name, find in _approximate(spark, d, 10).items():
+        out = out.unionByName(vb.recall(find(), truth).select(F.lit(name).alias("method"), "recall"))
+    return out
 
 
-@query("recall_at_k", f"WITH {E}, x AS (SELECT vec_id FROM e, q ORDER BY list_distance(v, q), vec_id LIMIT 10), c AS (SELECT vec_id, v, q FROM e, q ORDER BY {HAM}, vec_id LIMIT 40), y AS (SELECT vec_id FROM c ORDER BY list_distance(v, q), vec_id LIMIT 10) SELECT count(*) / CAST(10 AS DOUBLE) AS recall FROM x SEMI JOIN y USING (vec_id)")
+@query("recall_of_sign_bits", f"WITH {EQ}, s AS (SELECT query_id, vec_id, list_distance(v, q) AS dist, {HAM} AS h FROM q, e), x AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(1 / (1 + dist), 9) DESC, vec_id) AS rn, row_number() OVER (PARTITION BY query_id ORDER BY h, vec_id) AS hn FROM s), y AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(1 / (1 + dist), 9) DESC, vec_id) AS yn FROM x WHERE hn <= 40) SELECT count(*) FILTER (WHERE yn <= 10) / count(*)::DOUBLE AS recall FROM (SELECT * FROM x WHERE rn <= 10) t LEFT JOIN y USING (query_id, vec_id)")
 def _(spark, d):
-    e, q = _vec(spark, d)
-    found = search.two_stage(e, q, 10, lambda v: -V.hamming(V.sign_bits(v), V.sign_bits(V.literal(q))))
-    return search.knn(e, q, 10, V.l2_score).join(found.select("vec_id"), "vec_id", "left_semi").agg((F.count(F.lit(1)) / 10.0).alias("recall"))
+    """What plain sign bits with fourfold oversampling would find, as a yardstick."""
+    e, q = _asked(spark, d)
+    coarse = vb.search(e, q, 40, vb.hamming).select("query_id", F.col("id").alias("vec_id"))
+    pairs = coarse.join(e.select("vec_id", "embedding"), "vec_id").join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
+    found = vb.ranked(pairs.select("query_id", F.col("vec_id").alias("id"), V.l2_score(F.col("embedding"), F.col("q")).alias("score")), 10)
+    return vb.recall(found, vb.search(e, q, 10, vb.l2))
 
 
 @query(

@@ -4,9 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lorespark.functions import codes
 from lorespark.functions import text as X
 from lorespark.functions import vectors as V
-from lorespark.operators import fusion, graph, objects, search
+from lorespark.operators import fusion, graph, objects, proximity, search
+from lorespark.operators import vector_batch as vb
 from lorespark.plans import ask, planner, sqlfront
 from lorespark.sources import store
 from lorespark.streaming import events
@@ -186,13 +188,82 @@ def test_vectors(spark):
     assert [r.vec_id for r in search.knn(df, [1.0, 0.0], 3).collect()] == [1, 4, 2]
     bits = df.select(V.hamming(V.sign_bits(F.col("embedding")), V.sign_bits(V.literal([-1.0, -1.0]))).alias("h")).collect()
     assert [r.h for r in bits] == [2, 2, 2, 2]
+
+
+def brute(x, q, k):
+    d = np.sqrt(((q[:, None] - x[None]) ** 2).sum(2))
+    return [sorted(range(len(x)), key=lambda j: (-round(1 / (1 + r[j]), 9), j))[:k] for r in d]
+
+
+@pytest.mark.parametrize("scorer", ["l2", "sign_codes", "prefix", "prefix_wide"])
+def test_batch_search_is_exact(spark, scorer, monkeypatch):
+    monkeypatch.setattr(vb, "CHUNK", 7)
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(300, 8)) + rng.integers(0, 4, 300)[:, None] * 4
-    many = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    q = x[0].tolist()
-    exact = {r.vec_id for r in search.knn(many, q, 10, V.l2_score).collect()}
-    near = {r.vec_id for r in search.ivf_knn(many, q, 10, search.ivf_index(many), 8).collect()}
-    assert len(exact & near) >= 9
+    x = np.concatenate([rng.normal(size=(300, 12)) + rng.integers(0, 4, 300)[:, None] * 2, np.zeros((3, 12)), np.ones((4, 12))]).astype(np.float32).astype(np.float64)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1050, [1.0]), (1100, None)], "vec_id long, embedding array<float>").repartition(3)
+    q = vb.store_queries(df.where("vec_id < 1000"), F.expr("vec_id % 50 = 0"))
+    f = {"l2": vb.l2, "sign_codes": vb.sign_codes(1), "prefix": vb.prefix(3, 1), "prefix_wide": vb.prefix(12, 2)}[scorer]
+    got = {}
+    for r in vb.search(df, q, 10, f).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    assert got == dict(zip(range(0, len(x), 50), brute(x, x[::50], 10)))
+    assert vb.store_queries(df.limit(0), F.expr("vec_id % 50 = 0")) is None and vb.search(df, None, 5).count() == 0
+
+
+def test_codes():
+    rng = np.random.default_rng(2)
+    x, q = rng.normal(size=(400, 50)), rng.normal(size=(20, 50))
+    r = codes.rotate(x)
+    assert r.shape == (400, 64) and np.allclose((r * r).sum(1), (x * x).sum(1))
+    h = np.array([[1.0]])
+    while len(h) < 64:
+        h = np.block([[h, h], [h, -h]])
+    assert np.allclose(codes.walsh_hadamard(np.eye(64)), h)
+    c, d2 = codes.SignCodes.of(x), ((q[:, None] - x[None]) ** 2).sum(2)
+    assert (c.at_least(q) <= np.sqrt(d2) + 1e-9).all()
+    error = c.estimate(q) - d2
+    assert abs(error.mean()) < 0.1 * d2.mean() and error.std() < 0.2 * d2.mean()
+    assert codes.eight_bit(np.array([0.5 / 127, -0.5 / 127, 9.0])).tolist() == [1, -1, 127]
+    assert (codes.SignCodes.of(np.zeros((2, 3))).estimate(np.ones((1, 3))) == 3).all()
+    assert codes.synthetic(5, 3).shape == (5, 3) and codes.synthetic(50, 3, 4).dtype == np.float32
+
+
+@pytest.mark.parametrize("diversify", [True, False])
+def test_graph_search(spark, diversify):
+    x = codes.synthetic(1500, 16, 30, seed=3)
+    df = vb.store_vectors(spark, x)
+    params = proximity.AnnParams(shard_rows=600, diversify=diversify)
+    stored = proximity.build_graph(df, params)
+    assert stored.count() == 1500 and stored.select("shard").distinct().count() == 3
+    truth = vb.search(df, vb.store_queries(df, F.expr("vec_id % 50 = 0")), 10)
+    found = vb.recall(proximity.search_graph(stored, df, F.expr("vec_id % 50 = 0"), 10, params), truth).first().recall
+    assert found >= (0.9 if diversify else 0.3)
+    gone = df.where("vec_id % 2 = 1").select(F.col("vec_id").alias("id"))
+    left = proximity.search_graph(stored, df, F.expr("vec_id % 50 = 0"), 10, params, gone)
+    assert left.where("id % 2 = 1").count() == 0 and left.count() == 300
+    one = proximity.build_graph(df.limit(1), params)
+    assert proximity.search_graph(one, df.where("vec_id = 0"), F.lit(True), 5, params).count() == 1
+
+
+def test_recall_of_the_registered_searches(spark):
+    from lorespark.plans import registry
+
+    got = {r.method: r.recall for r in registry.queries()["recall_at_k"](spark, "/root/testdata/sf0.1").collect()}
+    assert set(got) == {"rabitq_topk", "ivf_topk", "graph_topk"} and min(got.values()) >= 0.9, got
+
+
+def test_max_sim_over_batches(spark):
+    rng = np.random.default_rng(4)
+    t = rng.normal(size=(90, 5))
+    rows = [(i % 20, v.tolist()) for i, v in enumerate(t)] + [(3, [0.0] * 5), (50, None)]
+    q = rng.normal(size=(3, 5))
+    unit = lambda v: v / np.sqrt((v * v).sum(1, keepdims=True))
+    s = unit(t) @ unit(q).T
+    want = {i: sum(max(0.0, s[j::1][np.arange(90) % 20 == i][:, c].max()) for c in range(3)) for i in range(20) for j in (0,)}
+    df = spark.createDataFrame(rows, "id long, vec array<double>").repartition(4)
+    got = vb.max_sim(df, q, 5).collect()
+    assert [r.id for r in got] == sorted(want, key=lambda i: (-want[i], i))[:5] and abs(got[0].score - want[got[0].id]) < 1e-9
+    assert {r.id for r in vb.max_sim(df, q, 5, df.where("id < 3")).collect()} == {0, 1, 2}
 
 
 def test_fusion_ties_and_similar(spark):
