@@ -41,3 +41,24 @@ def moves(replicas: DataFrame, nodes: int, copies: int, id_col: str = "id") -> D
 def merge_aggregates(partials: DataFrame) -> DataFrame:
     """One row from per-shard rows ``n, total, low, high``; the mean follows from the sums."""
     return partials.agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high")).withColumn("mean", F.col("total") / F.col("n"))
+
+
+def merge_scalars(sql: str, partials: list[list[tuple]]) -> list[str]:
+    """Cells of one scalar query over all nodes from the cells that each node gave, printed as the gateway prints them.
+
+    COUNT and SUM add up, MIN and MAX compare; AVG and GROUP BY can't be merged from results and are refused with
+    ``ValueError``, as is anything else. Whole numbers are printed without a fraction; without any value: NULL.
+    """
+    import re
+
+    if re.search(r"\bgroup\s+by\b", sql, re.I) or re.search(r"\bavg\s*\(", sql, re.I):
+        raise ValueError("AVG and GROUP BY can't be merged from the results of nodes; use merge_aggregates over partial sums")
+    kinds = [m[1].lower() for m in re.finditer(r"\b(count|sum|min|max)\s*\(", sql.split(" from ")[0] if " from " in sql else re.split(r"\bfrom\b", sql, flags=re.I)[0], re.I)]
+    if not kinds or any(len(row) != len(kinds) for rows in partials for row in rows):
+        raise ValueError("only COUNT, SUM, MIN and MAX can be merged")
+    out = []
+    for i, kind in enumerate(kinds):
+        values = [float(row[i]) for rows in partials for row in rows if row[i] is not None]
+        merged = (sum(values) if kind in ("count", "sum") else min(values) if kind == "min" else max(values)) if values else 0.0 if kind == "count" else None
+        out.append("NULL" if merged is None else str(int(merged)) if merged == int(merged) else str(merged))
+    return out

@@ -156,18 +156,19 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """``id, community`` by synchronous label propagation: the commonest neighbouring label, ties to the smallest.
+    """``id, community`` by synchronous label propagation, at most ``rounds`` times.
 
-    A node keeps its own label when that is as common. All nodes move at once, so the result doesn't depend on an order.
+    A node takes the commonest label among its neighbours and itself, the smallest of several. All nodes move at once,
+    so the result doesn't depend on an order; the node's own vote keeps pairs from swapping labels for ever.
     """
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).where("a <> b").distinct()
     both = materialise(both, "lpa-edges")
     labels = both.select("a").distinct().select("a", F.col("a").alias("c"))
     for _ in range(rounds):
-        votes = both.join(labels.select(F.col("a").alias("b"), "c"), "b").groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"))
-        best = votes.groupBy("a").agg(F.max_by("c", F.struct(F.col("n"))).alias("_any"), F.max("n").alias("n"))
-        least = votes.join(best.select("a", F.col("n").alias("top")), "a").where("n = top").groupBy("a").agg(F.min("c").alias("m"), F.collect_set("c").alias("all"))
-        new = materialise(labels.join(least, "a").select("a", F.when(F.array_contains("all", F.col("c")), F.least("c", "m")).otherwise(F.col("m")).alias("c")), "lpa")
+        heard = both.join(labels.select(F.col("a").alias("b"), "c"), "b").select("a", "c").unionByName(labels)
+        votes = heard.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"))  # partial counts first: a hub's votes are folded per task
+        best = votes.groupBy("a").agg(F.min(F.struct((-F.col("n")).alias("n"), "c")).alias("w"))
+        new = materialise(best.select("a", F.col("w.c").alias("c")), "lpa")
         changed = new.join(labels.select("a", F.col("c").alias("old")), "a").where("c <> old").limit(1).count()
         labels = new
         if not changed:

@@ -523,8 +523,7 @@ _BOTH = "u AS (SELECT DISTINCT a, b FROM (SELECT src AS a, dst AS b FROM g UNION
 @query(
     "communities",
     f"""WITH RECURSIVE {G}, {_BOTH}, lab(it, a, c) AS (SELECT 0, a, a FROM (SELECT DISTINCT a FROM u) UNION ALL
- SELECT it + 1, a, CASE WHEN max(CASE WHEN c = own THEN n END) = max(n) THEN least(max(own), min(CASE WHEN n = top THEN c END)) ELSE min(CASE WHEN n = top THEN c END) END
- FROM (SELECT *, max(n) OVER (PARTITION BY a) AS top FROM (SELECT x.it, u.a, x.c, any_value(o.c) AS own, count(*) AS n FROM u JOIN lab x ON x.a = u.b JOIN lab o ON o.a = u.a WHERE x.it < 20 GROUP BY x.it, u.a, x.c)) GROUP BY it, a)
+ SELECT it + 1, a, min(CASE WHEN n = top THEN c END) FROM (SELECT *, max(n) OVER (PARTITION BY a) AS top FROM (SELECT it, a, c, count(*) AS n FROM (SELECT it, a, c FROM lab WHERE it < 20 UNION ALL SELECT x.it, u.a, x.c FROM u JOIN lab x ON x.a = u.b WHERE x.it < 20) GROUP BY it, a, c)) GROUP BY it, a)
  SELECT a AS id, c AS community FROM lab WHERE it = 20""",
 )
 def _(spark, d):

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lorespark.functions import text as X
 from lorespark.operators import objects, search
+from lorespark.session import materialise, shared_path
 
 
 class ObjectStore:
@@ -42,18 +43,50 @@ class ObjectStore:
         new.put(self.read().repartitionByRange("id").sortWithinPartitions("id"))
         return new
 
-    def rebuild(self) -> dict[str, DataFrame]:
-        """Derived tables, recomputed from the objects and stored next to them."""
-        now = self.read()
+    # -- derived tables -----------------------------------------------------------------------------------------------
+
+    def fan_out(self, batch: DataFrame) -> None:
+        """Append what follows from a batch of objects: postings, mentioned entities, relationships and vectors.
+
+        Every row names its object's version, so rows of replaced or deleted versions drop out when they are read.
+        """
+        version = ["id", "updated_at"]
+        fields = search.object_fields()
+        rows = batch.select(*version, F.explode(F.array(*[F.struct(F.lit(name).alias("field"), F.concat(F.array(F.lit("")), X.tokens(c)).alias("t")) for name, c in fields.items()])).alias("f"))
+        rows = rows.select(*version, "f.field", (F.size("f.t") - 1).alias("len"), F.explode("f.t").alias("term"))
         tables = {
-            "postings": search.postings(now),
-            "edges": now.select(F.col("id").alias("src"), F.explode("relationships").alias("r")).select("src", F.col("r.target_id").alias("dst"), F.col("r.relation_type").alias("rel"), F.col("r.weight").alias("weight")),
-            "entities": now.select("id", F.explode(X.entities(F.col("content"))).alias("entity")),
-            "vectors": now.select("id", F.explode("embeddings").alias("model", "embedding")),
+            "postings": rows.groupBy("term", "field", *version).agg(F.count(F.lit(1)).cast("int").alias("tf"), F.max("len").alias("len")),
+            "entities": batch.select(*version, "created_at", F.explode(F.array_distinct(F.concat(X.entities(F.col("content")), F.filter(F.transform(F.coalesce("keywords", F.array().cast("array<string>")), lambda k: F.lower(F.trim(k))), lambda k: F.octet_length(k) > 1)))).alias("entity")),
+            "edges": batch.select(F.col("id").alias("src"), "updated_at", F.explode("relationships").alias("r")).select("src", "updated_at", F.col("r.target_id").alias("dst"), F.col("r.relation_type").alias("rel"), F.col("r.weight").cast("double").alias("weight")),
+            "vectors": batch.select(*version, F.explode("embeddings").alias("model", "embedding")),
         }
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.path}/{name}")
-        return {name: self.spark.read.parquet(f"{self.path}/{name}") for name in tables}
+            df.write.mode("append").parquet(f"{self.path}/{name}")
+
+    def derived(self, name: str) -> DataFrame:
+        """A derived table, rows of current versions only; as wide as the versions that were written."""
+        table = self.spark.read.parquet(f"{self.path}/{name}")
+        current = self.read().select(F.col("id").alias("_id"), F.col("updated_at").alias("_at"))
+        key = "src" if name == "edges" else "id"
+        return table.join(current, (table[key] == current["_id"]) & (table["updated_at"] == current["_at"]), "left_semi").drop("updated_at").distinct()
+
+    def text_index(self) -> search.TextIndex:
+        """The full-text index as it stands: terms are looked up in the stored postings, sizes come from their empty terms."""
+        held = self.derived("postings")
+        sizes = {r.field: r for r in held.where("term = ''").groupBy("field").agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("mean")).collect()}
+        return search.TextIndex(held.where("term <> ''"), max((r.docs for r in sizes.values()), default=0), {f: float(r["mean"] or 0) for f, r in sizes.items()})
+
+    def rebuild(self) -> dict[str, DataFrame]:
+        """Derived tables, recomputed from the objects; what was stored is replaced, and ``derived`` reads the new ones."""
+        now = materialise(self.read(), "objects")
+        fresh = ObjectStore(self.spark, shared_path(self.spark, "rebuild"))
+        fresh.fan_out(now)
+        for name in DERIVED:
+            self.spark.read.parquet(f"{fresh.path}/{name}").write.mode("overwrite").parquet(f"{self.path}/{name}")
+        return {name: self.derived(name) for name in DERIVED}
+
+
+DERIVED = ("postings", "entities", "edges", "vectors")
 
 
 def read_json_objects(spark: SparkSession, path: str) -> DataFrame:

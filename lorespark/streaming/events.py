@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from lorespark.functions import text as X
 
@@ -54,5 +56,43 @@ def ingest(objects: DataFrame, out: str, checkpoint: str, interval: str | None =
         batch.select("id", F.explode(X.tokens(F.col("content"))).alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf")).write.mode("overwrite").parquet(f"{out}/postings/batch={number}")
         batch.select("id", F.explode(X.entities(F.col("content"))).alias("entity")).write.mode("overwrite").parquet(f"{out}/entities/batch={number}")
 
-    writer = objects.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return _start(objects.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), interval)
+
+
+def _start(writer, interval: str | None) -> StreamingQuery:
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+
+
+LINKS = "src string, dst string, rel string, weight double"
+
+
+def co_mentions(mentions: DataFrame, last: int = 5, ttl_ms: int | None = None) -> DataFrame:
+    """A stream ``entity, id, at`` to links between an object and the ``last`` earlier ones with the same entity.
+
+    The state of an entity is its latest ``last`` ids, however many objects mention it; with ``ttl_ms`` an entity that
+    nobody mentions for so long is forgotten. Rows of a micro-batch are taken in the order of (at, id); both directions
+    are put out. A repeated id makes no link to itself.
+    """
+    def step(key: tuple, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values(["at", "id"])
+        past = list(state.get[0]) if state.exists else []
+        pairs = []
+        for x in rows["id"]:
+            pairs += [(x, p) for p in past if p != x]
+            past = [*past, x][-last:]
+        state.update((past,))
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
+        both = [(a, b, "co_mentions", 0.5) for x, p in pairs for a, b in ((x, p), (p, x))]
+        yield pd.DataFrame(both, columns=["src", "dst", "rel", "weight"])
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
+    return mentions.where("entity is not null").groupBy("entity").applyInPandasWithState(step, LINKS, "past array<string>", "append", timeout)
+
+
+def stored_links(mentions: DataFrame, out: str, checkpoint: str, last: int = 5, interval: str | None = None) -> StreamingQuery:
+    """``co_mentions`` of a stream, appended to a table."""
+    return _start(co_mentions(mentions, last).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append"), interval)

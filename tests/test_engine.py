@@ -181,6 +181,8 @@ def test_graph_chain(spark):
     for r in graph.communities(tri).collect():
         groups.setdefault(r.community, set()).add(r.id)
     assert sorted(map(sorted, groups.values())) == [["1", "2", "3"], ["4", "5", "6"]]
+    pair = spark.createDataFrame([("p", "q"), ("q", "p"), ("p", "p")], "src string, dst string")
+    assert {r.id: r.community for r in graph.communities(pair).collect()} == {"p": "p", "q": "p"}
 
 
 def test_vectors(spark):
@@ -283,14 +285,14 @@ def test_trim_and_words(spark):
 
 def test_store_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("a", "one Alpha", 1), ("b", "two Beta", 1)], "id string, content string, t int")
-    full = df.select("id", "content", F.create_map(F.lit("k"), F.lit("v")).alias("metadata"), F.array(F.lit("w")).alias("keywords"), F.array().cast("array<struct<relation_type:string,target_id:string,weight:float>>").alias("relationships"), F.create_map(F.lit("m"), F.array(F.lit(1.0).cast("float"))).alias("embeddings"), F.timestamp_seconds("t").alias("updated_at"))
+    full = df.select("id", "content", F.create_map(F.lit("k"), F.lit("v")).alias("metadata"), F.array(F.lit("w")).alias("keywords"), F.array().cast("array<struct<relation_type:string,target_id:string,weight:float>>").alias("relationships"), F.create_map(F.lit("m"), F.array(F.lit(1.0).cast("float"))).alias("embeddings"), F.timestamp_seconds("t").alias("created_at"), F.timestamp_seconds("t").alias("updated_at"))
     s = store.ObjectStore(spark, str(tmp_path / "s"))
     s.put(full)
     s.put(full.where("id = 'a'").withColumn("content", F.lit("new Gamma")).withColumn("updated_at", F.timestamp_seconds(F.lit(5))))
     s.delete(spark.createDataFrame([("b",)], "id string"), "2024-01-01 00:00:00")
     assert [(r.id, r.content) for r in s.read().collect()] == [("a", "new Gamma")]
     tables = s.compact(str(tmp_path / "c")).rebuild()
-    assert [r.entity for r in tables["entities"].collect()] == ["gamma"]
+    assert [r.entity for r in tables["entities"].where("entity <> 'w'").collect()] == ["gamma"] and [r.model for r in tables["vectors"].collect()] == ["m"]
 
 
 def test_vector_file(spark, tmp_path):
@@ -329,6 +331,44 @@ def test_stream_ingest(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out/postings")).where("term = 'beta'").count() == 2
 
 
+def test_stream_of_co_mentions(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(f"e{rng.integers(0, 3)}", f"{i:03d}", i) for i in range(120)] + [(None, "x", 1)]
+    df = spark.createDataFrame(rows, "entity string, id string, at long")
+    for k in range(3):  # three files in order
+        df.where(F.col("at").between(40 * k, 40 * k + 39)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = events.read_stream(spark, str(tmp_path / "in"), df.schema, 1)
+    q = events.stored_links(stream, str(tmp_path / "out"), str(tmp_path / "cp"), 3)
+    q.awaitTermination(120)
+    got = {(r.src, r.dst) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(r.src, r.dst) for r in graph.co_mentions(df, "at", 3).collect()}
+
+
+def test_sql_functions(spark):
+    from lorespark.plans.sql_functions import register_functions, register_table_functions
+
+    own = spark.newSession()
+    register_functions(own)
+    r = own.sql("SELECT cosine(array(1D, 0D), array(1D, 1D)) AS c, cosine(array(0D), array(1D)) AS z, l2_score(array(1D), array(2D)) AS l, est_tokens('hello') AS t, jaccard(array('a'), array('a', 'b')) AS j, max_sim(array(array(1D, 0D), array(-1D, 0D)), array(array(0.5D, 0D), array(0.2D, 1D))) AS m, date_bin(INTERVAL '15' MINUTE, TIMESTAMP '2024-01-01 10:07:09', TIMESTAMP '2024-01-01') AS b").first()
+    assert (round(r.c, 9), r.z, r.l, r.t, r.j, r.m, str(r.b)) == (0.707106781, 0, 0.5, 2, 0.5, 0.5, "2024-01-01 10:00:00")
+    own.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, embedding array<float>").createOrReplaceTempView("vectors")
+    own.createDataFrame([("acme", "a", 2, 5), ("boat", "b", 1, 3)], "term string, id string, tf int, len int").createOrReplaceTempView("postings")
+    own.createDataFrame([(2, 4.0)], "docs long, mean double").createOrReplaceTempView("text_stats")
+    register_table_functions(own)
+    assert [x.id for x in own.sql("SELECT * FROM knn(array(1D, 0D), 1)").collect()] == ["1"]
+    assert [x.id for x in own.sql("SELECT * FROM bm25('Acme boat', 5) ORDER BY score DESC").collect()] == ["a", "b"]
+
+
+def test_merge_of_scalar_results():
+    from lorespark.operators.cluster import merge_scalars
+
+    assert merge_scalars("SELECT COUNT(*), min(x), MAX(x), sum(x) FROM t", [[(2, 1.5, 4, 5.5)], [(3, 0.5, 9, 1.0)], []]) == ["5", "0.5", "9", "6.5"]
+    assert merge_scalars("select count(*), max(x) from t", [[(0, None)]]) == ["0", "NULL"]
+    for bad in ("SELECT avg(x) FROM t", "SELECT count(*) FROM t GROUP BY y", "SELECT x FROM t"):
+        with pytest.raises(ValueError):
+            merge_scalars(bad, [[(1,)]])
+
+
 def test_filters_reach_the_scan(spark, sf):
     plan = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_quantity > 45").select("l_orderkey")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,45.0)]" in plan and "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
@@ -368,11 +408,10 @@ def test_graph_queries_take_the_whole_graph(spark, sf):
     for _ in range(20):
         new = {}
         for x, ns in near.items():
-            votes = {}
+            votes = {label[x]: 1}
             for y in ns:
                 votes[label[y]] = votes.get(label[y], 0) + 1
-            best = {c for c, n in votes.items() if n == max(votes.values())}
-            new[x] = label[x] if label[x] in best and label[x] <= min(best) else min(best)
+            new[x] = min(c for c, n in votes.items() if n == max(votes.values()))
         if new == label:
             break
         label = new
