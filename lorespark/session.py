@@ -55,14 +55,34 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{path}"
 
 
+#: What this driver put into shared folders and hasn't deleted yet: path to (JVM, Hadoop configuration).
+_MADE: dict[str, tuple] = {}
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path in the shared folder; removed when the driver ends."""
+    """A new, unused path in the shared folder, whatever its file system; deleted by ``clean_up`` or when the driver ends."""
     path = f"{shared_dir(spark)}/lorespark/{name}-{uuid.uuid4().hex}"
-    if path.startswith("file:"):
-        atexit.register(shutil.rmtree, path.replace("file://", "").replace("file:", ""), ignore_errors=True)
+    _MADE[path] = (spark._jvm, spark._jsc.hadoopConfiguration())
     return path
 
 
+def clean_up() -> int:
+    """Delete all intermediate tables of this driver; returns how many paths were tried. DataFrames that read them end."""
+    tried = list(_MADE.items())
+    _MADE.clear()
+    for path, (jvm, conf) in tried:
+        try:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+        except Exception:  # the JVM may have gone before this driver's exit
+            if path.startswith("file:"):
+                shutil.rmtree(local_path(path), ignore_errors=True)
+    return len(tried)
+
+
+atexit.register(clean_up)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
 
