@@ -300,6 +300,33 @@ def test_url_rules_on_both_sides_of_the_switch(spark):
     assert a == b
 
 
+def test_url_scores_by_hand(spark):
+    """Hashed n-grams of code points, one by one, against the operator's scores."""
+    mask, base = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def mixed(h):
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & mask
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & mask
+        return h ^ h >> 31
+
+    weights, bias = url_filter.fit_urls()
+    df = spark.createDataFrame([(i, u) for i, u, *_ in URLS] + [(20, "http://Ünï.example/ö/😀"), (21, "http://ab")], "page_id long, url string").repartition(2)
+    for r in url_filter.judge_urls(df, rules=()).collect():
+        text = f"^{r.host}{r.path}$" if r.host or r.path else ""
+        count = {}
+        for k in url_filter.SIZES:
+            for i in range(len(text) - k + 1):
+                h = 0
+                for c in text[i : i + k]:
+                    h = (h * base + ord(c) + 1) & mask
+                b = mixed(h) >> 64 - url_filter.PARAMS.bits
+                count[b] = count.get(b, 0) + 1
+        size = sum(n * n for n in count.values()) ** 0.5
+        raw = bias + sum(float(np.float32(weights[b])) * n / size for b, n in count.items())
+        assert abs(r.block_score - 1 / (1 + math.exp(-raw))) < 1e-9, r.url
+        assert r.verdict == ("block" if r.block_score >= 0.5 else "allow")
+
+
 def test_url_model_on_hosts_of_other_words(spark, sf):
     """No word of these hosts, or of those of the tables, is in the labelled table; precision and recall are over hosts."""
     words = lambda x: set(re.split(r"[^a-z0-9]+", x.lower())) - {""}

@@ -389,6 +389,48 @@ def test_quality_edges(spark):
     assert quality.score_quality(docs.limit(0), model).count() == 0
 
 
+M64 = (1 << 64) - 1
+
+
+def mixed(h):
+    h ^= h >> 30
+    h = h * 0xBF58476D1CE4E5B9 & M64
+    h ^= h >> 27
+    h = h * 0x94D049BB133111EB & M64
+    return h ^ h >> 31
+
+
+def token_hash(b):
+    return mixed(sum((x + 1) * pow(kernels._BASE, i, 1 << 64) for i, x in enumerate(b)) & M64)
+
+
+def by_hand(text, bits):
+    """The classifier's features of one text, token by token: bucket to value."""
+    tokens = [token_hash(m[0]) for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x20\x09-\x0d]+", (text or "").encode())]
+    count = {}
+    for t in tokens:
+        b = mixed(t + 1 & M64) >> 64 - bits
+        count[b] = count.get(b, 0) + 1
+    t = [1 if i and x == tokens[i - 1] else x for i, x in enumerate(tokens)]
+    for a, b in zip(t, t[1:]):
+        h = ((1 if b == 1 else a) * 0xD6E8FEB86659FD93 + b) & M64
+        k = mixed(h + 2 & M64) >> 64 - bits
+        count[k] = count.get(k, 0) + 1
+    size = sum(n * n for n in count.values()) ** 0.5
+    return {b: n / size for b, n in count.items()}
+
+
+def test_quality_is_the_sparse_dot_product(spark):
+    rnd = random.Random(13)
+    texts = ["", None, "a", "a a a b", "Ünï code, signs!! 12", "x" * 300] + [" ".join(rnd.choice(["good", "bad", "ok", "ok", "!!", "ö"]) for _ in range(rnd.randint(1, 40))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    model = quality.fit_quality(docs, docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS quality"))
+    assert np.abs(model.weights).sum() > 0
+    for r in quality.score_quality(docs.repartition(3), model).collect():
+        raw = model.bias + sum(float(model.weights[b]) * v for b, v in by_hand(r.text, model.bits).items())
+        assert abs(r.quality_score - 1 / (1 + np.exp(-raw))) < 1e-9, r.text
+
+
 def test_score_is_of_the_text_alone(spark):
     model = quality.fit_quality(spark.createDataFrame([(2, "a b c d"), (3, "a a b b")], SCHEMA), spark.createDataFrame([(2, 0), (3, 1)], "doc_id long, quality int"))
     one = quality.score_quality(spark.createDataFrame([(1, "a b c d")], SCHEMA), model).first().quality_score
