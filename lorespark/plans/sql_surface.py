@@ -70,4 +70,30 @@ SURFACE: dict[str, tuple[str, str | None]] = {
     ),
     "fn_hash": ("SELECT n_nationkey, md5(n_name) AS m, sha2(n_name, 256) AS s, base64(encode(n_name, 'UTF-8')) AS b, hex(encode(n_name, 'UTF-8')) AS h FROM nation", "SELECT n_nationkey, md5(n_name) AS m, sha256(n_name) AS s, to_base64(encode(n_name)) AS b, hex(encode(n_name)) AS h FROM nation"),
     "json_props": ("SELECT event_id, from_json(props, 'map<string,string>')['k'] AS k, CAST(get_json_object(props, '$.k') AS BIGINT) AS kn FROM events", "SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(json_extract_string(props, '$.k') AS BIGINT) AS kn FROM events"),
+    "join_using": ("SELECT o_orderkey, o_custkey, cnt FROM orders JOIN (SELECT o_custkey, count(*) AS cnt FROM orders GROUP BY o_custkey) t USING (o_custkey)", None),
+    "join_natural": ("SELECT n_name, r_name FROM (SELECT n_name, n_regionkey AS k FROM nation) NATURAL JOIN (SELECT r_name, r_regionkey AS k FROM region)", None),
+    "join_right": ("SELECT o_orderkey, c_custkey FROM (SELECT * FROM orders WHERE o_totalprice > 350000) RIGHT JOIN customer ON o_custkey = c_custkey", None),
+    "join_cross": ("SELECT n_name, r_name FROM nation CROSS JOIN region", None),
+    "sql_values": ("SELECT a, b, c_name FROM (VALUES (1, 'x'), (2, 'y'), (NULL, 'z')) AS v(a, b) LEFT JOIN customer ON c_custkey = a", None),
+    "sql_posexplode": ("SELECT n_nationkey, pos, word FROM nation LATERAL VIEW posexplode(split(n_name, ' ')) e AS pos, word", "SELECT n_nationkey, CAST(generate_subscripts(w, 1) - 1 AS INTEGER) AS pos, unnest(w) AS word FROM (SELECT n_nationkey, string_split(n_name, ' ') AS w FROM nation)"),
+    "win_qualify": (
+        "SELECT o_orderkey, rn FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 2",
+        "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders QUALIFY rn <= 2",
+    ),
+    "win_avg_all": ("SELECT l_orderkey, l_linenumber, round(l_quantity - avg(l_quantity) OVER (PARTITION BY l_suppkey), 6) AS off, max(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_extendedprice, l_quantity ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS m3 FROM lineitem", None),
+    "sql_order_nulls_first": ("SELECT doc_id, q, row_number() OVER (ORDER BY q ASC NULLS FIRST, doc_id) AS rn FROM (SELECT d.doc_id, l.quality AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)", None),
+    "agg_approx": (
+        "SELECT o_orderpriority, abs(approx_count_distinct(o_custkey, 0.01) - count(DISTINCT o_custkey)) <= 0.05 * count(DISTINCT o_custkey) AS near_count, abs(percentile_approx(o_totalprice, 0.5, 10000) - percentile(o_totalprice, 0.5)) <= 0.02 * percentile(o_totalprice, 0.5) AS near_median FROM orders GROUP BY o_orderpriority",
+        "SELECT DISTINCT o_orderpriority, true AS near_count, true AS near_median FROM orders",
+    ),
+    "agg_listagg": ("SELECT n_regionkey, listagg(n_name, '|') WITHIN GROUP (ORDER BY n_name DESC) AS names, max_by(n_name, n_nationkey) AS last_name, bit_and(n_nationkey) AS bits, bool_or(n_nationkey > 20) AS some FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, '|' ORDER BY n_name DESC) AS names, arg_max(n_name, n_nationkey) AS last_name, bit_and(n_nationkey) AS bits, bool_or(n_nationkey > 20) AS some FROM nation GROUP BY n_regionkey"),
+    "fn_date_bin": (
+        "SELECT event_id, CAST(timestamp_micros(CAST(floor(unix_micros(CAST(ts AS TIMESTAMP)) / 900000000) AS BIGINT) * 900000000) AS TIMESTAMP_NTZ) AS bin, date_format(ts, 'yyyy/MM/dd HH:mm') AS shown, CAST(dayofweek(ts) - 1 AS BIGINT) AS dow, CAST(datediff(ts, DATE '2024-01-01') AS BIGINT) AS days FROM events",
+        "SELECT event_id, time_bucket(INTERVAL 15 MINUTE, ts, TIMESTAMP '1970-01-01') AS bin, strftime(ts, '%Y/%m/%d %H:%M') AS shown, dayofweek(ts) AS dow, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS days FROM events",
+    ),
+    "fn_array_sets": (
+        "SELECT n_nationkey, array_join(array_sort(array_intersect(split(n_name, ''), array('A', 'E', 'I'))), '') AS both, array_join(array_sort(array_except(split(n_name, ''), array('A', 'E', 'I'))), '') AS rest, array_join(array_sort(array_union(split(n_name, ''), array('A', 'E', 'I'))), '') AS every, array_join(array_append(array('x'), n_name), '-') AS appended, element_at(split(n_name, ''), 1) AS head FROM nation",
+        "SELECT n_nationkey, array_to_string(list_sort(list_distinct(list_intersect(string_split(n_name, ''), ['A', 'E', 'I']))), '') AS both, array_to_string(list_sort(list_distinct(list_filter(string_split(n_name, ''), lambda x: x NOT IN ('A', 'E', 'I')))), '') AS rest, array_to_string(list_sort(list_distinct(list_concat(string_split(n_name, ''), ['A', 'E', 'I']))), '') AS every, array_to_string(['x', n_name], '-') AS appended, string_split(n_name, '')[1] AS head FROM nation",
+    ),
+    "fn_string_more": ("SELECT n_nationkey, initcap(lower(n_name)) AS ic, split_part(n_name, 'A', 2) AS part, rpad(n_name, 20, '.') AS rp, ltrim('  a ') AS lt, ascii(n_name) AS code, left(n_name, 2) AS l2, right(n_name, 2) AS r2, contains(n_name, 'AN') AS has, startswith(n_name, 'A') AS sw FROM nation", "SELECT n_nationkey, upper(n_name[1]) || lower(n_name[2:]) AS ic, split_part(n_name, 'A', 2) AS part, rpad(n_name, 20, '.') AS rp, ltrim('  a ') AS lt, ascii(n_name) AS code, left(n_name, 2) AS l2, right(n_name, 2) AS r2, contains(n_name, 'AN') AS has, starts_with(n_name, 'A') AS sw FROM nation"),
 }

@@ -369,6 +369,18 @@ def test_merge_of_scalar_results():
             merge_scalars(bad, [[(1,)]])
 
 
+def test_clean_up(spark, monkeypatch):
+    import os
+
+    from lorespark import session
+
+    monkeypatch.setattr(session, "_MADE", {})
+    df = session.materialise(spark.range(3), "gone")
+    (path,) = session._MADE
+    assert df.count() == 3 and os.path.isdir(session.local_path(path))
+    assert session.clean_up() == 1 and not os.path.exists(session.local_path(path)) and session.clean_up() == 0
+
+
 def test_filters_reach_the_scan(spark, sf):
     plan = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_quantity > 45").select("l_orderkey")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,45.0)]" in plan and "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
