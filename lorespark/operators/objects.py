@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions.scores import clamp_importance
+from lorespark.session import spread
 
 SCHEMA = (
     "id string, content string, metadata map<string,string>, keywords array<string>, "
@@ -19,7 +20,7 @@ EPOCH = "2024-01-01 00:00:00"
 
 def fixture_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and their labels as objects: importance by quality, one hour between creation times."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     created = (F.lit(EPOCH).cast("timestamp") + F.make_dt_interval(hours=F.col("doc_id").cast("int"))).alias("created_at")
     return docs.join(labels, "doc_id", "left").select(

@@ -17,7 +17,8 @@ def positions(df: DataFrame, group: Sequence[str], order: Sequence[Column | str]
     is numbered for itself and shifted by the rows of the group's earlier ranges. Only the first group of a range can
     have earlier ranges, so there are at most as many shifts as ranges, and they come by broadcast.
     """
-    # written down, so that ranges and numbers can't disagree when a task runs again
+    # written down, so that the sampling for ranges computes nothing twice, and ranges and numbers can't disagree
+    df = materialise(df, "unranked")
     ranged = materialise(df.repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id()), "ranks")
     counts = ranged.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_rows"))
     earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -229,14 +229,17 @@ def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class CellIndex:
-    """Centres, and every vector stored under its ``spill`` nearest cells, one folder a cell."""
+    """Centres, and every vector stored under each of its nearest cells, in the order of cells."""
 
     centres: np.ndarray
     stored: DataFrame
 
 
 def build_cells(vectors: DataFrame, cells: int = 128, spill: int = 2, sample: int = 16_384, rounds: int = 10, id_col: str = "vec_id", col: str = "embedding") -> CellIndex | None:
-    """K-means centres from at most ``sample`` rows (smallest hash of the id); every row is stored."""
+    """K-means centres from at most ``sample`` rows (smallest hash of the id); every row is stored with ``spill`` cells.
+
+    A filter on the cell reads only row groups that hold it.
+    """
     spark = vectors.sparkSession
     rows = vectors.where(F.col(col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(col).cast("array<double>").alias("v"))
     got = rows.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
@@ -256,13 +259,12 @@ def build_cells(vectors: DataFrame, cells: int = 128, spill: int = 2, sample: in
                 at = pa.array(np.repeat(np.arange(len(b)), m))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(near.ravel())], ["id", "v", "cell"])
 
-    path = shared_path(spark, "cells")
-    rows.mapInArrow(assign, "id long, v array<double>, cell int").write.partitionBy("cell").parquet(path)
-    return CellIndex(centres, spark.read.schema("id long, v array<double>, cell int").parquet(path))
+    assigned = materialise(rows.mapInArrow(assign, "id long, v array<double>, cell int"), "assigned")
+    return CellIndex(centres, materialise(assigned.repartitionByRange("cell", "id").sortWithinPartitions("cell", "id"), "cells"))
 
 
 def search_cells(index: CellIndex | None, vectors: DataFrame, which: Column, k: int, probes: int = 32, id_col: str = "vec_id", col: str = "embedding") -> DataFrame:
-    """Approximate neighbours: exact scores within the ``probes`` nearest cells of each query; other cells aren't read."""
+    """Approximate neighbours: exact scores within the ``probes`` nearest cells of each query."""
     spark = vectors.sparkSession
     stored = store_queries(vectors, which, id_col, col)
     if index is None or stored is None:

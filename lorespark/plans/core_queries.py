@@ -14,7 +14,7 @@ from lorespark.functions import vectors as V
 from lorespark.operators import cluster, fusion, graph, memory, objects, proximity, search
 from lorespark.operators import vector_batch as vb
 from lorespark.plans import ask as ask_plan
-from lorespark.session import materialise, shared_path
+from lorespark.session import materialise, shared_path, spread
 from lorespark.streaming import events as ev
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,11 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    """The documents, over all cores, for queries that take their texts apart."""
+    return spread(_t(spark, d, "documents"))
+
+
 def _o(spark: SparkSession, d: str) -> DataFrame:
     return objects.fixture_objects(spark, d)
 
@@ -139,7 +144,7 @@ def _(spark, d):
 
 @query("kw_eq", "SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(" + WORDS.format("text") + ") AS w FROM documents) WHERE w = 'thing'")
 def _(spark, d):
-    return _t(spark, d, "documents").where(F.array_contains(X.word_set(F.col("text")), "thing")).select("doc_id")
+    return _docs(spark, d).where(F.array_contains(X.word_set(F.col("text")), "thing")).select("doc_id")
 
 
 # -- text -----------------------------------------------------------------------------------------------------------
@@ -147,16 +152,16 @@ def _(spark, d):
 
 @query("tokenize", f"SELECT doc_id, CAST(len(t) AS INTEGER) AS n, md5(array_to_string(t, ' ')) AS h FROM (SELECT doc_id, {TOK.format('text')} AS t FROM documents)")
 def _(spark, d):
-    return _t(spark, d, "documents").select("doc_id", X.tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("n"), F.md5(F.array_join("t", " ")).alias("h"))
+    return _docs(spark, d).select("doc_id", X.tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("n"), F.md5(F.array_join("t", " ")).alias("h"))
 
 
 @query("term_freq", f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOK.format('text')}) AS term FROM documents) GROUP BY doc_id, term")
 def _(spark, d):
-    return search.postings(_t(spark, d, "documents"), "text", "doc_id").select("doc_id", "term", "tf")
+    return search.postings(_docs(spark, d), "text", "doc_id").select("doc_id", "term", "tf")
 
 
 def _index(spark: SparkSession, d: str) -> search.TextIndex:
-    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "source", "lang")
+    docs = _docs(spark, d).select(F.col("doc_id").alias("id"), "text", "source", "lang")
     return search.build_text_index(docs, {"text": F.col("text"), "source": F.col("source"), "lang": F.col("lang")}, shared_path(spark, "text-index"))
 
 
@@ -173,7 +178,7 @@ def _(spark, d):
 
 @query("doc_freq", f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({TOK.format('text')}) AS term FROM documents) GROUP BY term")
 def _(spark, d):
-    return search.postings(_t(spark, d, "documents"), "text", "doc_id").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return search.postings(_docs(spark, d), "text", "doc_id").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def _bm25_sql(fields: dict[str, str], k: int, name: str = "doc_id") -> str:
@@ -192,12 +197,12 @@ def _bm25_sql(fields: dict[str, str], k: int, name: str = "doc_id") -> str:
 
 @query("bm25_topk", _bm25_sql({"c": "text"}, 20))
 def _(spark, d):
-    return search.bm25(_t(spark, d, "documents"), TERMS, 20, ("text",), "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+    return search.bm25(_docs(spark, d), TERMS, 20, ("text",), "doc_id").select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("bm25_multifield", _bm25_sql({"c": "text", "s": "source", "l": "lang"}, 20))
 def _(spark, d):
-    return search.bm25(_t(spark, d, "documents"), TERMS, 20, ("text", "source", "lang"), "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+    return search.bm25(_docs(spark, d), TERMS, 20, ("text", "source", "lang"), "doc_id").select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("bm25_indexed", _bm25_sql({"c": "text", "s": "source", "l": "lang"}, 20))
@@ -218,13 +223,13 @@ _ALIKE = "p AS (SELECT a.class_id AS id_a, b.class_id AS id_b, a.copies AS copie
 @query("jaccard_pairs", f"WITH {_SETS}, {_ALIKE} SELECT id_a, id_b, round(j, 9) AS jaccard FROM p")
 def _(spark, d):
     """Pairs of classes of equal word sets, by their least ids; copies aren't paired with each other."""
-    _, classes = fusion.word_classes(_t(spark, d, "documents"), "doc_id", "text")
+    _, classes = fusion.word_classes(_docs(spark, d), "doc_id", "text")
     return fusion.similar_classes(classes, 0.85).select("id_a", "id_b", F.round("jaccard", 9).alias("jaccard"))
 
 
 @query("jaccard_members", f"WITH {_SETS}, {_ALIKE}, l AS (SELECT id_a AS class_id, sum(copies_b) AS near FROM p GROUP BY 1 UNION ALL SELECT id_b, sum(copies_a) FROM p GROUP BY 1) SELECT doc_id, n.class_id, CAST(copies - 1 + coalesce((SELECT sum(near) FROM l WHERE l.class_id = n.class_id), 0) AS BIGINT) AS links FROM n")
 def _(spark, d):
-    members, classes = fusion.word_classes(_t(spark, d, "documents"), "doc_id", "text")
+    members, classes = fusion.word_classes(_docs(spark, d), "doc_id", "text")
     return fusion.similar_members(members, classes, fusion.similar_classes(classes, 0.85)).select(F.col("id").alias("doc_id"), "class_id", "links")
 
 
@@ -247,7 +252,7 @@ ENT = "list_distinct(list_transform(list_filter(list_transform(string_split_rege
 
 @query("extract_entities", f"SELECT doc_id, array_to_string(list_sort({ENT}), ' ') AS entities FROM documents")
 def _(spark, d):
-    return _t(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(X.entities(F.col("text"))), " ").alias("entities"))
+    return _docs(spark, d).select("doc_id", F.array_join(F.array_sort(X.entities(F.col("text"))), " ").alias("entities"))
 
 
 # The question analysis in SQL has its own literals; nothing of it is built from the tables of the engine.
@@ -258,7 +263,7 @@ _KEYS = f"list_filter(list_transform({_BARE.format('text')}, lambda w: lower(w))
 
 @query("extract_keywords", f"SELECT doc_id, array_to_string(list_sort({_KEYS}), ' ') AS keywords FROM documents")
 def _(spark, d):
-    return _t(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(X.keywords(F.col("text"))), " ").alias("keywords"))
+    return _docs(spark, d).select("doc_id", F.array_join(F.array_sort(X.keywords(F.col("text"))), " ").alias("keywords"))
 
 
 _Q = "lower(trim(text))"
@@ -546,7 +551,7 @@ def _(spark, d):
     "p AS (SELECT doc_id AS src, other AS dst FROM w UNION SELECT other, doc_id FROM w) SELECT DISTINCT src, dst, CAST(0.5 AS DOUBLE) AS weight FROM p WHERE src <> dst",
 )
 def _(spark, d):
-    m = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.explode(X.entities(F.col("text"))).alias("entity"))
+    m = _docs(spark, d).select(F.col("doc_id").alias("id"), F.explode(X.entities(F.col("text"))).alias("entity"))
     return graph.co_mentions(m, "id").select("src", "dst", "weight")
 
 
@@ -730,7 +735,7 @@ def _(spark, d):
 def _(spark, d):
     """The three best objects of every promoted turn."""
     turns = memory.promote(_t(spark, d, "conversations")).select(F.struct("conv_id", "turn").alias("q"), F.explode(X.tokens(F.col("text"))).alias("term"))
-    index = search.build_text_index(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), {"text": F.col("text")}, shared_path(spark, "text-index"))
+    index = search.build_text_index(_docs(spark, d).select(F.col("doc_id").alias("id"), "text"), {"text": F.col("text")}, shared_path(spark, "text-index"))
     return search.bm25_batch(turns, index, 3, "q").select("q.conv_id", "q.turn", F.col("rank").cast("int").alias("rank"), F.col("id").alias("doc_id"), F.round("score", 5).alias("score"))
 
 

@@ -94,6 +94,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan over at least one task a core: where its files give fewer (one small file is one task), rows are dealt out.
+
+    For scans and what needs no shuffle on top of them. A table of as many splits as cores stays as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan._jdf.queryExecution().toRdd().getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def local_path(uri: str) -> str:
     """The file-system path of a ``file:`` URI (shared mounts are ordinary paths on every executor)."""
     if uri.startswith("file:"):
