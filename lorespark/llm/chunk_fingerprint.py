@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorespark.llm import kernels
+from lorespark.session import spread
 
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -237,4 +238,4 @@ def compare(batches: Iterator[pa.RecordBatch], p: ChunkParams = ChunkParams(), u
 
 def op2_chunk_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registered query: every document against its edited text and the next document."""
-    return in_order(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).mapInArrow(compare, OUT)
+    return in_order(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))).mapInArrow(compare, OUT)

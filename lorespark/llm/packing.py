@@ -28,6 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorespark.session import spread
+
 WINDOW = 2048
 END = 1
 LONG = 2000
@@ -202,4 +204,4 @@ class _Tail:
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registered query: every document packed into windows of 2048 tokens."""
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return pack(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))

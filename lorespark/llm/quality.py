@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorespark.llm import ftrl, kernels
+from lorespark.session import spread
 
 ORDERS = (1, 2)
 
@@ -112,7 +113,7 @@ def score_quality(docs: DataFrame, model: QualityModel, out: str = "quality_scor
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registered query: every document scored, learnt from the rows that aren't held out."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     scored = score_quality(docs, fit_quality(docs, labels), "score")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorespark.session import materialise
+from lorespark.session import materialise, spread
 
 SLOTS = 4096
 PARTS = 64
@@ -172,5 +172,5 @@ def assign_shards(docs: DataFrame, shards: int = 16, slots: int = SLOTS) -> tupl
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registered query: all documents into 16 shards under the law ``bytes``."""
-    placed, _, _ = assign_shards(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    placed, _, _ = assign_shards(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"))

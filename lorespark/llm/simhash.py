@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lorespark.llm import kernels
 from lorespark.llm.components import components, forest
-from lorespark.session import materialise
+from lorespark.session import materialise, spread
 
 RADIUS = 2
 FAN = 8
@@ -241,4 +241,4 @@ def _prints_of(text: pa.Array) -> pa.Array:
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registered query: every document's fingerprint, links and component."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return near_duplicates(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorespark.llm import kernels
-from lorespark.session import materialise
+from lorespark.session import materialise, spread
 
 LENGTH = 50
 GRAM = 20
@@ -661,4 +661,4 @@ def dedup_texts(docs: DataFrame) -> DataFrame:
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registered query: every document's bytes judged against all earlier documents."""
-    return dedup_digests(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return dedup_digests(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))

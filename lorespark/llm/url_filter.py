@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorespark.llm import ftrl, kernels
+from lorespark.session import spread
 
 #: (verdict, rule); a rule is a host, then a path that begins with a slash.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -147,5 +148,5 @@ def judge_urls(urls: DataFrame, rules: Sequence[tuple[str, str]] = RULES, labell
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registered query: every page's url judged; the html isn't read."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
     return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict", "block_score")

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.session import materialise, shared_path
+from lorespark.session import materialise, shared_path, spread
 
 PARTS = "record_id string, page_id long, record_type string, refers_to_id string, origin string, seg int, total long, payload_digest string, payload_bytes long, block binary"
 PAGE_FIELD = "X-Page-ID"
@@ -275,7 +275,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registered query: every page archived, then everything read back from the archives."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
     return read_archives(write_archives(pages, shared_path(spark, "warc"))).drop("record_id")
 
 
