@@ -5,7 +5,8 @@
 2. SimHash keeps one document, the smallest id, of each group of near duplicates; unlike rows of one id all stay.
 3. Suffix-array dedup removes passages of 50 bytes and more that an earlier kept document holds. A document that loses
    all its text stays with an empty one.
-4. Sources are interleaved to their target weights; the rows are stored in that order and none is lost.
+4. Sources are interleaved to their target weights; the rows are stored in that order and none is lost. A short last block
+   of a source leaves positions out, never rows.
 5. Documents are packed into windows of 2048 tokens, range by range of the mixture; ``sequence_id`` ascends with the
    ranges, and within one it follows the order in which windows fill. The result has one row per piece.
 
@@ -22,7 +23,7 @@ from lorespark.llm.packing import pack
 from lorespark.llm.quality import fit_quality, score_quality
 from lorespark.llm.simhash import keep_one
 from lorespark.llm.suffix_dedup import dedup_texts
-from lorespark.session import materialise
+from lorespark.session import materialise, spread
 
 THRESHOLD = 0.3
 
@@ -74,7 +75,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each but the last is written to the shared folder before the next reads it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), "pipeline-" + name.split(" ")[0])
     return STAGES[-1][1](spark, docs, sf_dir)
