@@ -8,12 +8,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lorespark import hooks
 from lorespark.functions import scores as S
 from lorespark.functions import text as X
 from lorespark.functions import vectors as V
 from lorespark.operators import cluster, fusion, graph, memory, objects, proximity, search
 from lorespark.operators import vector_batch as vb
 from lorespark.plans import ask as ask_plan
+from lorespark.plans import sqlfront
 from lorespark.session import materialise, shared_path, spread
 from lorespark.streaming import events as ev
 
@@ -147,6 +149,36 @@ def _(spark, d):
     return _docs(spark, d).where(F.array_contains(X.word_set(F.col("text")), "thing")).select("doc_id")
 
 
+def _tagged(spark: SparkSession, d: str) -> DataFrame:
+    return _o(spark, d).withColumn("keywords", F.array("lang", "source"))
+
+
+@query("kw_member", f"WITH {OBJ} SELECT id FROM obj WHERE list_contains([lang, source], 'src1')")
+def _(spark, d):
+    return _tagged(spark, d).where(sqlfront.condition("keyword", "=", "src1")).select("id")
+
+
+@query("kw_like", f"WITH {OBJ} SELECT id FROM obj WHERE contains(lang, 'rc1') OR contains(source, 'rc1')")
+def _(spark, d):
+    return _tagged(spark, d).where(sqlfront.condition("keyword", "LIKE", "%rc1%")).select("id")
+
+
+@query("storage_filter_keyword", f"WITH {OBJ} SELECT id FROM obj WHERE (contains(lang, 'src') OR contains(source, 'src')) AND importance >= 0.5 ORDER BY id LIMIT 40")
+def _(spark, d):
+    return objects.storage_filter(_tagged(spark, d), keyword="src", min_importance=0.5, limit=40).select("id")
+
+
+@query("small_dialect", f"WITH {OBJ} SELECT id, importance FROM obj WHERE lang = 'en' AND importance > 0.1 AND contains(content, 'tion') ORDER BY importance DESC, id LIMIT 15")
+def _(spark, d):
+    return sqlfront.run(_o(spark, d), "SELECT id, importance FROM knowledge WHERE metadata.lang = 'en' AND importance > 0.1 AND content LIKE '%tion%' ORDER BY importance DESC LIMIT 15")
+
+
+@query("intersect_ids", f"WITH {OBJ} SELECT id FROM obj WHERE lang = 'en' AND importance > 0.1 AND contains(source, '1')")
+def _(spark, d):
+    o = _o(spark, d)
+    return objects.intersect_ids([o.where("lang = 'en'"), o.where("importance > 0.1"), o.where("contains(source, '1')")])
+
+
 # -- text -----------------------------------------------------------------------------------------------------------
 
 
@@ -696,6 +728,19 @@ def _(spark, d):
     return ask_plan.ask(_corpus(spark, d), QUESTION, 10, 2048, q, {"lang": "en"}).select("position", "id", F.round("score", 6).alias("score"), "tokens", "running")
 
 
+class _Lengths:
+    """A stand-in for a cross-encoder: longer texts score higher."""
+
+    def score(self, question, texts):
+        return [len(t) for t in texts]
+
+
+@query("ask_reranked", _ask_sql(*_ASK, 10) + " SELECT id, CAST(length(content) AS DOUBLE) AS score FROM top")
+def _(spark, d):
+    _, q = _vec(spark, d)
+    return ask_plan.ask(_corpus(spark, d), QUESTION, 10, None, q, None, hooks.reranker(_Lengths())).select("id", "score")
+
+
 # -- memory ---------------------------------------------------------------------------------------------------------
 
 

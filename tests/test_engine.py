@@ -169,6 +169,28 @@ def test_ask_prefers_important_and_filters(trio):
     assert ask.ask(corpus, "zzz", 3).collect() == []
 
 
+def test_corrective_pass(trio, monkeypatch):
+    """One weak hit is too little: the question is searched once more, wider; a confident result isn't."""
+    seen = []
+    whole = ask.corrective
+    monkeypatch.setattr(ask, "corrective", lambda *a, **k: seen.append(1) or whole(*a, **k))
+    corpus = ask.Corpus(trio, None, None, NOW)
+    got = ask.ask(corpus, "tell me rockets", 10).collect()
+    assert [r.id for r in got] == ["b"] and seen == [1]
+    assert len(ask.ask(corpus, "Acme", 2).collect()) == 2 and seen == [1]
+    # the wider pass takes stop words too: here only they match
+    assert [r.id for r in ask.ask(corpus, "which and why", 10).collect()] == ["c"] and len(seen) == 2
+
+
+def test_ask_from_the_stored_index_and_graph(spark, trio, tmp_path):
+    index = search.build_text_index(trio, search.object_fields(), str(tmp_path / "i"))
+    edges = spark.createDataFrame([("c", "x", "r"), ("y", "c", "r"), ("x", "z", "r"), ("z", "w", "r")], "src string, dst string, rel string")
+    got = {r.id: r.sources for r in ask.ask(ask.Corpus(trio, None, edges, NOW, index), "which deal of Acme", 10).collect()}
+    assert got["c"] == "fulltext" and got["x"] == got["y"] == got["z"] == "graph" and "w" not in got  # two steps for a named entity
+    loaded = {r.id: r.content for r in ask.ask(ask.Corpus(trio, None, edges, NOW, index), "deal", 10).collect()}
+    assert loaded["x"] == "<Object x>" and "z" not in loaded  # one step otherwise
+
+
 def test_graph_chain(spark):
     e = spark.createDataFrame([("a", "b", "r"), ("b", "c", "r"), ("a", "d", "s"), ("x", "y", "r")], "src string, dst string, rel string")
     found = {r.id: r.depth for r in graph.bfs(e, graph.seeds_of(spark, ["a"]), 5).collect()}
