@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, Window
@@ -114,21 +115,24 @@ def similar_classes(classes: DataFrame, threshold: float, hot: int = 1000) -> Da
     """Exact pairs ``id_a, id_b, jaccard`` of classes whose word sets have a Jaccard of at least ``threshold``.
 
     Two sets that are that alike share one of their rarest words: the first ``n - ceil(t n) + 1`` in order of frequency.
-    Candidates meet on those words, and only where what follows the word could still give enough overlap. A word of more
-    than ``hot`` classes is salted: one side is split, the other repeated.
+    Candidates meet on those words, only among sets of like size (sizes fall into bands a factor of ``t`` wide), and only
+    where what follows the word could still give enough overlap. A word of more than ``hot`` classes is salted: one side
+    is split, the other repeated.
     """
     df = classes.select(F.explode("w").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("f"))
     ordered = classes.select("class_id", F.explode("w").alias("t")).join(df, "t").groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("o"))
     size = F.size("o")
     prefix = ordered.select("class_id", size.alias("n"), F.posexplode(F.slice("o", F.lit(1), size - F.ceil(size * F.lit(threshold) - 1e-9).cast("int") + 1)).alias("i", "p"))
     prefix = prefix.select("class_id", "n", (F.col("n") - F.col("i")).alias("rest"), F.col("p.t").alias("t"), F.ceil(F.col("p.f") / hot).cast("int").alias("salts"))
-    prefix = materialise(prefix, "word-prefixes")
+    band = F.floor(F.log("n") / (max(-math.log(threshold), 1e-9) * (1 + 1e-9)))  # like sizes lie in one band or in neighbouring ones
+    prefix = materialise(prefix.withColumn("band", band), "word-prefixes")
     side = lambda c: [F.col("class_id").alias(f"id_{c}"), F.col("n").alias(f"n_{c}"), F.col("rest").alias(f"rest_{c}"), "t"]
-    left = prefix.select(*side("a"), F.pmod(F.xxhash64("class_id"), F.col("salts")).cast("int").alias("salt"))
-    right = prefix.select(*side("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    left = prefix.select(*side("a"), "band", F.pmod(F.xxhash64("class_id"), F.col("salts")).cast("int").alias("salt"))
+    right = prefix.select(*side("b"), "salts", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"))
+    right = right.select("*", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).drop("salts")
     enough = F.least("rest_a", "rest_b") >= F.lit(threshold / (1 + threshold)) * (F.col("n_a") + F.col("n_b")) - 1e-9
     fits = (F.col("id_a") < F.col("id_b")) & (F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b") - 1e-9) & enough
-    pairs = left.join(right, ["t", "salt"]).where(fits).select("id_a", "id_b").distinct()
+    pairs = left.join(right, ["t", "band", "salt"]).where(fits).select("id_a", "id_b").distinct()
     a, b = classes.select(F.col("class_id").alias("id_a"), F.col("w").alias("w_a")), classes.select(F.col("class_id").alias("id_b"), F.col("w").alias("w_b"))
     return pairs.join(a, "id_a").join(b, "id_b").select("id_a", "id_b", X.jaccard(F.col("w_a"), F.col("w_b")).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
