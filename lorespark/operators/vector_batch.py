@@ -325,4 +325,4 @@ def max_sim(tokens: DataFrame, query: np.ndarray, k: int, candidates: DataFrame
 def store_vectors(spark: SparkSession, x: np.ndarray) -> DataFrame:
     """A table ``vec_id, embedding`` of a small matrix, for tests and benchmarks."""
     table = pa.table({"vec_id": pa.array(np.arange(len(x))), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.astype(np.float32).ravel()), x.shape[1]).cast(pa.list_(pa.float32()))})
-    return materialise(spark.createDataFrame(table), "vectors")
+    return materialise(spark.createDataFrame(table).repartition(spark.sparkContext.defaultParallelism), "vectors")
