@@ -828,10 +828,21 @@ def _(spark, d):
     return cluster.merge_aggregates(shards).select("n", F.round("total", 2).alias("total"), "low", "high", F.round("mean", 6).alias("mean"))
 
 
-@query("stats", "SELECT (SELECT count(*) FROM documents) AS objects, (SELECT count(*) FROM embeddings) AS vectors, (SELECT count(DISTINCT conv_id) FROM conversations) AS sessions")
+@query("stats", f"WITH {G} SELECT (SELECT count(*) FROM documents) AS objects, (SELECT count(*) FROM embeddings) AS vectors, (SELECT count(DISTINCT conv_id) FROM conversations) AS sessions, (SELECT count(*) FROM conversations) AS turns, (SELECT count(*) FROM (SELECT src FROM g UNION SELECT dst FROM g)) AS graph_nodes, (SELECT count(*) FROM g) AS graph_edges")
 def _(spark, d):
-    one = lambda t, c, n: _t(spark, d, t).agg(c.alias(n))
-    return one("documents", F.count(F.lit(1)), "objects").crossJoin(one("embeddings", F.count(F.lit(1)), "vectors")).crossJoin(one("conversations", F.countDistinct("conv_id"), "sessions"))
+    """One row out of single rows."""
+    one = lambda t, *c: _t(spark, d, t).agg(*c)
+    links = graph.counts(_edges(spark, d)).select(F.col("nodes").alias("graph_nodes"), F.col("edges").alias("graph_edges"))
+    talks = one("conversations", F.countDistinct("conv_id").alias("sessions"), F.count(F.lit(1)).alias("turns"))
+    return one("documents", F.count(F.lit(1)).alias("objects")).crossJoin(one("embeddings", F.count(F.lit(1)).alias("vectors"))).crossJoin(talks).crossJoin(links)
+
+
+@query("shard_scalar_merge", "SELECT CAST(count(*) AS VARCHAR) AS n, CAST(min(o_orderkey) AS VARCHAR) AS low, CAST(max(o_orderkey) AS VARCHAR) AS high, CAST(sum(o_custkey) AS VARCHAR) AS total FROM orders")
+def _(spark, d):
+    """The gateway's merge of scalar results, over four shards that each answer the same SQL."""
+    sql = "SELECT count(*), min(o_orderkey), max(o_orderkey), sum(o_custkey) FROM orders"
+    shards = _t(spark, d, "orders").groupBy((F.col("o_orderkey") % 4).alias("shard")).agg(F.count(F.lit(1)), F.min("o_orderkey"), F.max("o_orderkey"), F.sum("o_custkey"))
+    return spark.createDataFrame([tuple(cluster.merge_scalars(sql, [[tuple(r)[1:]] for r in shards.collect()]))], "n string, low string, high string, total string")  # a row per shard
 
 
 # -- aggregation, ranges, streams -----------------------------------------------------------------------------------
