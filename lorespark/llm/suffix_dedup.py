@@ -375,23 +375,22 @@ def cut_contexts(n_buckets: int, hot: np.ndarray | None = None, most: int = 1 <<
         yield from blocks(1, kernels.mix64(doc.view(np.uint64) + U64(1)), np.zeros(len(doc)), doc, pos, left, right, extent, None, pos)
 
     def strings(rows: np.ndarray, doc: np.ndarray, pos: np.ndarray, left: np.ndarray, right: np.ndarray, extent: np.ndarray) -> Iterator[tuple[int, bytes]]:
-        """The strings of contexts with hot anchors, one offset after the other; those of later documents are settled."""
-        none = np.zeros(len(doc), np.int64)
-        for x in range(LEFT + 1):
-            live = np.flatnonzero((left >= x) & (right >= LEFT - x))
-            if not len(live):
-                continue
-            word = np.zeros((len(live), 56), np.uint8)
-            word[:, :LENGTH] = rows[live, LEFT - x : LEFT - x + LENGTH]
-            key, d, p, zero = _row_hash(word), doc[live], pos[live] - x, none[: len(live)]
+        """The strings of contexts with hot anchors, at all offsets; those of later documents are settled."""
+        offsets = np.arange(LEFT + 1)
+        for a in range(0, len(doc), 2048):
+            z = slice(a, a + 2048)
+            r, x = np.nonzero((left[z, None] >= offsets) & (right[z, None] >= LEFT - offsets))
+            word = np.zeros((len(r), 56), np.uint8)
+            word[:, :LENGTH] = np.lib.stride_tricks.sliding_window_view(rows[z], LENGTH, axis=1)[r, LEFT - x]
+            key, d, p, zero = _row_hash(word), doc[z][r], pos[z][r] - x, np.zeros(len(r), np.int64)
             order, head = _equal_contexts(key, word, zero, zero, d, p)
-            at, ext = _close_copies(head, d[order], p[order], extent[live][order])
+            at, ext = _close_copies(head, d[order], p[order], extent[z][r][order])
             first = np.repeat(d[order][head], np.diff(np.append(np.flatnonzero(head), len(order))))[at]
             at = order[at]
             late = d[at] > first
-            z = np.zeros(len(at), np.int64)
-            yield from settled(d[at][late], p[at][late], z[late], z[late] + LEFT, ext[late])
-            yield from blocks(2, key[at][~late] >> U64(44), key[at][~late], d[at][~late], p[at][~late], z[~late], z[~late] + LEFT, ext[~late], word[at[~late]], at[~late])
+            zero = np.zeros(len(at), np.int64)
+            yield from settled(d[at][late], p[at][late], zero[late], zero[late] + LEFT, ext[late])
+            yield from blocks(2, key[at][~late] >> U64(44), key[at][~late], d[at][~late], p[at][~late], zero[~late], zero[~late] + LEFT, ext[~late], word[at[~late]], at[~late])
 
     def some(buf: np.ndarray, start: np.ndarray, size: np.ndarray, doc: np.ndarray, tag: np.ndarray, pos: np.ndarray) -> Iterator[tuple[int, bytes]]:
         left = np.minimum(pos, LEFT)
