@@ -125,7 +125,9 @@ def store_index(vectors: DataFrame, index: PivotIndex, sent, slab: int) -> DataF
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pivot.astype(np.int32)), pa.array(d[np.arange(len(d)), pivot])], ["row", "vec_id", "v", "asks", "pivot", "d"])
 
     keyed = vectors.select("row", "vec_id", "v", "asks").mapInArrow(run, "row long, vec_id long, v array<double>, asks boolean, pivot int, d double")
-    n = max(1, -(-vectors.count() // slab))
+    rows = vectors.count()
+    # slabs bound a task's memory; a small table makes smaller ones, so that all cores have some
+    n = max(1, -(-rows // slab), min(vectors.sparkSession.sparkContext.defaultParallelism, -(-rows // ANNULUS)))
     return materialise(keyed.repartitionByRange(n, "pivot", "d").sortWithinPartitions("pivot", "d"), "topk-index")
 
 
