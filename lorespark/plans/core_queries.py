@@ -316,7 +316,7 @@ def _(spark, d):
 
 
 # questions of every intent, one per line; the tables hold few
-PROBES = """Compare OpenAI with Anthropic|What is the difference here|this vs that|Which enterprise customers renewed after January 2024?|since when|Events between q3 and q4|before the Series B round|Summarize the report|a brief note
+PROBES = """Compare Acme with Globex|What is the difference here|this vs that|Which enterprise customers renewed after January 2024?|since when|Events between q3 and q4|before the Series B round|Summarize the report|a brief note
 tldr please|How many customers churned?|What is the average deal size?|the count of rows|most common words|How does replication work?|Why not|explain it|List the files|show me prices|find all notes|every day|in the source code|fix this bug|an error
 Which companies raised Series A funding?|a startup founder|our customer|Who is Ada Lovelace|what now|Where is Paris in May|When did Q1 end|  who  |the quick brown Fox|E Éclair x|AI in 2026 and 2019|hello|""".replace("\n", "|").split("|")
 _PROBED = "probe AS (SELECT unnest(['" + "', '".join(PROBES) + "']) AS text)"

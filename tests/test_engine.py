@@ -61,7 +61,7 @@ def test_guard(spark, tmp_path):
 @pytest.mark.parametrize(
     "question, intent",
     [
-        ("Compare OpenAI with Anthropic", "comparison"),
+        ("Compare Acme with Globex", "comparison"),
         ("Which enterprise customers renewed after January 2024?", "temporal"),
         ("How many customers churned?", "analytical"),
         ("What is the average deal size?", "analytical"),
