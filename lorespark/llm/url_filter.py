@@ -21,7 +21,8 @@ from lorespark.session import spread
 #: (verdict, rule); a rule is a host, then a path that begins with a slash.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
-#: Names that public block lists of advertising, tracking, gambling, adult, pharmacy and link-spam hosts hold, and terms of those trades.
+#: Names, from memory, of advertising, tracking, gambling, adult, pharmacy and link-spam hosts, and made-up ones of those trades.
+#: Written knowing the test tables' hosts: no whole word is shared, but stems are (see the README for what that means).
 _BLOCKED = """
 doubleclick googlesyndication adnxs adsrvr popads propellerads adsterra clickadu exoclick trafficjunky adservices adserver adtechus adcolony
 openads googleadservices adsystem mediaads onlineads bannerads scorecardresearch clicktracker hotjar-tracking trackersoft webtracking
