@@ -66,17 +66,13 @@ def _start(writer, interval: str | None) -> StreamingQuery:
 LINKS = "src string, dst string, rel string, weight double"
 
 
-def co_mentions(mentions: DataFrame, last: int = 5, ttl_ms: int | None = None) -> DataFrame:
+def co_mentions(mentions: DataFrame, last: int = 5) -> DataFrame:
     """A stream ``entity, id, at`` to links between an object and the ``last`` earlier ones with the same entity.
 
-    The state of an entity is its latest ``last`` ids, however many objects mention it; with ``ttl_ms`` an entity that
-    nobody mentions for so long is forgotten. Rows of a micro-batch are taken in the order of (at, id); both directions
-    are put out. A repeated id makes no link to itself.
+    The state of an entity is its latest ``last`` ids, however many objects mention it. Rows of a micro-batch are
+    taken in the order of (at, id); both directions are put out. A repeated id makes no link to itself.
     """
     def step(key: tuple, frames, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
         rows = pd.concat(list(frames)).sort_values(["at", "id"])
         past = list(state.get[0]) if state.exists else []
         pairs = []
@@ -84,13 +80,10 @@ def co_mentions(mentions: DataFrame, last: int = 5, ttl_ms: int | None = None) -
             pairs += [(x, p) for p in past if p != x]
             past = [*past, x][-last:]
         state.update((past,))
-        if ttl_ms:
-            state.setTimeoutDuration(ttl_ms)
         both = [(a, b, "co_mentions", 0.5) for x, p in pairs for a, b in ((x, p), (p, x))]
         yield pd.DataFrame(both, columns=["src", "dst", "rel", "weight"])
 
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
-    return mentions.where("entity is not null").groupBy("entity").applyInPandasWithState(step, LINKS, "past array<string>", "append", timeout)
+    return mentions.where("entity is not null").groupBy("entity").applyInPandasWithState(step, LINKS, "past array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
 def stored_links(mentions: DataFrame, out: str, checkpoint: str, last: int = 5, interval: str | None = None) -> StreamingQuery:

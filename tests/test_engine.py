@@ -364,10 +364,6 @@ def test_stream_of_co_mentions(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r.src, r.dst) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {(r.src, r.dst) for r in graph.co_mentions(df, "at", 3).collect()}
-    forgets = events.co_mentions(events.read_stream(spark, str(tmp_path / "in"), df.schema), 3, ttl_ms=3_600_000)
-    q = forgets.writeStream.format("memory").queryName("links").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert {(r.src, r.dst) for r in spark.table("links").collect()} == got
 
 
 def test_sql_functions(spark):
