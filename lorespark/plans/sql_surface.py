@@ -80,7 +80,7 @@ SURFACE: dict[str, tuple[str, str | None]] = {
         "SELECT o_orderkey, rn FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 2",
         "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders QUALIFY rn <= 2",
     ),
-    "win_avg_all": ("SELECT l_orderkey, l_linenumber, round(l_quantity - avg(l_quantity) OVER (PARTITION BY l_suppkey), 6) AS off, max(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_extendedprice, l_quantity ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS m3 FROM lineitem", None),
+    "win_avg_all": ("SELECT l_orderkey, l_linenumber, round(l_quantity - avg(l_quantity) OVER (PARTITION BY l_suppkey), 9) AS off, max(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_extendedprice, l_quantity ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS m3 FROM lineitem", None),
     "sql_order_nulls_first": ("SELECT doc_id, q, row_number() OVER (ORDER BY q ASC NULLS FIRST, doc_id) AS rn FROM (SELECT d.doc_id, l.quality AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)", None),
     "agg_approx": (
         "SELECT o_orderpriority, abs(approx_count_distinct(o_custkey, 0.01) - count(DISTINCT o_custkey)) <= 0.05 * count(DISTINCT o_custkey) AS near_count, abs(percentile_approx(o_totalprice, 0.5, 10000) - percentile(o_totalprice, 0.5)) <= 0.02 * percentile(o_totalprice, 0.5) AS near_median FROM orders GROUP BY o_orderpriority",
