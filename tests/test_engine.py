@@ -459,3 +459,29 @@ def test_order_of_nulls_is_reached(spark, sf):
     known = [x for x in q if x is not None]
     assert len(q) == spark.read.parquet(f"{sf}/documents.parquet").count() and len(known) < len(q)
     assert q == sorted(known, reverse=True) + [None] * (len(q) - len(known))
+
+
+@pytest.mark.parametrize("block", [3, 1 << 20])
+def test_labels_of_nodes_in_several_blocks(spark, block, monkeypatch):
+    """Hubs whose edges lie in many blocks and files, edges in both directions, and no edges at all."""
+    from lorespark.operators import labels
+
+    rng = np.random.default_rng(4)
+    pairs = [(f"n{a}", f"n{b}") for a, b in rng.integers(0, 40, (90, 2))] + [("hub", f"n{i}") for i in range(40)] + [(f"n{i}", "hub") for i in range(9)]
+    edges = spark.createDataFrame(pairs, "src string, dst string").repartition(3)
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b), near.setdefault(b, set()).add(a)
+    want = {x: x for x in near}
+    for _ in range(5):
+        votes = {x: [want[y] for y in (*ns, x)] for x, ns in near.items()}
+        want = {x: min(v, key=lambda c: (-v.count(c), c)) for x, v in votes.items()}
+    monkeypatch.setattr(labels, "PART", block)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert {r.id: r.community for r in graph.communities(edges, 5).collect()} == want
+        assert {r.component for r in graph.components(edges).collect()} == {"hub"}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert graph.communities(edges.limit(0)).count() == graph.components(edges.limit(0)).count() == 0
