@@ -485,3 +485,20 @@ def test_labels_of_nodes_in_several_blocks(spark, block, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert graph.communities(edges.limit(0)).count() == graph.components(edges.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_a_small_frontier_leaves_the_edges_where_they_are(spark, few, monkeypatch):
+    from lorespark.session import materialise
+
+    monkeypatch.setattr(graph, "FEW", few)
+    edges = materialise(spark.range(3000).select(F.concat(F.lit("n"), F.col("id")).alias("src"), F.concat(F.lit("n"), F.col("id") * 2 + 1).alias("dst"), F.lit("r").alias("rel")), "e")
+    hops = edges.select(F.col("src").alias("id"), "dst")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = graph._step(graph.seeds_of(spark, ["n0"]), hops)._jdf.queryExecution().executedPlan().toString()
+        assert ("hashpartitioning" in plan) == (few == 0)
+        assert {r.id: r.depth for r in graph.bfs(edges, graph.seeds_of(spark, ["n0", "n5"]), 3).collect()} == {"n0": 0, "n5": 0, "n1": 1, "n11": 1, "n3": 2, "n23": 2, "n7": 3, "n47": 3}
+        assert {r.id for r in graph.bidirectional(edges, graph.seeds_of(spark, ["n3"]), 1).collect()} == {"n3", "n7", "n1"}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
