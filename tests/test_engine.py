@@ -502,3 +502,31 @@ def test_a_small_frontier_leaves_the_edges_where_they_are(spark, few, monkeypatc
         assert {r.id for r in graph.bidirectional(edges, graph.seeds_of(spark, ["n3"]), 1).collect()} == {"n3", "n7", "n1"}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_batch_bm25_never_lists_pairs(spark, tmp_path):
+    """Every query against every document, with ties and terms that nobody has; no side goes out by broadcast."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 12, 9)) for _ in range(60)] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    index = search.build_text_index(docs, {"text": F.col("text")}, str(tmp_path / "i"))
+    asks = [(n, f"w{x}") for n in range(300) for x in rng.integers(0, 14, 4)] + [(300, "none"), (None, "w1")]
+    got = search.bm25_batch(spark.createDataFrame(asks, "q long, term string"), index, 3, "q", 2)
+    assert "BroadcastExchange" not in got._jdf.queryExecution().executedPlan().toString().split("Window")[-1]
+    split = [t.split() for t in texts]
+    df = {w: sum(w in t for t in split) for w in {w for t in split for w in t}}
+    part = lambda w, t: np.log(1 + (len(split) - df[w] + 0.5) / (df[w] + 0.5)) * t.count(w) * 2.2 / (t.count(w) + 1.2)
+    want = set()
+    for n in range(300):
+        score = [sum(part(w, t) for w in {w for m, w in asks if m == n} if w in t) for t in split]
+        order = sorted((i for i in range(len(split)) if score[i]), key=lambda i: (-round(score[i], 9), i))[:3]
+        want |= {(n, r + 1, i, round(score[i], 7)) for r, i in enumerate(order)}
+    assert {(r.q, r["rank"], r.id, round(r.score, 7)) for r in got.collect()} == want
+
+
+def test_index_counts_repeated_ids_and_sizes(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b a", None), (1, "a c", "x"), (2, "", "x x"), (3, None, None)], "id long, text string, tag string")
+    index = search.build_text_index(docs, {"text": F.col("text"), "tag": F.col("tag")}, str(tmp_path / "i"))
+    assert {tuple(r) for r in index.postings.select("term", "field", "id", "tf", "len").collect()} == {("a", "text", 1, 3, 3), ("b", "text", 1, 1, 3), ("c", "text", 1, 1, 2), ("x", "tag", 1, 1, 1), ("x", "tag", 2, 2, 2)}
+    sizes = {r.field: (r.docs, r["mean"]) for r in search.text_sizes(docs, {"text": F.col("text"), "tag": F.col("tag")}).collect()}
+    assert sizes == {"text": (3, 1.0), "tag": (3, 1.0)} and index.docs == 3 and index.mean == {"text": 1.0, "tag": 1.0}
