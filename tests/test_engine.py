@@ -530,3 +530,23 @@ def test_index_counts_repeated_ids_and_sizes(spark, tmp_path):
     assert {tuple(r) for r in index.postings.select("term", "field", "id", "tf", "len").collect()} == {("a", "text", 1, 3, 3), ("b", "text", 1, 1, 3), ("c", "text", 1, 1, 2), ("x", "tag", 1, 1, 1), ("x", "tag", 2, 2, 2)}
     sizes = {r.field: (r.docs, r["mean"]) for r in search.text_sizes(docs, {"text": F.col("text"), "tag": F.col("tag")}).collect()}
     assert sizes == {"text": (3, 1.0), "tag": (3, 1.0)} and index.docs == 3 and index.mean == {"text": 1.0, "tag": 1.0}
+
+
+def test_pairs_scored_at_a_time_are_bounded(spark, monkeypatch):
+    import pyarrow as pa
+
+    sizes = [len(i) for i, _ in vb.blocks(iter([pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([[1.0]] * n)], ["id", "v"]) for n in (7, 25, 0, 1)]), 10)]
+    assert sizes == [10, 10, 10, 3]
+    pieces = list(vb._cut(iter([(np.arange(7), np.ones((7, 2))), (np.arange(2), np.ones((2, 2)))]), 3))
+    assert [len(i) for i, _ in pieces] == [3, 3, 1, 2] and all(len(i) == len(q) for i, q in pieces)
+
+
+def test_agg_approx_keeps_sketches_apart_from_distinct_keys(spark, tmp_path):
+    """Ties, nulls, an even and an odd group; no sketch per customer and no exact percentile in one buffer."""
+    from lorespark.plans import registry
+
+    rows = [("a", i % 7, float(i % 5)) for i in range(40)] + [("b", i, 10.0 * i) for i in range(9)] + [(None, 1, 2.0), ("b", None, None)]
+    spark.createDataFrame(rows, "o_orderpriority string, o_custkey long, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    got = registry.queries()["agg_approx"](spark, str(tmp_path))
+    assert {tuple(r) for r in got.collect()} == {("a", True, True), ("b", True, True), (None, True, True)}
+    assert "percentile(" not in got._jdf.queryExecution().executedPlan().toString()
